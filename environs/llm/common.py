@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from environs.session import ship
+
 #: A word is a run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,6 +22,7 @@ _MIX = U64(0x9E3779B97F4A7C15)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

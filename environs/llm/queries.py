@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hostrules, mixing, urlfilter
+from . import chat, decontam, hostrules, importance, jaccard, langid, linededup, mixing, suffixdedup, urlfilter
 from .common import read
 
 
@@ -15,6 +15,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decontam.measure(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    found = F.col("leak.n_items") > 0
+    return docs.select("doc_id", "leak.n_items", "leak.item_id", F.round("leak.coverage", 6).alias("coverage"), found.alias("contaminated"), (~found).alias("kept"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return hostrules.judge(docs).select("doc_id", *[f"measured.{m}" for m in hostrules.MEASURES], "verdict.base_failed", "verdict.kept")
@@ -31,11 +41,37 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(turns.union(planted)))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixdedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(read(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_importance": op2_importance,
+    "op3_decontaminate": op3_decontaminate,
     "op4_host_rules": op4_host_rules,
     "op5_url_filter": op5_url_filter,
     "op6_chat_format": op6_chat_format,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_language": op10_language,
 }
 
 SPACE = r"\x20\x09-\x0D"
@@ -73,6 +109,17 @@ m as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, leng
 select s.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from s left join m using (page_id)
 """
 
-OP1_SQL = None  # the mixed documents depend on a hash that other databases don't have
+OP9_SQL = rf"""
+with l as (select doc_id, i, lines[i] as line from
+           (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+k as (select *, translate(regexp_replace(line, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key, max(doc_id) as keeper from k where length(key) >= {linededup.MIN_CHARS} group by key having count(distinct doc_id) >= {linededup.MIN_DOCS}),
+m as (select k.*, coalesce(k.doc_id < c.keeper, false) as gone from k left join c using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+# op1 depends on a hash that other databases lack; 2, 3, 6, 7, 8 and 10 are tested against brute-force versions.
 
-ORACLE_SQL: dict[str, str] = {"op4_host_rules": OP4_SQL, "op5_url_filter": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_host_rules": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
