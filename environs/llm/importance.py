@@ -87,7 +87,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> D
 
 def largest(rows: DataFrame, share: float, key: str) -> DataFrame:
     """rows with a boolean ``kept``: the floor(share * n) rows with the largest keys (null keys last; ties by doc_id)."""
-    bin_of = F.coalesce(F.floor(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(key))) * 200), F.lit(-1_000_000)).cast("long")
+    held = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(key)))  # these two pass over nulls
+    bin_of = F.when(F.col(key).isNull(), F.lit(-1_000_000)).otherwise(F.floor(held * 200)).cast("long")
     rows = rows.withColumn("__bin", bin_of)
     bins = sorted(rows.groupBy("__bin").count().collect(), key=lambda r: -r[0])  # at most 200,002 bins
     left = int(sum(r[1] for r in bins) * share)
