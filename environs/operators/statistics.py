@@ -13,8 +13,8 @@ NAN = float("nan")
 
 def pearson(x: Column, y: Column) -> Column:
     """Correlation; NaN where a side doesn't vary or there are fewer than two rows."""
-    flat = (F.count(F.lit(1)) < 2) | (F.coalesce(F.stddev_pop(x), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_pop(y), F.lit(0.0)) == 0)
-    return F.when(flat, F.lit(NAN)).otherwise(F.corr(x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(NAN))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
