@@ -443,3 +443,47 @@ def test_held_out(spark):
 
     got = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("h", langid.held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+# ------------------------------------------------------------------------------------------------ plans and shapes
+
+
+def test_mixing_is_native(spark):
+    """No Python runs in the mix, and no task orders a whole source."""
+    rows = [(i, "w w", "s") for i in range(50)]
+    plan = mixing.mix(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_largest_group_gives_few_pairs(spark):
+    """Near copies that all link meet in pairs in proportion to their number."""
+    rng = random.Random(12)
+    base = words(rng, 300, 100_000)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    members = jaccard.nodes(docs_of(spark, rows).select("doc_id", "text"), 4).cache()
+    buckets = jaccard.shared_buckets(jaccard.keyed(members, 85)).cache()
+    info = members.where("bits is not null").select("node", "n", "bits")
+    alone = members.select("node", F.col("node").alias("root"))
+    assert jaccard.open_pairs(buckets, alone, info, 85, True).count() <= 4 * 150  # a forest for each of four tasks at most
+    assert {r.component_id for r in jaccard.join_components(docs_of(spark, rows), shingle=4, percent=85).collect()} == {0}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_meet(percent):
+    """Whatever differs between two sets that link, they have a bucket in common."""
+    rng = np.random.default_rng(percent)
+    for n in (7, 8, 20, 50, 130, 700):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64) & jaccard.KEPT)
+            gone = rng.integers(0, (100 - percent) * n // 100 + 1)
+            b = a[rng.permutation(len(a))[gone:]]
+            new = rng.integers(0, 2**64 - 1, max(0, (100 - percent) * n // (100 + percent) - gone), dtype=np.uint64) & jaccard.KEPT
+            b = np.unique(np.concatenate([b, new]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                assert len(np.intersect1d(jaccard.bucket_keys(a, percent), jaccard.bucket_keys(b, percent)))
