@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import gc
 
 import numpy as np
 import xxhash
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from environs.session import ship
+from environs.storage import stash
 
 #: A word is a run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,31 +30,10 @@ def utf8(column: str) -> Column:
     return F.encode(F.col(column), "UTF-8")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="environs-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: the folder's owner cleans it
-        pass
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: it is computed once, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/environs/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join over size-banded tiles, with hashed bitmap signatures before exact intersections.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets are one node.
+A document's set holds 48-bit hashes of its distinct word shingles. Documents with equal sets are one node.
 
 Tiles. Sets are banded by size; tile t compares the sets of band t with each other and with those smaller ones that are
 large enough to link with them. Two sets link at ``percent`` only if their symmetric difference is at most
@@ -9,9 +9,10 @@ agree on at least one whole part; P has room for parts that are empty, which are
 bucket. A passage that many documents share rarely fills a whole part of theirs, so buckets of common passages stay small, no
 link can be missed, and no statistics of the corpus are needed.
 
-Links. (1) Each node is compared with the smallest node that it meets, and components are made of the links found. (2) In
-buckets that still hold several components, pairs of different components whose bitmaps allow a link are compared. Every
-pair that links is then in one component: large groups of copies take a number of comparisons in proportion to their size.
+Links. (1) Each node is compared with the bucket centre that it meets most often, and components are made of the links
+found. (2) In buckets that still hold several components, pairs of different components whose bitmaps allow a link are
+compared: first a forest of such pairs, at most as many as there are components, as often as ROUNDS says, then all that are
+left. Every pair that links is then in one component: large groups of copies take a number of comparisons in proportion to their size.
 
 A comparison bounds the overlap from above by the signatures, |A n B| <= (|A| + |B| - popcount(a xor b)) / 2 for
 parity bitmaps a and b, and only then intersects the sorted arrays.
@@ -28,24 +29,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, hashed_words, mix64, signed, stash, utf8, window_hashes
+from environs.operators.graph import components
+
+from .common import U64, WordHashes, hashed_words, mix64, release, signed, stash, utf8, window_hashes
 
 SHINGLE, PERCENT = 5, 80
 RATIO = 1.6
 SIGNATURE_BITS = 1024
-#: Bytes of a hash that sorted arrays carry: 48 of 64 bits, and of the bitmap that keeps arrays of other documents at home.
+#: Bytes of a hash that are kept, the high ones, and bits of the bitmap that keeps sets of other documents at home, at most.
 KEPT_BYTES, MAX_BITMAP = 6, 1 << 28
+KEPT = ~U64((1 << (64 - 8 * KEPT_BYTES)) - 1)
+#: Rounds in which buckets give a forest of their open pairs before they give all of them.
+ROUNDS = 2
 #: Members that are compared with one centre in a task.
 MEMBERS = 4_096
 
 
 def shingle_set(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of all k-word shingles; of the whole sequence if it is shorter."""
+    """Sorted distinct hashes, of 48 bits, of all k-word shingles; of the whole sequence if it is shorter."""
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, U64)
     h = hashed_words(words, known)
-    return np.unique(window_hashes(h, min(k, len(h))))
+    return np.unique(window_hashes(h, min(k, len(h))) & KEPT)
 
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
@@ -56,7 +62,7 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 
 def signature(s: np.ndarray) -> bytes:
     """Bit i is the parity of the number of elements that hash to i."""
-    return np.packbits(np.bincount((s & U64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(((s >> U64(16)) & U64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -65,7 +71,7 @@ def packed(s: np.ndarray) -> bytes:
 
 def unpacked(b: bytes) -> np.ndarray:
     a = np.zeros((len(b) // KEPT_BYTES, 8), np.uint8)
-    a[:, :KEPT_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEPT_BYTES)
+    a[:, 8 - KEPT_BYTES :] = np.frombuffer(b, np.uint8).reshape(-1, KEPT_BYTES)
     return a.view(U64).ravel()
 
 
@@ -123,49 +129,51 @@ def bucket_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
+#: Sets that a task remembers to have given.
+REMEMBERED = 1_000_000
+
+
 def nodes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node, node2, bits."""
+    """doc_id, n (set size), node, node2, bits, elements: the set itself, packed, where a task meets a node first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, done = WordHashes(), set()
         for b in batches:
-            n, a, c, bits = [], [], [], []
-            for text in b.column(1):
+            out: list[tuple] = []
+            size, first = 0, 0
+            for i, text in enumerate(b.column(1)):
                 s = shingle_set(text.as_py(), k, known)
                 x, y = node_of(s)
-                n.append(len(s))
-                a.append(x)
-                c.append(y)
-                bits.append(signature(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, pa.int64()) for v in (n, a, c)], pa.array(bits, pa.binary())], ["doc_id", "n", "node", "node2", "bits"])
+                new = len(s) and x not in done
+                if new and len(done) < REMEMBERED:
+                    done.add(x)
+                out.append((len(s), x, y, signature(s) if new else None, packed(s) if new else None))
+                size += len(s)
+                if size > 2_000_000 or i == b.num_rows - 1:
+                    n, a, c, bits, elements = zip(*out)
+                    columns = [pa.array(v, pa.int64()) for v in (n, a, c)] + [pa.array(bits, pa.binary()), pa.array(elements, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), *columns], ["doc_id", "n", "node", "node2", "bits", "elements"])
+                    out, size, first = [], 0, i + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, bits binary")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, bits binary, elements binary")
 
 
-def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, node: the buckets of each set. A task gives a set that it meets again only once."""
+def keyed(members: DataFrame, percent: int) -> DataFrame:
+    """key, node: the buckets of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done = WordHashes(), set()
         for b in batches:
-            keys, names = [], []
-            for text in b.column(0):
-                s = shingle_set(text.as_py(), k, known)
-                name = node_of(s)[0]
-                if name in done:
-                    continue
-                if len(done) < 1_000_000:
-                    done.add(name)
-                keys.append(bucket_keys(s, percent))
+            keys, names, size = [], [], 0
+            for i, (name, elements) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+                keys.append(bucket_keys(unpacked(elements.as_py()), percent))
                 names.append(np.full(len(keys[-1]), name, np.int64))
-                if len(keys) >= 2_000:
+                size += len(keys[-1])
+                if size > 500_000 or i == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], ["key", "node"])
-                    keys, names = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], ["key", "node"])
+                    keys, names, size = [], [], 0
 
-    return docs.select(utf8("text").alias("text")).mapInArrow(run, "key long, node long")
+    return members.where("elements is not null").select("node", "elements").mapInArrow(run, "key long, node long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -224,34 +232,26 @@ def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
 
     cut = F.floor(F.col(column).bitwiseAND(F.lit(bits - 1)) / F.lit(slots)).cast("int")
     out = np.zeros((segments, slots // 8), np.uint8)
-    for r in rows.select(cut.alias("segment"), column).repartition("segment").mapInArrow(run, "segment int, bits binary").toLocalIterator():
+    for r in rows.select(cut.alias("segment"), column).repartition("segment").mapInArrow(run, "segment int, bits binary").collect():  # MAX_BITMAP bits at most
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def sets_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(node) -> node, n, bits, elements. A bitmap of the wanted nodes keeps most other sets from being shuffled."""
     filled = bitmap(wanted, "node", wanted.count())
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    shared = members.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done, seen = WordHashes(), set(), shared.value
-        mask = len(seen) * 8 - 1
+        seen = shared.value
+        mask = U64(len(seen) * 8 - 1)
         for b in batches:
-            out = []
-            for text in b.column(0):
-                s = shingle_set(text.as_py(), k, known)
-                name = node_of(s)[0]
-                p = (name & 0xFFFFFFFFFFFFFFFF) & mask
-                if name in done or not seen[p >> 3] >> (7 - (p & 7)) & 1:
-                    continue
-                if len(done) < 1_000_000:
-                    done.add(name)
-                out.append((name, len(s), signature(s), packed(s)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["node", "n", "bits", "elements"])
+            p = (b.column(0).to_numpy().view(U64) & mask).astype(np.int64)
+            at = np.flatnonzero(seen[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1)
+            if len(at):
+                yield b.take(pa.array(at))
 
-    found = docs.select(utf8("text").alias("text")).mapInArrow(run, "node long, n long, bits binary, elements binary")
+    found = members.where("elements is not null").select("node", "n", "bits", "elements").mapInArrow(run, "node long, n long, bits binary, elements binary")
     return found.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
 
@@ -293,41 +293,33 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) -> node, root (the smallest node of its component), by alternating large and small stars.
+class Forest(dict):
+    """Union-find over the roots that a task has joined."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
 
-    After Kiveris et al., 2014. Every node with an edge has a row, roots too.
-    """
-    e = edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
-    before = None
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        e = stash(small.distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
+def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (centre, node) of nodes in one bucket but in different components whose sizes and bitmaps allow a link.
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (centre, node) of nodes in one bucket but in different components whose sizes and bitmaps allow a link."""
+    forest: of these only pairs that join components which no other pair given by the task has joined.
+    """
     b = buckets.select("key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = b.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
     rows = b.join(mixed, "key", "left_semi").join(info, "node").repartition("key").sortWithinPartitions("key", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, done = None, [], set()
+        key, held, done, trees = None, [], set(), Forest()
 
         def pairs() -> Iterator[tuple[int, int]]:
-            if len(held) < 2:
+            root = np.array([trees.find(x[1]) for x in held])
+            if len(held) < 2 or (root == root[0]).all():
                 return
             v = np.array([x[0] for x in held])
-            root = np.array([x[1] for x in held])
             n = np.array([x[2] for x in held])
             bits = np.frombuffer(b"".join(x[3] for x in held), U64).reshape(len(held), -1)
             for i in range(len(held) - 1):
@@ -336,13 +328,19 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
                 if not len(j):
                     continue
                 j = j[may_link(int(n[i]), n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), percent)]
-                for x in v[j]:
-                    yield (int(min(v[i], x)), int(max(v[i], x)))
+                if forest and len(j):
+                    j = j[np.unique(root[j], return_index=True)[1]]
+                    other = root[j]
+                    for r in other.tolist():
+                        trees[r] = int(root[i])
+                    root[np.isin(root, other)] = root[i]
+                for x in v[j].tolist():
+                    yield (min(int(v[i]), x), max(int(v[i]), x))
 
         def fresh() -> Iterator[tuple[int, int]]:
             for p in pairs():
                 if p not in done:
-                    if len(done) < 1_000_000:
+                    if len(done) < REMEMBERED:
                         done.add(p)
                     yield p
 
@@ -371,22 +369,29 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     nothing. Repeated rows link with each other. A null doc_id is passed over when the smallest is chosen. Other columns are not
     looked at. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    members = stash(nodes(docs, shingle), "sets")
+    members = stash(nodes(docs.select("doc_id", "text"), shingle), "sets")
     if members.groupBy("node").agg(F.min("node2").alias("a"), F.max("node2").alias("z")).where("a <> z").limit(1).count():
         raise RuntimeError("two sets have one 64-bit name")
-    buckets = stash(shared_buckets(keyed(docs, shingle, percent)), "buckets")
-    first = stash(buckets.where("centre <> node").groupBy("node").agg(F.min("centre").alias("centre")).select("centre", "node"), "first")
-    wanted = first.select("node").union(first.select("centre")).distinct()
-    links = stash(linked(first, sets_of(docs, wanted, shingle), percent), "links")
+    buckets = stash(shared_buckets(keyed(members, percent)), "buckets")
+    release(docs)
+    info = members.where("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("node").union(pairs.select("centre")).distinct()
+        return stash(linked(pairs, sets_of(members, wanted), percent), "links")
+
+    meetings = buckets.where("centre <> node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    best = F.max_by("centre", F.struct("times", -F.col("centre")))
+    links = compared(stash(meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node"), "first"))
     labels = components(links)
-    info = members.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    more = stash(open_pairs(buckets, labels, info, percent), "open")
-    if more.limit(1).count():
-        wanted = more.select("node").union(more.select("centre")).distinct()
-        rest = linked(more, sets_of(docs, wanted, shingle), percent)
-        labels = components(stash(links.union(rest), "links"))
-    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for turn in range(ROUNDS + 1):
+        more = stash(open_pairs(buckets, labels, info, percent, turn < ROUNDS), "open")
+        release(docs)
+        if not more.limit(1).count():
+            break
+        links = links.union(compared(more))
+        labels = components(links)
+    named = members.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).alias("root")).join(smallest, "root", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("root").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
