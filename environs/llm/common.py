@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -36,6 +38,21 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(df: DataFrame, size: int = 4_000_000) -> Iterator[None]:
+    """While a step runs, rows go to Python in batches of a few megabytes: both sides hold less at a time."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH, None)
+    conf.set(BATCH, str(size))
+    try:
+        yield
+    finally:
+        conf.unset(BATCH) if before is None else conf.set(BATCH, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit integers (the finalizer of splitmix64), vectorised."""
     with np.errstate(over="ignore"):

@@ -15,13 +15,14 @@ import numpy as np
 def s_types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next; the last one is larger than the empty suffix."""
     n = len(t)
-    differs = np.flatnonzero(t[1:] != t[:-1])
     smaller = np.zeros(n, bool)
-    if len(differs):
-        at = np.searchsorted(differs, np.arange(n), "left")  # the first place from i on where neighbours differ
-        inside = at < len(differs)
-        d = differs[np.minimum(at, len(differs) - 1)]
-        smaller = inside & (t[d] < t[np.minimum(d + 1, n - 1)])
+    if n < 2:
+        return smaller
+    at = np.where(t[1:] != t[:-1], np.arange(n - 1, dtype=np.int32), n)
+    at = np.minimum.accumulate(at[::-1])[::-1]  # the first place from i on where neighbours differ
+    inside = at < n
+    d = at[inside]
+    smaller[:-1][inside] = t[d] < t[d + 1]
     return smaller
 
 
@@ -45,14 +46,14 @@ class _Buckets:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else _NONE
 
 
-_NONE = np.empty(0, np.int64)
+_NONE = np.empty(0, np.int32)
 
 
 def _induce(t: np.ndarray, size: int, lms: _Buckets) -> np.ndarray:
     """All suffixes in the order that the given order of the leftmost-S ones induces."""
     n = len(t)
     larger = _Buckets(size)
-    larger.add(np.array([n - 1]), t[n - 1 :])
+    larger.add(np.array([n - 1], np.int32), t[n - 1 :])
     done: list[np.ndarray] = [_NONE] * size
     for c in range(size):
         batch, got = larger.take(c), []
@@ -85,20 +86,29 @@ def _induce(t: np.ndarray, size: int, lms: _Buckets) -> np.ndarray:
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string over a large alphabet, by doubling the length that ranks tell apart."""
+    """The suffix array of a string over a large alphabet, by doubling the length that ranks tell apart.
+
+    A rank is the place of the first suffix that is equal so far; only suffixes that are not alone there are sorted again.
+    """
     n, step = len(names), 1
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    left = np.arange(n)  # places that hold suffixes which are not yet alone
+    rank = np.empty(n, np.int64)
+    key = names[order].astype(np.int64)
     while True:
-        following = np.zeros(n, np.int64)
-        following[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
-        if new[order[-1]] == n - 1 or step >= n:
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        rank[order[left]] = first
+        alone = new & np.r_[new[1:], True]
+        left = left[~alone]
+        if not len(left):
             return order
-        rank, step = new, 2 * step
+        suffixes = order[left]
+        after = suffixes + step
+        key = rank[suffixes] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        order[left], key = suffixes[again], key[again]
+        step *= 2
 
 
 def suffix_array(t: np.ndarray, size: int = 256) -> np.ndarray:
@@ -107,7 +117,7 @@ def suffix_array(t: np.ndarray, size: int = 256) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     small = s_types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     order = lms
     if len(lms) > 1:
         start = _Buckets(size)

@@ -18,7 +18,6 @@ Strings of different anchors are never equal, so shards are independent and no m
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, stash, utf8
+from .common import U64, mix64, release, small_batches, stash, utf8
 from .suffixarray import permuted_lcp, suffix_array
 
 LENGTH, K = 50, 16
 #: Text that a task holds when it merges stretches, text for each packed bucket, and bytes of a shard.
-MERGE_BYTES, BUCKET_BYTES, SHARD_BYTES = 16_000_000, 12_000_000, 2_000_000
-#: Text whose anchors are found together.
-CHUNK_BYTES = 400_000
+MERGE_BYTES, BUCKET_BYTES, SHARD_BYTES = 8_000_000, 6_000_000, 1_000_000
+#: Text whose anchors are found together; a longer text is read in slices that overlap by LENGTH - 1 bytes.
+CHUNK_BYTES, SLICE_BYTES = 400_000, 8_000_000
+#: Bits of a place in a chunk; the others compare hashes.
+PLACE_BITS = 28
 
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
+_LOW, _HIGH = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -71,14 +73,17 @@ class Anchors:
         a = np.frombuffer(raw + b"\0" * 8, np.uint8)
         word = np.ndarray((n + 1,), "<u8", a.data, strides=(1,)).copy()
         with np.errstate(over="ignore"):
-            h = mix64(mix64(word[: n - K + 1]) + word[8 : n - K + 9])
-        value, at = h, np.arange(len(h), dtype=np.int32)
+            h = word[: n - K + 1] * _LOW + word[8 : n - K + 9] * _HIGH
+            h = (h ^ (h >> U64(32))) * U64(_B)
+            h ^= h >> U64(29)
+        # the smallest of the hashes' high bits, then the leftmost: one minimum finds both
+        value = (h & ~U64((1 << PLACE_BITS) - 1)) | np.arange(len(h), dtype=U64)
         width, wanted = 1, LENGTH - K + 1
         while width < wanted:
             step = min(width, wanted - width)
-            left = value[:-step] <= value[step:]
-            value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
+            value = np.minimum(value[:-step], value[step:])
             width += step
+        at = (value & U64((1 << PLACE_BITS) - 1)).astype(np.int32)
         ends = np.cumsum(sizes)
         begins = ends - sizes
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -150,14 +155,15 @@ def stretches(docs: DataFrame, n_buckets: int) -> DataFrame:
         anchors = Anchors()
         held: list[np.ndarray] = []
         size = 0
-        ids: list[int] = []
+        ids: list[tuple[int, int]] = []  # document, and where the slice begins in it
         texts: list[bytes] = []
 
         def found() -> None:
             if texts:
                 owner, start, count, key, content = anchors.find(texts)
                 r = np.empty(len(owner), RECORD)
-                r["key"], r["content"], r["doc"], r["start"], r["count"] = key, content, np.array(ids, np.int64)[owner], start, count
+                which = np.array(ids, np.int64).reshape(-1, 2)[owner]
+                r["key"], r["content"], r["doc"], r["start"], r["count"] = key, content, which[:, 0], start + which[:, 1], count
                 r["key"] &= ~U64(0xFFFF)
                 r["content"] &= ~U64(0xFFFF)
                 held.append(r)
@@ -184,17 +190,18 @@ def stretches(docs: DataFrame, n_buckets: int) -> DataFrame:
                 t = text.as_py()
                 if doc is None or not t or len(t) < LENGTH:
                     continue
-                ids.append(doc)
-                texts.append(t)
-                size += len(t)
-                waiting += len(t)
-                if waiting >= CHUNK_BYTES:
-                    found()
-                    waiting = 0
-                if size >= MERGE_BYTES:
-                    found()
-                    yield from flushed()
-                    size = waiting = 0
+                for begin in range(0, len(t) - LENGTH + 1, SLICE_BYTES):
+                    ids.append((doc, begin))
+                    texts.append(t[begin : begin + SLICE_BYTES + LENGTH - 1])
+                    size += len(texts[-1])
+                    waiting += len(texts[-1])
+                    if waiting >= CHUNK_BYTES:
+                        found()
+                        waiting = 0
+                    if size >= MERGE_BYTES:
+                        found()
+                        yield from flushed()
+                        size = waiting = 0
         found()
         if held:
             yield from flushed()
@@ -202,35 +209,36 @@ def stretches(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, ROWS)
 
 
-def met(packed: DataFrame) -> DataFrame:
-    """Buckets of packed records -> rows of kinds 0 and 1."""
+def met(mapped: DataFrame, n_buckets: int) -> DataFrame:
+    """Buckets of packed records -> rows of kinds 0 and 1; rows of kind 0 pass through. A task reads one bucket, or a few."""
 
     def judged(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         own, gone = merged(np.concatenate([unpack(x) for x in parts]))
         if len(gone):
             yield rows(0, gone)
         key = own["key"]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        begins = np.r_[True, key[1:] != key[:-1]]
+        new, group = np.flatnonzero(begins), np.cumsum(begins) - 1
         several = np.minimum.reduceat(own["doc"], new) != np.maximum.reduceat(own["doc"], new)
         wanted = own[several[group]]
         if len(wanted):
             yield rows(1, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        parts: dict[int, list[bytes]] = {}
         for b in batches:
-            for bucket, records in zip(b.column(0).to_pylist(), b.column(1)):
-                if bucket != now and parts:
-                    yield from judged(parts)
-                    parts = []
-                now = bucket
-                parts.append(records.as_py())
-        if parts:
-            yield from judged(parts)
+            b = b.drop_columns(["bucket"])
+            is_pack = b.column(0).to_numpy() == 2
+            if not is_pack.all():
+                yield b.filter(pa.array(~is_pack))
+            packs = b.filter(pa.array(is_pack))
+            for bucket, records in zip(packs.column(2).to_pylist(), packs.column(5)):
+                parts.setdefault(bucket, []).append(records.as_py())
+        while parts:
+            yield from judged(parts.popitem()[1])
 
-    p = packed.select(F.col("at").alias("bucket"), "records").repartition("bucket").sortWithinPartitions("bucket")
-    return p.mapInArrow(run, ROWS)
+    bucket = F.when(F.col("kind") == 2, F.col("at")).otherwise(F.pmod("doc_id", F.lit(n_buckets)))
+    return mapped.withColumn("bucket", bucket).repartition(n_buckets, "bucket").mapInArrow(run, ROWS)
 
 
 def shard_classes(text: np.ndarray) -> np.ndarray:
@@ -300,45 +308,40 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("doc_id", "wanted", "text").mapInArrow(run, "key long, doc_id long, at long, n int, bytes binary")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id and spans, packed (start, number of strings) pairs of int64, of the strings that go."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n_buckets = max(1, -(-size // BUCKET_BYTES))
-    mapped = stash(stretches(docs, n_buckets), "stretches")
-    judged = stash(met(mapped.where("kind = 2")), "met")
+    with small_batches(docs):
+        judged = stash(met(stretches(docs, n_buckets), n_buckets), "met")
     release(docs)
     wanted = judged.where("kind = 1").select("doc_id", "at", "n", "key")
     n_bytes = wanted.agg(F.sum(F.col("n") + F.lit(LENGTH + 4)).alias("n")).first().n or 0
     own = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n_shards = max(int(own), -(-n_bytes // (4 * SHARD_BYTES)))
-    ends = stash(sharded(fetched(docs, wanted), n_shards), "ends")
+    with small_batches(docs):
+        ends = stash(sharded(fetched(docs, wanted), n_shards), "ends")
     release(docs)
-    spans = [x.select("doc_id", "at", F.col("n").cast("long").alias("n")) for x in (mapped.where("kind = 0"), judged.where("kind = 0"), ends)]
-    return spans[0].union(spans[1]).union(spans[2])
+    spans = [x.select("doc_id", "at", F.col("n").cast("long").alias("n")) for x in (judged.where("kind = 0"), ends)]
+    return spans[0].union(spans[1])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes).
 
     Texts are UTF-8 bytes, null is empty. Matches never cross documents, and are judged on the input. A null doc_id is in no
-    order: its text neither loses bytes nor makes others lose any. Rows with one doc_id are one document to each other. The text of
-    each row is edited alone when doc_ids are distinct; with equal doc_ids, spans of the rows would mix, so such rows are kept
-    whole unless their texts are equal. Empty tables give no rows; other columns are not looked at.
+    order: its text neither loses bytes nor makes others lose any. Rows with one doc_id lose nothing to each other; if their texts
+    differ they lose nothing at all, though others lose what they have. Empty tables give no rows; other columns are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    spans = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("doc_id", "__id")
+    h = F.xxhash64("text")
+    unclear = docs.select("doc_id", h.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
+    spans = repeated(docs).join(unclear.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("doc_id", "__id")
     both = docs.select("doc_id", utf8("text").alias("text")).join(spans, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            starts, counts = None, None
             for text, spans in zip(b.column(1), b.column(2)):
                 t = text.as_py() or b""
                 if not spans.is_valid:
@@ -346,9 +349,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 flat = spans.values
                 starts, counts = flat.field("at").to_numpy(), flat.field("n").to_numpy()
-                change = np.zeros(len(t) + 1, np.int32)
-                np.add.at(change, starts, 1)
-                np.add.at(change, np.minimum(starts + counts + LENGTH - 1, len(t)), -1)
+                ends = np.minimum(starts + counts + LENGTH - 1, len(t))
+                change = np.bincount(np.minimum(starts, len(t)), minlength=len(t) + 1) - np.bincount(ends, minlength=len(t) + 1)
                 gone = np.cumsum(change[:-1]) > 0
                 a = np.frombuffer(t, np.uint8)
                 runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
