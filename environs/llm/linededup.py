@@ -99,7 +99,7 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
 
     seen = docs.select(utf8("text").alias("text")).mapInArrow(hashes, "segment int, h long, n tinyint")
     out = np.zeros((1 << SEGMENT_BITS, slots // 8), np.uint8)
-    for r in seen.repartition("segment").mapInArrow(filters, "segment int, bits binary").toLocalIterator():
+    for r in seen.repartition("segment").mapInArrow(filters, "segment int, bits binary").collect():  # MAX_BITS bits at most
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
     return out
 
