@@ -96,11 +96,13 @@ def mix(
     d = narrow.join(targets, on)
     n_ranges = F.ceil(F.col("n_docs") / F.lit(RANGE_ROWS))
     d = d.withColumn("range", F.least(F.floor((F.lit(1.0) - F.col("key")) * n_ranges), n_ranges - 1))
-    sums = d.groupBy(*on, "range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy(*on).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*on, "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before_range"))
-    d = d.join(sums, [*on, "range"])
-    inside = Window.partitionBy(*on, "range").orderBy(F.desc("key"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    # one column for source and range: rows that were dealt by source for the join above are dealt anew, by range
+    d = d.withColumn("part", F.struct(*on, "range")).drop(*on, "range")
+    sums = d.groupBy("part").agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("part.no_source", "part.source_name").orderBy("part.range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before_range"))
+    d = d.join(sums, "part")
+    inside = Window.partitionBy("part").orderBy(F.desc("key"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_range") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long")
     d = d.withColumn("epochs", whole).withColumn("before", before)
