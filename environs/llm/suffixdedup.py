@@ -31,9 +31,9 @@ from .suffixarray import permuted_lcp, suffix_array
 
 LENGTH, K = 50, 16
 #: Text that a task holds when it merges stretches, text for each packed bucket, and bytes of a shard.
-MERGE_BYTES, BUCKET_BYTES, SHARD_BYTES = 8_000_000, 6_000_000, 1_000_000
+MERGE_BYTES, BUCKET_BYTES, SHARD_BYTES = 4_000_000, 4_000_000, 1_000_000
 #: Text whose anchors are found together; a longer text is read in slices that overlap by LENGTH - 1 bytes.
-CHUNK_BYTES, SLICE_BYTES = 400_000, 8_000_000
+CHUNK_BYTES, SLICE_BYTES = 250_000, 2_000_000
 #: Bits of a place in a chunk; the others compare hashes.
 PLACE_BITS = 28
 
