@@ -303,10 +303,28 @@ class Forest(dict):
         return x
 
 
+def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """pairs(centre, node) whose sizes and bitmaps allow a link: only these have their sets fetched."""
+    a = info.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    both = pairs.join(info, "node").join(a, "centre").select("centre", "node", "n", "bits", "n1", "bits1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), U64).reshape(b.num_rows, -1) for c in ("bits", "bits1"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = may_link(b.column("n").to_numpy(), b.column("n1").to_numpy(), differ, percent)
+            yield b.select(["centre", "node"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "centre long, node long")
+
+
 def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (centre, node) of nodes in one bucket but in different components whose sizes and bitmaps allow a link.
+    """buckets(key, node) -> (null, centre, node) for pairs of nodes in one bucket but in different components whose sizes and
+    bitmaps allow a link, and (key, null, node) for the rows that have such a partner: no other row needs to be read again.
 
-    forest: of these only pairs that join components which no other pair given by the task has joined.
+    forest: of the pairs only those that join components which no other pair given by the task has joined.
     """
     b = buckets.select("key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = b.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
@@ -315,50 +333,59 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, done, trees = None, [], set(), Forest()
 
-        def pairs() -> Iterator[tuple[int, int]]:
-            root = np.array([trees.find(x[1]) for x in held])
-            if len(held) < 2 or (root == root[0]).all():
+        def judged() -> Iterator[tuple]:
+            if len(held) < 2:
                 return
             v = np.array([x[0] for x in held])
+            root = np.array([x[1] for x in held])
             n = np.array([x[2] for x in held])
             bits = np.frombuffer(b"".join(x[3] for x in held), U64).reshape(len(held), -1)
+            tree = np.array([trees.find(r) for r in root.tolist()])
+            alive = np.zeros(len(held), bool)
             for i in range(len(held) - 1):
                 end = np.searchsorted(n, 100 * n[i] // percent, "right")
                 j = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
                 if not len(j):
                     continue
                 j = j[may_link(int(n[i]), n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), percent)]
-                if forest and len(j):
-                    j = j[np.unique(root[j], return_index=True)[1]]
-                    other = root[j]
+                if not len(j):
+                    continue
+                alive[i] = alive[j] = True
+                if forest:
+                    j = j[tree[j] != tree[i]]
+                    j = j[np.unique(tree[j], return_index=True)[1]]
+                    other = tree[j]
                     for r in other.tolist():
-                        trees[r] = int(root[i])
-                    root[np.isin(root, other)] = root[i]
+                        trees[r] = int(tree[i])
+                    tree[np.isin(tree, other)] = tree[i]
                 for x in v[j].tolist():
-                    yield (min(int(v[i]), x), max(int(v[i]), x))
-
-        def fresh() -> Iterator[tuple[int, int]]:
-            for p in pairs():
-                if p not in done:
-                    if len(done) < REMEMBERED:
-                        done.add(p)
-                    yield p
-
-        out: list[tuple[int, int]] = []
+                    p = (min(int(v[i]), x), max(int(v[i]), x))
+                    if p not in done:
+                        if len(done) < REMEMBERED:
+                            done.add(p)
+                        yield (None, *p)
+            if forest:
+                for x in v[alive].tolist():
+                    yield (key, None, x)
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["key", "centre", "node"])
+
+        out: list[tuple] = []
         for b in batches:
             for k, node, root, n, bits in zip(*[b.column(x).to_pylist() for x in ("key", "node", "root", "n", "bits")]):
                 if k != key:
-                    out += fresh()
+                    out += judged()
                     key, held = k, []
                 held.append((node, root, n, bits))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["centre", "node"])
+                yield batch(out)
                 out = []
-        out += fresh()
+        out += judged()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["centre", "node"])
+            yield batch(out)
 
-    return rows.select("key", "node", "root", "n", "bits").mapInArrow(run, "centre long, node long").distinct()
+    return rows.select("key", "node", "root", "n", "bits").mapInArrow(run, "key long, centre long, node long")
 
 
 def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -382,11 +409,14 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     meetings = buckets.where("centre <> node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
     best = F.max_by("centre", F.struct("times", -F.col("centre")))
-    links = compared(stash(meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node"), "first"))
+    first = meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node")
+    links = compared(stash(possible(first, info, percent), "first"))
     labels = components(links)
     for turn in range(ROUNDS + 1):
-        more = stash(open_pairs(buckets, labels, info, percent, turn < ROUNDS), "open")
+        found = stash(open_pairs(buckets, labels, info, percent, turn < ROUNDS), "open")
         release(docs)
+        more = found.where("key is null").select("centre", "node").distinct()
+        buckets = found.where("key is not null").select("key", "node")
         if not more.limit(1).count():
             break
         links = links.union(compared(more))
