@@ -399,6 +399,21 @@ def test_importance(spark):
     assert importance.resample(docs_of(spark, []), labels).collect() == []
 
 
+def test_importance_leaves_toxic_out(spark):
+    """Unlabelled good prose with three toxic words goes, though the share has room for all of it; clean prose stays."""
+    rng = random.Random(12)
+    prose = lambda: [rng.choice(["good", "fine", "text", "here"]) + str(rng.randrange(50)) for _ in range(80)]
+    bad = lambda: prose() + [rng.choice(["vile1", "vile2"]) + rng.choice([".", ",", ""]) for _ in range(3)]
+    rows = [(i, " ".join(prose())) for i in range(300)] + [(1000 + i, " ".join(bad())) for i in range(100)] + [(2000, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 1, 1) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in importance.resample(docs_of(spark, rows), labels, share=1.0).collect()}
+    assert len(got) == len(rows) and got[2000]
+    assert not any(got[1000 + i] for i in range(1, 100, 2))
+    assert sum(got[i] for i in range(1, 300, 2)) >= 148
+    model = importance.toxic_model(docs_of(spark, rows), labels)
+    assert model.words.keys() == {b"vile1", b"vile2"} and model.caught == 1.0 and model.spared >= importance.CLEAN_SHARE
+
+
 def test_largest_is_exact(spark):
     rng = random.Random(0)
     rows = [(i, rng.choice([None, rng.gauss(0, 1), 0.001])) for i in range(400)]
