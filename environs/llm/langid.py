@@ -5,14 +5,13 @@ into longest matches: a phrase ends where no continuation occurs in the labelled
 there ends one as well. The language with the fewest phrases, each weighted by log2 of its training length, wins.
 
 Training text is a bounded sample, of ``sample_docs`` documents and ``sample_chars`` characters a language; prediction
-reads every text whole. Texts are cut into blocks of ``BLOCK`` characters and all blocks step through a dense transition
-table together, so the work for a character is one table look-up for each language whatever the text's length.
+reads every text whole. Texts are cut into blocks of ``BLOCK`` characters and all blocks step through the transitions
+together, so the work for a character is one look-up for each language whatever the text's length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
-#: Symbols that the automata tell apart; rarer characters are one further symbol that matches nothing.
-ALPHABET = 254
+#: Entries of dense transition tables, for one language and in all; larger alphabets have sorted transitions.
+DENSE, DENSE_ALL = 1 << 22, 1 << 24
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 64, 8_000, 256
 #: Characters parsed at a time in a worker.
 AT_ONCE = 3_000_000
@@ -60,34 +59,53 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Languages, a code for each character, and for each language a flat transition table.
+    """Languages, a code for each character of the training text (0: never seen), and for each language its transitions.
 
-    An entry is the next state's row offset, or, where the phrase ends, the bitwise complement of the offset at which the
-    next phrase stands after this character.
+    A language has symbols for its own characters only. Its transitions are a flat table by state and symbol or, where that
+    would be large, the sorted keys state * width + symbol with the states they lead to and the states that each symbol
+    leads to from the start. States are held as ``state * scale``, with the scale width in a table and 1 otherwise.
     """
 
     def __init__(self, texts: dict[str, str]):
-        seen = Counter(c for t in texts.values() for c in t)
-        chars = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        self.width = len(chars) + 1
-        self.codes = np.zeros(0x110000, np.uint8)
+        chars = sorted({c for t in texts.values() for c in t})
+        self.codes = np.zeros(0x110000, np.min_scalar_type(len(chars)))
         for i, c in enumerate(chars, 1):
             self.codes[ord(c)] = i
         self.languages = sorted(texts)
-        self.tables, self.bits = [], []
+        self.symbols, self.tables, self.bits, room = [], [], [], DENSE_ALL
         for name in self.languages:
-            nexts = suffix_automaton([x for x in self.encode(texts[name]).tolist() if x])
-            table = np.full((len(nexts), self.width), -1, np.int64)
-            for state, to in enumerate(nexts):
-                for c, t in to.items():
-                    table[state, c] = t
-            restart = np.maximum(table[0], 0) * self.width
-            self.tables.append(np.where(table >= 0, table * self.width, ~restart[None, :]).astype(np.int32).ravel())
+            mine, sequence = np.unique(self.encode(texts[name]), return_inverse=True)
+            symbols = np.zeros(len(chars) + 1, np.int32)
+            symbols[mine] = np.arange(1, len(mine) + 1)
+            nexts, width = suffix_automaton((sequence + 1).tolist()), len(mine) + 1
+            restart = np.zeros(width, np.int64)
+            restart[list(nexts[0])] = list(nexts[0].values())
+            if len(nexts) * width <= min(DENSE, room):
+                room -= len(nexts) * width
+                table = np.repeat(~(restart * width)[None, :], len(nexts), 0)
+                for state, to in enumerate(nexts):
+                    for c, t in to.items():
+                        table[state, c] = t * width
+                self.tables.append((table.astype(np.int32).ravel(),))
+            else:
+                key, to = np.array(sorted((state * width + c, t) for state, row in enumerate(nexts) for c, t in row.items()), np.int64).T
+                self.tables.append((np.ascontiguousarray(key), to.astype(np.int32), restart.astype(np.int32), width))
+            self.symbols.append(symbols)
             self.bits.append(float(np.log2(max(2, len(texts[name])))))
 
     def encode(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
+    @staticmethod
+    def step(table: tuple, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states or, where the phrase ends, the bitwise complements of the states of the next phrases after the symbols."""
+        if len(table) == 1:
+            return table[0][state + symbol]
+        keys, to, restart, width = table
+        key = state.astype(np.int64) * width + symbol
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, to[at], ~restart[symbol])
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (row) in each language (column); none for an empty text."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
@@ -104,10 +122,11 @@ class Model:
         flat = np.concatenate(texts)
         active = np.searchsorted(-lengths, -np.arange(BLOCK), side="left")  # blocks longer than each offset
         for k, table in enumerate(self.tables):
+            symbols = self.symbols[k][flat]
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
             for t in range(int(lengths[0])):
                 a = active[t]
-                to = table[state[:a] + flat[starts[:a] + t]]
+                to = self.step(table, state[:a], symbols[starts[:a] + t])
                 ended = to >> 31
                 count[:a] -= ended
                 state[:a] = to ^ ended
@@ -163,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         scores[i] = 1.0 if len(weight) == 1 else (rest[i, 1] - rest[i, 0]) / max(rest[i, 1], 1.0)
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-        none = np.empty(0, np.uint8)
+        none = np.empty(0, m.codes.dtype)
         for b in batches:
             ids, codes, size = [], [], 0
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):

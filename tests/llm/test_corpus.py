@@ -453,6 +453,23 @@ def test_language(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+@pytest.mark.parametrize("dense", [1 << 26, 0])
+def test_language_many_characters(dense, monkeypatch):
+    """Two languages of 1,000 characters each, more than any small alphabet: phrases are exact and tell them apart."""
+    rng = random.Random(4)
+    monkeypatch.setattr(langid, "DENSE", dense, raising=False)
+    word = {"hh": [chr(0x4E00 + rng.randrange(1000)) + chr(0x4E00 + rng.randrange(1000)) for _ in range(1500)], "kk": [chr(0xAC00 + rng.randrange(1000)) + chr(0xAC00 + rng.randrange(1000)) for _ in range(1500)]}
+    make = lambda lang, n: "".join(rng.choice(word[lang]) for _ in range(n))
+    texts = {"aa": "plain latin letters " * 40, "hh": make("hh", 1500), "kk": make("kk", 1500)}
+    m = langid.Model(texts)
+    for lang in ("hh", "kk"):
+        for _ in range(10):
+            t = make(lang, 30)
+            got = m.phrases([m.encode(t)])[0].tolist()
+            assert got == [phrases_plain(texts[x], t) for x in m.languages]
+            assert m.languages[int((np.array(got) * m.bits).argmin())] == lang
+
+
 def test_held_out(spark):
     import zlib
 
