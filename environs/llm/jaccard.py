@@ -428,7 +428,12 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents of docs without the copies: of each group the one with the smallest doc_id, and one row of it."""
-    groups = join_components(docs, **options)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The documents of docs without the copies: of each group the one with the smallest doc_id, a missing one being the last.
+
+    Copies are told apart by doc_id and a hash of the text, so of different texts under one doc_id, or under none, one stays.
+    Rows that are equal in both stay or go together.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = join_components(docs.select(row.alias("doc_id"), "text"), **options)
+    gone = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")

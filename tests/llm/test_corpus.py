@@ -150,6 +150,17 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 9, 11]
 
 
+def test_one_of_each_without_or_with_shared_ids(spark):
+    """Copies without a doc_id go, also where none of the group has one; other texts without one stay; so with a doc_id used twice."""
+    w = [f"w{i}" for i in range(60)]
+    near = " ".join([*w[:-1], "edit"])
+    alone, other, third = "no copy of this text is here at all", " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(5, " ".join(w)), (None, " ".join(w)), (None, near), (None, alone), (None, other), (None, other + " more"), (7, third), (7, third + " more"), (None, None)]
+    got = jaccard.one_of_each(docs_of(spark, rows)).collect()
+    assert sum(r.doc_id is None for r in got) == 3 and sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 7]
+    assert alone in {r.text for r in got} and sum((r.text or "").startswith("x0 ") for r in got) == 1
+
+
 def test_tiles_cover_pairs():
     """Two sizes that may link share a tile, and a full-size set leaves few parts empty."""
     for percent in (80, 85):
