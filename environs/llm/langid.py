@@ -4,7 +4,7 @@ For each language a suffix automaton of labelled text is built on the driver. A
 into longest matches: a phrase ends where no continuation occurs in the labelled text, and a character that never occurs
 there ends one as well. The language with the fewest phrases, each weighted by log2 of its training length, wins.
 
-Training text is a bounded sample, of ``sample_docs`` documents and ``sample_chars`` characters a language; prediction
+Training text is a bounded sample, of ``sample_chars`` characters a language shared by ``sample_docs`` documents; prediction
 reads every text whole. Texts are cut into blocks of ``BLOCK`` characters and all blocks step through the transitions
 together, so the work for a character is one look-up for each language whatever the text's length.
 """
@@ -139,21 +139,44 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def level(lengths: list[int], total: int) -> int:
+    """The largest bound on each length under which they sum to total at most."""
+    left, bound = total, 0
+    for i, n in enumerate(sorted(lengths)):
+        bound = left // (len(lengths) - i)
+        if n > bound:
+            return bound
+        left -= n
+    return max([bound, *lengths])
+
+
 def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> Model:
-    """From docs(doc_id, text, lang): the sample_docs documents of each language with the smallest hash of their ids."""
+    """From docs(doc_id, text, lang): the sample_docs documents of each language with the smallest hash of their ids.
+
+    Each gives an equal share of sample_chars, or all it has, from a place that its hash says. More than MAX_LANGUAGES
+    languages are an error.
+    """
     from pyspark.sql import Window
 
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("rank", F.row_number().over(by_hash))
-    rows = picked.where(F.col("rank") <= sample_docs).limit(sample_docs * MAX_LANGUAGES).collect()
-    ids = sorted({r.doc_id for r in rows if r.doc_id is not None})
-    sample = usable.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.substring("text", 1, sample_chars).alias("text"))
+    picked = usable.select("doc_id", "lang", "h").withColumn("rank", F.row_number().over(by_hash))
+    rows = picked.where(F.col("rank") <= sample_docs).limit(sample_docs * MAX_LANGUAGES + 1).collect()
+    if len({r.lang for r in rows}) > MAX_LANGUAGES or len(rows) > sample_docs * MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    wanted = {(r.lang, r.doc_id) for r in rows if r.doc_id is not None}
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1
+    part = F.substring("text", start.cast("int"), F.lit(sample_chars))  # a text of more characters isn't read from its beginning
+    found = usable.where(F.col("doc_id").isin(sorted({i for _, i in wanted}))).groupBy("lang", "doc_id").agg(F.min("h").alias("h"), F.min(part).alias("text"))
+    parts: dict[str, list] = {}
+    for r in found.collect():
+        if (r.lang, r.doc_id) in wanted:
+            parts.setdefault(r.lang, []).append((r.h, r.text.lower()))
     texts: dict[str, str] = {}
-    for r in sorted(sample.limit(2 * sample_docs * MAX_LANGUAGES).collect(), key=lambda r: (r.lang, r.h, r.text)):
-        have = texts.get(r.lang, "")
-        if len(have) < sample_chars:
-            texts[r.lang] = (have + "\n" + r.text.lower())[: sample_chars + 1]
+    for lang, own in parts.items():
+        most = level([len(t) + 1 for _, t in own], sample_chars) - 1
+        at = [(h % max(1, len(t) - most + 1), t) for h, t in sorted(own)]
+        texts[lang] = "\n".join(t[i : i + most] for i, t in at)
     return Model(texts)
 
 

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -481,6 +482,19 @@ def test_language_many_characters(dense, monkeypatch):
             assert m.languages[int((np.array(got) * m.bits).argmin())] == lang
 
 
+def test_language_learns_from_all_sampled_documents(spark, monkeypatch):
+    """One long document doesn't fill the sample, and too many languages are an error, not left out."""
+    rows = [(i, f"{chr(0x430 + i)}" * (5000 if i % 2 else 40), "s", "ru") for i in range(30)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    seen = []
+    monkeypatch.setattr(langid, "Model", seen.append)
+    langid.learn(docs_of(spark, rows), sample_chars=1500)
+    assert {c for _, t, _, _ in rows for c in t} == set(seen[0]["ru"]) - {"\n"} and len(seen[0]["ru"]) <= 1501
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.learn(docs_of(spark, [(i, "some text", "s", lang) for i, lang in enumerate("abc" * 4)]))
+
+
 def test_held_out(spark):
     import zlib
 
