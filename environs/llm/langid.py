@@ -6,7 +6,7 @@ there ends one as well. The language with the fewest phrases, each weighted by l
 
 Training text is a bounded sample, of ``sample_chars`` characters a language shared by ``sample_docs`` documents; prediction
 reads every text whole. Texts are cut into blocks of ``BLOCK`` characters and all blocks step through the transitions
-together, so the work for a character is one look-up for each language whatever the text's length.
+together; a block that doesn't begin where the one before it ends is mended, so the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -107,30 +107,59 @@ class Model:
         return np.where(keys[at] == key, to[at], ~restart[symbol])
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (row) in each language (column); none for an empty text."""
+        """Phrases of each text (row) in each language (column); none for an empty text.
+
+        All blocks are parsed from the start state first. Then those whose predecessor ends elsewhere are parsed again from
+        there, as far as the state differs from the one held, until every block begins where the one before it ends.
+        """
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        n_blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), n_blocks)
+        owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
         if not len(owner):
             return out
         starts = np.concatenate([np.arange(0, s, BLOCK) for s in sizes if s])
         lengths = np.minimum(BLOCK, sizes[owner] - starts)
+        follows = starts > 0
+        final = np.r_[~follows[1:], True]
         starts += (np.cumsum(sizes) - sizes)[owner]
+        ends = starts + lengths
         order = np.argsort(-lengths, kind="stable")
-        owner, starts, lengths = owner[order], starts[order], lengths[order]
         flat = np.concatenate(texts)
-        active = np.searchsorted(-lengths, -np.arange(BLOCK), side="left")  # blocks longer than each offset
+        active = np.searchsorted(-lengths[order], -np.arange(BLOCK), side="left")  # blocks longer than each offset
+        first = starts[order]
         for k, table in enumerate(self.tables):
             symbols = self.symbols[k][flat]
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
-            for t in range(int(lengths[0])):
-                a = active[t]
-                to = self.step(table, state[:a], symbols[starts[:a] + t])
-                ended = to >> 31
-                count[:a] -= ended
-                state[:a] = to ^ ended
-            np.add.at(out[:, k], owner, count + (state > 0))
+            held, state = np.empty(len(flat), np.int32), np.zeros(len(owner), np.int32)  # what each step gave
+            for t in range(int(lengths[order[0]])):
+                at = first[: active[t]] + t
+                to = self.step(table, state[: len(at)], symbols[at])
+                held[at] = to
+                state[: len(at)] = to ^ (to >> 31)
+            begun, todo = np.zeros(len(owner), np.int32), np.flatnonzero(follows)
+            while len(todo):
+                to = held[ends[todo - 1] - 1]
+                state = to ^ (to >> 31)
+                wrong = state != begun[todo]
+                todo, state = todo[wrong], state[wrong]
+                begun[todo] = state
+                block, place = todo, starts[todo]
+                changed = []
+                while len(block):
+                    to, was = self.step(table, state, symbols[place]), held[place]
+                    held[place] = to
+                    state, old = to ^ (to >> 31), was ^ (was >> 31)
+                    place = place + 1
+                    over = place == ends[block]
+                    changed.append(block[over & (state != old)])
+                    on = (state != old) & ~over
+                    block, place, state = block[on], place[on], state[on]
+                todo = np.concatenate([*changed, np.empty(0, np.int64)]) + 1
+                todo = todo[todo < len(owner)]
+                todo = todo[follows[todo]]
+            last = held[ends[final] - 1]
+            ended = np.concatenate([[0], np.cumsum(held < 0)])
+            whole = ended[ends[final]] - ended[(np.cumsum(sizes) - sizes)[owner[final]]]
+            out[owner[final], k] = whole + ((last ^ (last >> 31)) > 0)
         return out
 
 

@@ -495,6 +495,17 @@ def test_language_learns_from_all_sampled_documents(spark, monkeypatch):
         langid.learn(docs_of(spark, [(i, "some text", "s", lang) for i, lang in enumerate("abc" * 4)]))
 
 
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_phrases_cross_blocks(block, monkeypatch):
+    """Long texts, with phrases over several blocks and among texts of other lengths, are parsed as wholes."""
+    rng = random.Random(block)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    train = {"x": "abracadabra banana " + "abcd" * 30, "y": "cab and nab " + "ab" * 70}
+    m = langid.Model(train)
+    texts = ["".join(rng.choice(["abcd" * 25, "ab" * 40, "q", "cab ", "banana"]) for _ in range(rng.randrange(60))) for _ in range(12)] + ["", "abcd" * 600]
+    assert m.phrases([m.encode(t) for t in texts]).tolist() == [[phrases_plain(train[x], t) for x in "xy"] for t in texts]
+
+
 def test_held_out(spark):
     import zlib
 
