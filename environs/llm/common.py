@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import numpy as np
 import xxhash
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from environs.session import ship
-from environs.storage import stash
+from environs.storage import drop, setting, stash
 
 #: A word is a run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,25 +30,31 @@ def utf8(column: str) -> Column:
     return F.encode(F.col(column), "UTF-8")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def small_batches(df: DataFrame, size: int = 4_000_000) -> AbstractContextManager:
+    """While a step runs, rows go to Python in batches of a few megabytes: both sides hold less at a time."""
+    return setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A key with more than this share of all rows is heavy: there can't be more than HEAVY of them.
+HEAVY = 1024
 
 
-@contextmanager
-def small_batches(df: DataFrame, size: int = 4_000_000) -> Iterator[None]:
-    """While a step runs, rows go to Python in batches of a few megabytes: both sides hold less at a time."""
-    conf = df.sparkSession.conf
-    before = conf.get(BATCH, None)
-    conf.set(BATCH, str(size))
-    try:
-        yield
-    finally:
-        conf.unset(BATCH) if before is None else conf.set(BATCH, before)
+def heavy_keys(counts: DataFrame, key: str, n: str) -> list:
+    """counts(key, n), one row a key -> the keys that hold more than one HEAVY-th of all rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where((F.col(n) > F.lit(total / HEAVY)) & (F.col(n) > 1)).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, heavy: list, how: str = "inner", spread: str = "doc_id") -> DataFrame:
+    """rows joined with looked_up (one row a key) on key: rows of the heavy keys are dealt over as many parts as there are shuffle
+    partitions, by a hash of the columns named in spread, and only their rows of looked_up are copied into these parts."""
+    if not heavy:
+        return rows.join(looked_up, key, how)
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    is_heavy = F.col(key).isin(heavy)
+    salt = F.when(is_heavy, F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("__part", salt).join(looked_up.withColumn("__part", F.explode(copies)), [key, "__part"], how).drop("__part")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ parity bitmaps a and b, and only then intersects the sorted arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from environs.operators.graph import components
 
-from .common import U64, WordHashes, hashed_words, mix64, release, signed, stash, utf8, window_hashes
+from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, signed, spread_join, stash, utf8, window_hashes
 
 SHINGLE, PERCENT = 5, 80
 RATIO = 1.6
@@ -41,8 +41,8 @@ KEPT_BYTES, MAX_BITMAP = 6, 1 << 28
 KEPT = ~U64((1 << (64 - 8 * KEPT_BYTES)) - 1)
 #: Rounds in which buckets give a forest of their open pairs before they give all of them.
 ROUNDS = 2
-#: Members that are compared with one centre in a task.
-MEMBERS = 4_096
+#: Nodes of a bucket that a task holds at a time, of which it compares all whose bitmaps allow a link.
+BLOCK_ROWS = 8_192
 
 
 def shingle_set(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
@@ -75,8 +75,12 @@ def unpacked(b: bytes) -> np.ndarray:
     return a.view(U64).ravel()
 
 
+#: Empty parts that a tile has room for, in deviations above the mean; the next number is tried when a set has more.
+ROOM = (8, 16, 32)
+
+
 @lru_cache(maxsize=4096)
-def tile(t: int, percent: int) -> tuple[int, int, int]:
+def tile(t: int, percent: int, room: int = ROOM[0]) -> tuple[int, int, int]:
     """Smallest and largest size of band t, and the parts of its tile."""
     low = 1
     for _ in range(t):
@@ -84,9 +88,9 @@ def tile(t: int, percent: int) -> tuple[int, int, int]:
     high = max(low + 1, int(low * RATIO)) - 1
     d = (100 - percent) * 2 * high // (100 + percent)
     spare, parts = 0, d + 1
-    for _ in range(20):  # empty parts that a set of the largest size may have, eight deviations above the mean
+    for _ in range(20):  # empty parts that a set of the largest size may have
         empty = parts * float(np.exp(-high / parts))
-        new = int(np.ceil(empty + 8 * empty**0.5 + 6))
+        new = int(np.ceil(empty + room * empty**0.5 + room - 2))
         if new <= spare or parts > 4 * (d + 1) + 32:
             break
         spare = new
@@ -110,12 +114,12 @@ class SlackError(RuntimeError):
     """A set leaves more parts of a tile empty than the tile allows for: links could be missed."""
 
 
-def bucket_keys(s: np.ndarray, percent: int) -> np.ndarray:
+def bucket_keys(s: np.ndarray, percent: int, room: int = ROOM[0]) -> np.ndarray:
     """A key for each part, of each tile, that the set has elements in. Sets too small to differ and link have none."""
     n = len(s)
     out = []
     for t in tiles_of(n, percent) if n else []:
-        _, high, parts = tile(t, percent)
+        _, high, parts = tile(t, percent, room)
         if (100 - percent) * 2 * high < 100 + percent:
             continue  # only equal sets link here
         part = ((s >> U64(32)) * U64(parts)) >> U64(32)
@@ -144,9 +148,9 @@ def nodes(docs: DataFrame, k: int) -> DataFrame:
             for i, text in enumerate(b.column(1)):
                 s = shingle_set(text.as_py(), k, known)
                 x, y = node_of(s)
-                new = len(s) and x not in done
+                new = len(s) and (x, y) not in done
                 if new and len(done) < REMEMBERED:
-                    done.add(x)
+                    done.add((x, y))
                 out.append((len(s), x, y, signature(s) if new else None, packed(s) if new else None))
                 size += len(s)
                 if size > 2_000_000 or i == b.num_rows - 1:
@@ -159,14 +163,14 @@ def nodes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, bits binary, elements binary")
 
 
-def keyed(members: DataFrame, percent: int) -> DataFrame:
+def keyed(members: DataFrame, percent: int, room: int = ROOM[0]) -> DataFrame:
     """key, node: the buckets of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, names, size = [], [], 0
             for i, (name, elements) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
-                keys.append(bucket_keys(unpacked(elements.as_py()), percent))
+                keys.append(bucket_keys(unpacked(elements.as_py()), percent, room))
                 names.append(np.full(len(keys[-1]), name, np.int64))
                 size += len(keys[-1])
                 if size > 500_000 or i == b.num_rows - 1:
@@ -262,14 +266,16 @@ def may_link(n: int, m: np.ndarray, popcounts: np.ndarray, percent: int) -> np.n
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(centre, node) -> those that link. A centre's set is read once for each MEMBERS of its members."""
-    slots = F.ceil(F.col("members") / F.lit(MEMBERS)).cast("int")
-    centres = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).withColumn("slots", slots)
+    """pairs(centre, node) -> those that link. A centre's set is read once, or once in each part that a heavy one is dealt to."""
+    heavy = heavy_keys(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")), "centre", "members")
+    parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    is_heavy = F.col("centre").isin(heavy) if heavy else F.lit(False)
+    salt = F.when(is_heavy, F.pmod(F.hash("node"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     body = ["n", "bits", "elements"]
-    members = pairs.join(centres, "centre").withColumn("salt", F.pmod(F.hash("node"), F.col("slots")))
-    members = members.select("centre", "salt", F.lit(1).alias("kind"), "node").join(sets, "node").select("centre", "salt", "kind", "node", *body)
-    heads = centres.select("centre", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("salt"))
-    heads = heads.join(sets.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.lit(0).alias("kind"), F.col("centre").alias("node"), *body)
+    members = pairs.select("centre", salt.alias("salt"), F.lit(1).alias("kind"), "node").join(sets, "node").select("centre", "salt", "kind", "node", *body)
+    heads = pairs.select("centre").distinct().join(sets.withColumnRenamed("node", "centre"), "centre")
+    heads = heads.select("centre", F.explode(copies).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("node"), *body)
     rows = heads.union(members).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +312,8 @@ class Forest(dict):
 def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """pairs(centre, node) whose sizes and bitmaps allow a link: only these have their sets fetched."""
     a = info.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    both = pairs.join(info, "node").join(a, "centre").select("centre", "node", "n", "bits", "n1", "bits1")
+    heavy = heavy_keys(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")), "centre", "members")
+    both = spread_join(pairs.join(info, "node"), a, "centre", heavy, spread="node").select("centre", "node", "n", "bits", "n1", "bits1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,13 +332,20 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
     bitmaps allow a link, and (key, null, node) for the rows that have such a partner: no other row needs to be read again.
 
     forest: of the pairs only those that join components which no other pair given by the task has joined.
+
+    A bucket of more than BLOCK_ROWS nodes is dealt into blocks of that size, and each two of them are compared in a task of their own.
     """
     b = buckets.select("key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = b.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
-    rows = b.join(mixed, "key", "left_semi").join(info, "node").repartition("key").sortWithinPartitions("key", "n")
+    several = b.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count(F.lit(1)).alias("rows")).where("a <> z")
+    mixed = stash(several.select("key", "rows", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "mixed")
+    rows = spread_join(b, mixed.select("key", "blocks"), "key", heavy_keys(mixed, "key", "rows"), spread="node").join(info, "node")
+    rows = rows.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("blocks") > 1, meets).otherwise(F.array(F.lit(0)))))
+    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, done, trees = None, [], set(), Forest()
+        key, place, held, done, trees = None, None, [], set(), Forest()
 
         def judged() -> Iterator[tuple]:
             if len(held) < 2:
@@ -340,11 +354,13 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
             root = np.array([x[1] for x in held])
             n = np.array([x[2] for x in held])
             bits = np.frombuffer(b"".join(x[3] for x in held), U64).reshape(len(held), -1)
+            own = np.array([x[4] for x in held])
+            apart = own.min() != own.max()  # two blocks: each has been compared with itself elsewhere
             tree = np.array([trees.find(r) for r in root.tolist()])
             alive = np.zeros(len(held), bool)
             for i in range(len(held) - 1):
                 end = np.searchsorted(n, 100 * n[i] // percent, "right")
-                j = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+                j = np.flatnonzero((root[i + 1 : end] != root[i]) & (not apart or own[i + 1 : end] != own[i])) + i + 1
                 if not len(j):
                     continue
                 j = j[may_link(int(n[i]), n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64), percent)]
@@ -373,11 +389,11 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
 
         out: list[tuple] = []
         for b in batches:
-            for k, node, root, n, bits in zip(*[b.column(x).to_pylist() for x in ("key", "node", "root", "n", "bits")]):
-                if k != key:
+            for k, node, root, n, bits, own, at in zip(*[b.column(x).to_pylist() for x in ("key", "node", "root", "n", "bits", "own", "tile")]):
+                if (k, at) != (key, place):
                     out += judged()
-                    key, held = k, []
-                held.append((node, root, n, bits))
+                    key, place, held = k, at, []
+                held.append((node, root, n, bits, own))
             if out:
                 yield batch(out)
                 out = []
@@ -385,7 +401,53 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
         if out:
             yield batch(out)
 
-    return rows.select("key", "node", "root", "n", "bits").mapInArrow(run, "key long, centre long, node long")
+    found = stash(rows.select("key", "node", "root", "n", "bits", "own", "tile").mapInArrow(run, "key long, centre long, node long"), "open")
+    drop(mixed)
+    return found
+
+
+def named_apart(members: DataFrame) -> DataFrame:
+    """members with a node for each set: sets whose 64 bits agree though their 128 differ, a handful in 10**10, get new ones.
+
+    Their number is the square of that of the sets over 2**65, so they can be listed.
+    """
+    for turn in range(8):
+        both = members.where("n > 0").groupBy("node").agg(F.min("node2").alias("a"), F.max("node2").alias("z"))
+        shared = [r.node for r in both.where("a <> z").select("node").collect()]
+        if not shared:
+            return members
+        members = members.withColumn("node", F.when(F.col("node").isin(shared), F.xxhash64("node", "node2", F.lit(turn))).otherwise(F.col("node")))
+    raise RuntimeError("sets keep sharing names")
+
+
+def bucketed(members: DataFrame, percent: int) -> DataFrame:
+    """The shared buckets of all sets, with more room for empty parts where a set needs it."""
+    for room in ROOM:
+        try:
+            return stash(shared_buckets(keyed(members, percent, room)), "buckets")
+        except Exception as e:
+            if SlackError.__name__ not in str(e) or room == ROOM[-1]:
+                raise
+    raise AssertionError
+
+
+def named_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members(doc_id, n, node), labels(node, root) -> doc_id, n_shingles, component_id.
+
+    Copies of one set and components may hold a third of all rows: minima are combined before they are shuffled, by node and then by
+    root, and heavy nodes and roots are dealt over all tasks when the minima go back.
+    """
+    slim = members.select("doc_id", "n", "node")
+    nodes = stash(slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    sized = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    least = nodes.join(labels, "node").groupBy("root").agg(F.min("least").alias("component"))
+    linked_nodes = spread_join(labels, least, "root", heavy_keys(sized, "root", "n"), spread="node").select("node", "component")
+    # a set that one document has and that links with nothing needs no answer
+    answers = nodes.join(linked_nodes, "node", "left").where("copies > 1 or component is not null").select("node", F.coalesce("component", "least").alias("component"))
+    found = spread_join(slim, answers, "node", heavy_keys(nodes, "node", "copies"), "left")
+    out = stash(found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")), "components")
+    drop(nodes)
+    return out
 
 
 def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -394,46 +456,56 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     Words are runs of non-white-space with A-Z lower-cased. Two documents link when 100 * |A n B| >= percent * |A u B| of
     their sets of shingles; a text with fewer words is one shingle. Null, empty and blank texts have an empty set and link with
     nothing. Repeated rows link with each other. A null doc_id is passed over when the smallest is chosen. Other columns are not
-    looked at. An empty table gives no rows.
+    looked at. An empty table gives no rows. The result is a table in the shared folder; what was made for it is gone.
     """
-    members = stash(nodes(docs.select("doc_id", "text"), shingle), "sets")
-    if members.groupBy("node").agg(F.min("node2").alias("a"), F.max("node2").alias("z")).where("a <> z").limit(1).count():
-        raise RuntimeError("two sets have one 64-bit name")
-    buckets = stash(shared_buckets(keyed(members, percent)), "buckets")
-    release(docs)
+    members_table = stash(nodes(docs.select("doc_id", "text"), shingle), "sets")
+    members = named_apart(members_table)
+    buckets = bucketed(members, percent)
     info = members.where("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("node").union(pairs.select("centre")).distinct()
-        return stash(linked(pairs, sets_of(members, wanted), percent), "links")
+        wanted = stash(pairs.select("node").union(pairs.select("centre")).distinct(), "wanted")
+        found = stash(linked(pairs, sets_of(members, wanted), percent), "links")
+        drop(wanted)
+        return found
 
     meetings = buckets.where("centre <> node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
     best = F.max_by("centre", F.struct("times", -F.col("centre")))
-    first = meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node")
-    links = compared(stash(possible(first, info, percent), "first"))
-    labels = components(links)
+    first = stash(meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node"), "first")
+    pairs = stash(possible(first, info, percent), "possible")
+    drop(first)
+    found = [compared(pairs)]
+    drop(pairs)
+    labels = components(found[0])
+    left = buckets
     for turn in range(ROUNDS + 1):
-        found = stash(open_pairs(buckets, labels, info, percent, turn < ROUNDS), "open")
-        release(docs)
-        more = found.where("key is null").select("centre", "node").distinct()
-        buckets = found.where("key is not null").select("key", "node")
+        opened = open_pairs(left, labels, info, percent, turn < ROUNDS)
+        drop(buckets)
+        more = opened.where("key is null").select("centre", "node").distinct()
         if not more.limit(1).count():
+            drop(opened)
             break
-        links = links.union(compared(more))
-        labels = components(links)
-    named = members.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).alias("root")).join(smallest, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("root").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
+        found.append(compared(more))
+        before, labels = labels, components(reduce(DataFrame.union, found))
+        drop(before)
+        buckets, left = opened, opened.where("key is not null").select("key", "node").distinct()
+    drop(buckets, *found)
+    out = named_components(members, labels)
+    drop(members_table, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents of docs without the copies: of each group the one with the smallest doc_id, a missing one being the last.
 
     Copies are told apart by doc_id and a hash of the text, so of different texts under one doc_id, or under none, one stays.
-    Rows that are equal in both stay or go together.
+    Rows that are equal in both are one document and stay or go together. Texts without a word are no copies of each other and all
+    stay. The columns are those of docs, whatever their names.
     """
     row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     groups = join_components(docs.select(row.alias("doc_id"), "text"), **options)
-    gone = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    gone = stash(groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct(), "copies")
+    drop(groups)
+    # the row travels in a struct: no name in it clashes with ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row.alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, release, small_batches, stash, utf8
+from .common import U64, mix64, small_batches, stash, utf8
 from .suffixarray import permuted_lcp, suffix_array
 
 LENGTH, K = 50, 16
@@ -314,14 +314,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     n_buckets = max(1, -(-size // BUCKET_BYTES))
     with small_batches(docs):
         judged = stash(met(stretches(docs, n_buckets), n_buckets), "met")
-    release(docs)
     wanted = judged.where("kind = 1").select("doc_id", "at", "n", "key")
     n_bytes = wanted.agg(F.sum(F.col("n") + F.lit(LENGTH + 4)).alias("n")).first().n or 0
     own = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n_shards = max(int(own), -(-n_bytes // (4 * SHARD_BYTES)))
     with small_batches(docs):
         ends = stash(sharded(fetched(docs, wanted), n_shards), "ends")
-    release(docs)
     spans = [x.select("doc_id", "at", F.col("n").cast("long").alias("n")) for x in (judged.where("kind = 0"), ends)]
     return spans[0].union(spans[1])
 
