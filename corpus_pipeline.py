@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from environs.llm import decontam, hostrules, jaccard, linededup, mixing
-from environs.llm.common import read, stash
+from environs.llm.common import drop, read, stash
 from environs.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,10 +38,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words from, with size, source_size, target, taken and epochs beside their columns."""
+    """Documents that the mix takes words from, with size, source_size, target, taken and epochs beside their columns,
+    as far as these have no such names."""
     ship(spark)
     taken = mixing.mix(docs, carry=docs.columns).where("taken > 0")
-    return taken.select("row.*", "size", "source_size", "target", "taken", "epochs")
+    own = {c.lower() for c in docs.columns}
+    return taken.select("row.*", *[c for c in ("size", "source_size", "target", "taken", "epochs") if c not in own])
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -54,10 +56,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder and read by the next."""
+    """All stages over documents; what each keeps is written to the shared folder, read by the next, and deleted after that."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
