@@ -155,7 +155,15 @@ def quietness_score(a: Atlas) -> DataFrame:
     return rounded(D.quietness(a.hotels, a.pois, a.segments), *_QUIET_OUT)
 
 
-@query("select city_id, id, round(100 - 25 * (1 - exp(-coalesce(n, 0) / 3.0::double)), 6) as score from hotels left join (select city_id, id, sum(exp(-d / 120.0::double)) as n from q_night group by 1, 2) using (city_id, id)", pairs_sql("q_night", f"p.leaf in ({names(C.QUIET_NIGHTLIFE)})", 200))
+_VARIANT = """d_night as (select city_id, id, sum(exp(-d / 120.0::double)) as n from q_night group by 1, 2)"""
+
+
+@query(
+    """select h.city_id, h.id, round(greatest(0.0::double, least(100.0::double, 100.0::double - 45 * coalesce(exp(-m_road.d / 100), 0) - 35 * coalesce(exp(-m_rail.d / 100), 0)
+      - 25 * (1 - exp(-coalesce(d_night.n, 0) / 3.0::double)) - 30 * coalesce(exp(-m_air.d / 2500), 0))), 6) as score
+  from hotels h left join m_road using (city_id, id) left join m_rail using (city_id, id) left join d_night using (city_id, id) left join m_air using (city_id, id)""",
+    QUIET_SQL + ", " + _VARIANT,
+)
 def quietness_density_variant(a: Atlas) -> DataFrame:
     """The nightlife penalty by a saturating count instead of the nearest venue."""
     near = near_points(a.hotels.select("city_id", "id", "x", "y"), a.pois.where(F.col("leaf").isin(C.QUIET_NIGHTLIFE)).select("city_id", "x", "y"), 200.0)
@@ -238,7 +246,7 @@ def within_distance_var_radius(a: Atlas) -> DataFrame:
     return near_within(a.hotels.select("city_id", "id", "x", "y"), anchors, "radius", 800.0).select("id", "poi_id", "radius", F.round("d", 6).alias("d"))
 
 
-_ANCHORS = """near_anchor as (select h.id, p.poi_id, """ + dist_sql() + """ as d from hotels h join pois p using (city_id) where p.leaf = 'museum' and h.key % 10 = 0),
+_ANCHORS = """near_anchor as (select h.id, p.poi_id, """ + dist_sql() + """ as d from hotels h join pois p using (city_id) where p.leaf = 'museum'),
   ranked as (select *, row_number() over (partition by id order by d, poi_id) as rank from near_anchor)"""
 
 

@@ -45,7 +45,7 @@ def using_join(a: Atlas) -> DataFrame:
     return a.hotels.join(a.hotels.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf").select("id", "leaf", "n")
 
 
-@query("select id as place, 'hotel' as kind from hotels where key % 5 = 0 union all select poi_id, 'poi' from pois where key % 5 = 0 union all select green_id, 'green' from green")
+@query("select id as place, 'hotel' as kind from hotels union all select poi_id, 'poi' from pois union all select green_id, 'green' from green")
 def union_green(a: Atlas) -> DataFrame:
     parts = [a.hotels.where("key % 5 = 0").select(F.col("id").alias("place"), F.lit("hotel").alias("kind")), a.pois.where("key % 5 = 0").select(F.col("poi_id").alias("place"), F.lit("poi").alias("kind")), a.green.select(F.col("green_id").alias("place"), F.lit("green").alias("kind"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -100,8 +100,8 @@ def dedupe_canonical(a: Atlas) -> DataFrame:
 
 
 _SIM = "case when greatest(length(l.form), length(r.form)) > 0 then 1.0::double - levenshtein(l.form, r.form) / greatest(length(l.form), length(r.form))::double else 0.0::double end"
-MATCH_SQL = f"""lft as (select city_id, id, {_FORM} as form, brand_name as brand, x, y from hotels where key % 4 = 0),
-  rgt as (select city_id, id as other, {_FORM} as form, brand_name as brand, x + 40 as x, y + 30 as y from hotels where key % 4 in (1, 3)),
+MATCH_SQL = f"""lft as (select city_id, id, {_FORM} as form, brand_name as brand, x, y from hotels),
+  rgt as (select city_id, id as other, {_FORM} as form, brand_name as brand, x + 40 + key % 4 * 70 as x, y + 30 as y from hotels),
   cand as (select l.city_id, l.id, r.other, sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2)) as d, {_SIM} as sim, coalesce(l.brand = r.brand, false) as same from lft l join rgt r using (city_id)),
   hits as (select *, case when sim >= 0.9 and d <= 150 then 95 when sim >= 0.85 and d <= 250 then 85 when same and sim >= 0.7 then 70 end as c from cand where d <= 400),
   top as (select * from hits where c is not null qualify row_number() over (partition by city_id, id order by c desc, sim desc, d, other) = 1)"""
@@ -123,7 +123,7 @@ def coincident_clusters(a: Atlas) -> DataFrame:
     return quality.coincident(a.hotels).select("city_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n", F.array_join("names", "|").alias("names"))
 
 
-@query("select leaf, array_to_string(list(id order by id), ',') as ids from hotels where key % 40 = 0 group by leaf")
+@query("select leaf, array_to_string(list(id order by id), ',') as ids from hotels group by leaf")
 def ordered_name_list(a: Atlas) -> DataFrame:
     return a.hotels.where("key % 40 = 0").groupBy("leaf").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
@@ -436,7 +436,7 @@ def purge_cascade(a: Atlas) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2])
 
 
-@query("select city_id, '<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">' || string_agg('<url><loc>https://x.test/hotel/' || id || '</loc></url>', '' order by id) || '</urlset>' as xml from hotels where key % 25 = 0 group by city_id")
+@query("select city_id, part, '<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">' || string_agg('<url><loc>https://x.test/hotel/' || id || '</loc></url>', '' order by id) || '</urlset>' as xml from (select city_id, id, (row_number() over (partition by city_id order by id) - 1) // 50000 as part from hotels) group by 1, 2")
 def sitemap_xml(a: Atlas) -> DataFrame:
     return publication.urlset(a.hotels.where("key % 25 = 0").select("city_id", F.concat(F.lit("/hotel/"), "id").alias("path")), "https://x.test")
 
@@ -449,7 +449,7 @@ def export_status(a: Atlas) -> DataFrame:
     return a.hotels.select("city_id", "id", F.when(ok, "indexable").otherwise("noindex").alias("status"))
 
 
-@query("select id, name, city_id, lat, lon, address_country from hotels where key % 30 = 0")
+@query("select id, name, city_id, lat, lon, address_country from hotels")
 def blind_projection(a: Atlas) -> DataFrame:
     """What a labeller may see: identity only, no score."""
     return table_scores(a).where("key % 30 = 0").select("id", "name", "city_id", "lat", "lon", "address_country")

@@ -175,7 +175,7 @@ segments as (select *, (lon - clon) * kx as x1, lat * {_KY} as y1, (lon2 - clon)
   select *, lon + ((key * 17) % 400 - 200) / 1e5 as lon2, lat + ((key * 23) % 400 - 200) / 1e5 as lat2 from (
     select city_id, clon, kx, 's' || o_orderkey as segment_id, o_orderkey as key, {_place("o_orderkey", (4421, 65537), (5, 499))},
       ({_list([a for a, _ in ROAD_KINDS])})[(o_orderkey // 10) % {len(ROAD_KINDS)} + 1] as subtype, ({_list([b for _, b in ROAD_KINDS])})[(o_orderkey // 10) % {len(ROAD_KINDS)} + 1] as class
-    from orders join city on city_key = (o_orderkey // 10) % 5 where o_orderkey % 10 = 0)))"""
+    from orders join city on city_key = (o_orderkey // 10) % 5)))"""
 
 
 def over_atlas(query: str, more: str = "") -> str:
