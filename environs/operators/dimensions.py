@@ -52,7 +52,7 @@ def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
     parts = geo.projected(geo.rings(F.col("wkt")), F.col("center_lon"), F.col("metres_x"))
     g = with_edges(green).withColumn("weight", scoring.land_weight(F.col("subtype"), F.col("class"), geo.area(parts)))
     g = g.where("weight > 0").select("city_id", "green_id", "subtype", "class", "weight", "edges")
-    return near_shapes(hotels.select("city_id", "id", "x", "y"), g, C.RADIUS_M["family_convenience"], polygon=True)
+    return near_shapes(hotels.select("city_id", "id", "x", "y"), g, "green_id", C.RADIUS_M["family_convenience"], polygon=True)
 
 
 def family(hotels: DataFrame, near: DataFrame, green: DataFrame) -> DataFrame:
@@ -77,13 +77,16 @@ def transit(hotels: DataFrame, near: DataFrame) -> DataFrame:
 
 def nearest_line(hotels: DataFrame, segments: DataFrame, kind: str, condition: Column) -> DataFrame:
     s = with_edges(segments.where(condition)).select("city_id", "segment_id", "edges")
-    near = near_shapes(hotels.select("city_id", "id", "x", "y"), s, C.PENALTIES[kind][2], polygon=False)
+    near = near_shapes(hotels.select("city_id", "id", "x", "y"), s, "segment_id", C.PENALTIES[kind][2], polygon=False)
     return near.groupBy("city_id", "id").agg(F.min("d").alias(kind))
 
 
 def nearest_point(hotels: DataFrame, pois: DataFrame, kind: str, leaves: list[str]) -> DataFrame:
-    """min(d) within the penalty's radius; the radius is the grid's cell, so a 5 km one doesn't share the 800 m cells."""
-    near = near_points(hotels.select("city_id", "id", "x", "y"), pois.where(F.col("leaf").isin(leaves)).select("city_id", "x", "y"), float(C.PENALTIES[kind][2]))
+    """min(d) within the penalty's radius; the radius is the grid's cell, so a 5 km one doesn't share the 800 m cells.
+
+    The points are the few of these leaves, so they are copied, not the hotels.
+    """
+    near = near_points(hotels.select("city_id", "id", "x", "y"), pois.where(F.col("leaf").isin(leaves)).select("city_id", "x", "y"), float(C.PENALTIES[kind][2]), copy="right")
     return near.groupBy("city_id", "id").agg(F.min("d").alias(kind))
 
 
@@ -101,18 +104,28 @@ def quietness(hotels: DataFrame, pois: DataFrame, segments: DataFrame) -> DataFr
     return d.select("city_id", "id", scoring.quietness({k: F.col(k) for k in C.PENALTIES}).alias("score"), *[F.col(k).alias(f"{k}_nearest_m") for k in C.PENALTIES])
 
 
-def short_range(near: DataFrame) -> DataFrame:
-    """All that the pairs within 800 m tell of a hotel, in one aggregation: no dimension meets the points again."""
+def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
+    """All that the points within 800 m tell of a hotel, in one meeting and one aggregation.
+
+    What a point counts for is worked out before the meeting, as small numbers: points that count for nothing stay out of it, and
+    neither names nor families travel. Distinct food leaves are a bitmap.
+    """
+    dims = [*C.DENSITY, "family_convenience"]
+    food = C.CATEGORIES["food_essentials"]
+    modes = C.CATEGORIES["transit_access"]
+    place = lambda values: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col("leaf")), F.lit(0))
+    flags = sum((F.when(scoring.of_kind(d, F.col("leaf"), F.col("hierarchy")), 1 << i).otherwise(0) for i, d in enumerate(dims)), F.lit(0))
+    p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(food).cast("int").alias("food"), place(modes).cast("int").alias("mode"))
+    near = near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), NEAR_M)
+    decays = {s: F.exp(-F.col("d") / F.lit(float(s))) for s in {C.DECAY_M[d] for d in dims}}
+    near = near.withColumns({f"decay_{s}": e for s, e in decays.items()})
     out = []
-    for dim in [*C.DENSITY, "family_convenience"]:
-        hit = scoring.of_kind(dim, F.col("leaf"), F.col("hierarchy")) & (F.col("d") <= C.RADIUS_M[dim])
-        out += [
-            F.sum(only(hit, scoring.decay(F.col("d"), C.DECAY_M[dim]))).alias(f"{dim}_raw"),
-            F.count(only(hit, F.lit(1))).alias(f"{dim}_count"),
-            F.size(F.collect_set(only(hit, F.col("leaf")))).alias(f"{dim}_kinds"),  # as many as the dimension has leaves
-            F.min(only(hit, F.col("d"))).alias(f"{dim}_nearest"),
-        ]
-    out += [F.min(only((F.col("leaf") == mode) & (F.col("d") <= C.RADIUS_M["transit_access"]), F.col("d"))).alias(f"mode_{i}") for i, mode in enumerate(C.CATEGORIES["transit_access"])]
+    for i, dim in enumerate(dims):
+        hit = (F.col("flags").bitwiseAND(1 << i) != 0) & (F.col("d") <= C.RADIUS_M[dim])
+        out += [F.sum(only(hit, F.col(f"decay_{C.DECAY_M[dim]}"))).alias(f"{dim}_raw"), F.count(only(hit, F.lit(1))).alias(f"{dim}_count")]
+    kinds = only((F.col("food") > 0) & (F.col("d") <= C.RADIUS_M["food_essentials"]), F.expr("shiftleft(1, food)"))
+    out.append(F.bit_count(F.bit_or(kinds)).alias("food_essentials_kinds"))
+    out += [F.min(only((F.col("mode") == i) & (F.col("d") <= C.RADIUS_M["transit_access"]), F.col("d"))).alias(f"mode_{i - 1}") for i in range(1, len(modes) + 1)]
     return near.groupBy("city_id", "id").agg(*out)
 
 
@@ -122,7 +135,7 @@ def dimension_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segme
     land = green_hits(hotels, green).groupBy(*key).agg(
         F.sum(F.col("weight") * scoring.decay(F.col("d"), C.DECAY_M["family_convenience"])).alias("land_raw"), F.count(F.lit(1)).alias("land_count")
     )
-    d = hotels.select(*key).join(short_range(pairs(hotels, pois)), key, "left").join(land, key, "left")
+    d = hotels.select(*key).join(short_range(hotels, pois), key, "left").join(land, key, "left")
     zero = F.lit(0.0)
     for dim in [*C.DENSITY, "family_convenience"]:
         raw, n = F.coalesce(f"{dim}_raw", zero), F.coalesce(f"{dim}_count", F.lit(0))
@@ -159,6 +172,18 @@ def hotel_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segments:
     )
 
 
+def quietness_by_count(hotels: DataFrame, pois: DataFrame, segments: DataFrame, saturation: float = 3.0) -> DataFrame:
+    """city_id, id, score: quietness with its nightlife penalty by a saturating count instead of the nearest venue; the others stay."""
+    weight, scale, radius = C.PENALTIES["nightlife"]
+    near = near_points(hotels.select("city_id", "id", "x", "y"), pois.where(F.col("leaf").isin(C.QUIET_NIGHTLIFE)).select("city_id", "x", "y"), float(radius), copy="right")
+    found = near.groupBy("city_id", "id").agg(F.sum(scoring.decay(F.col("d"), scale)).alias("venues"))
+    d = quietness(hotels, pois, segments).join(found, ["city_id", "id"], "left")
+    lost = F.lit(float(weight)) * (F.lit(1.0) - F.exp(-F.coalesce("venues", F.lit(0.0)) / F.lit(saturation)))
+    rest = [F.lit(float(C.PENALTIES[k][0])) * F.coalesce(scoring.decay(F.col(f"{k}_nearest_m"), C.PENALTIES[k][1]), F.lit(0.0)) for k in ("major_road", "rail", "airport")]
+    left = F.lit(float(C.QUIET_START)) - rest[0] - rest[1] - lost - rest[2]
+    return d.select("city_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(100.0), left)).alias("score"))
+
+
 def nearby_facts(hotels: DataFrame, pois: DataFrame, n: int = C.FACTS) -> DataFrame:
     """The n nearest named points of each hotel, hidden kinds left out; ties by point id."""
     shown = pois.where(F.col("name").isNotNull() & ~F.col("leaf").isin(C.HIDDEN_FACTS))

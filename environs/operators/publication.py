@@ -53,8 +53,22 @@ def set_difference(built: DataFrame, wanted: DataFrame, column: str) -> DataFram
     return extra.union(missing)
 
 
-def urlset(paths: DataFrame, base: str) -> DataFrame:
-    """One XML document of all paths of a city, in order. A city's sitemap is one output file of at most 50,000 lines."""
+#: Entries of one sitemap, by the sitemap protocol.
+SITEMAP_URLS = 50_000
+
+
+def urlset(paths: DataFrame, base: str, most: int = SITEMAP_URLS) -> DataFrame:
+    """city_id, part, xml: the sitemaps of each city, of at most ``most`` paths each, in order; ``sitemap_index`` lists them."""
+    in_city = F.row_number().over(Window.partitionBy("city_id").orderBy("path")) - 1
+    d = paths.select("city_id", "path", F.floor(in_city / F.lit(most)).alias("part"))
     loc = F.concat(F.lit("<url><loc>"), F.lit(base), F.col("path"), F.lit("</loc></url>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", loc.alias("loc")))), lambda s: s["loc"]), "")
-    return paths.groupBy("city_id").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), body, F.lit("</urlset>")).alias("xml"))
+    return d.groupBy("city_id", "part").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), body, F.lit("</urlset>")).alias("xml"))
+
+
+def sitemap_index(urlsets: DataFrame, base: str) -> DataFrame:
+    """xml: one index of all sitemaps, a line for each city and part: a few rows whatever the pages."""
+    loc = F.concat(F.lit("<sitemap><loc>"), F.lit(base), F.lit("/sitemap-"), F.col("city_id"), F.lit("-"), F.col("part").cast("string"), F.lit(".xml</loc></sitemap>"))
+    listed = F.array_sort(F.collect_list(F.struct("city_id", "part", loc.alias("loc"))))
+    body = F.array_join(F.transform(listed, lambda s: s["loc"]), "")
+    return urlsets.agg(F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), body, F.lit("</sitemapindex>")).alias("xml"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -43,10 +43,12 @@ def baseline(scores: DataFrame) -> DataFrame:
     return scores.groupBy("city_id").agg(F.count(F.lit(1)).alias("n_hotels"), *aggs, F.round(F.avg("balanced_score"), 2).alias("balanced_mean"), F.round(F.median("confidence"), 2).alias("confidence_median"))
 
 
-def upper_median(column: str) -> Column:
-    """The middle value, the upper one of two."""
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(df: DataFrame, by: list[str], column: str, tie: str) -> DataFrame:
+    """by, upper_median: the middle value of each group, the upper one of two. Nulls are left out; rows are ordered, never collected."""
+    group = Window.partitionBy(*by)
+    d = df.where(F.col(column).isNotNull()).select(*by, column, tie)
+    d = d.withColumn("place", F.row_number().over(group.orderBy(column, tie)) - 1).withColumn("n", F.count(F.lit(1)).over(group))
+    return d.where(F.col("place") == F.floor(F.col("n") / 2)).select(*by, F.col(column).alias("upper_median"))
 
 
 def soft_scan(hotels: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Proximity joins as equi-joins on grid cells; no nested loop at any size.
 
 A cell is (city, floor(x / size), floor(y / size)) in metres. Points that are within a radius of ``size`` lie in
-neighbouring cells, so the left side is copied into its 3 x 3 cells and joined by equality; a residual condition on the exact
+neighbouring cells, so one side is copied into its 3 x 3 cells and joined by equality; a residual condition on the exact
 distance follows. Cells spread a city over partitions, and adaptive execution splits the crowded ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..storage import drop, stash
 
 CELL = ["city_id", "gx", "gy"]
 
@@ -27,13 +30,19 @@ def around(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     return d.drop("__step")
 
 
-def near_points(left: DataFrame, right: DataFrame, radius: float, distance: str = "d") -> DataFrame:
+def near_points(left: DataFrame, right: DataFrame, radius: float, distance: str = "d", copy: str = "left") -> DataFrame:
     """Pairs of left(city_id, x, y, ...) and right(city_id, x, y, ...) within radius metres, with their distance.
 
-    Column names other than city_id, x and y must differ. Null coordinates meet nothing.
+    Column names other than city_id, x and y must differ. Null coordinates meet nothing. ``copy`` names the side that goes into its 3 x 3
+    cells: the smaller one. The join is a sort-merge join by cell even where a side would be small enough to broadcast: the work is in the
+    pairs, and cells spread it over all tasks, whereas a broadcast leaves it to the few tasks that read the other side.
     """
-    r = right.withColumnRenamed("x", "__x").withColumnRenamed("y", "__y").withColumn("gx", cell(F.col("__x"), radius)).withColumn("gy", cell(F.col("__y"), radius))
-    d = around(left, radius).join(r, CELL).withColumn(distance, geo.distance(F.col("x"), F.col("y"), F.col("__x"), F.col("__y")))
+    r = right.withColumnRenamed("x", "__x").withColumnRenamed("y", "__y")
+    if copy == "left":
+        a, b = around(left, radius), r.withColumn("gx", cell(F.col("__x"), radius)).withColumn("gy", cell(F.col("__y"), radius))
+    else:
+        a, b = left.withColumn("gx", cell(F.col("x"), radius)).withColumn("gy", cell(F.col("y"), radius)), around(r, radius, "__x", "__y")
+    d = a.join(b.hint("merge"), CELL).withColumn(distance, geo.distance(F.col("x"), F.col("y"), F.col("__x"), F.col("__y")))
     return d.where(F.col(distance) <= radius).drop("gx", "gy", "__x", "__y")
 
 
@@ -42,11 +51,12 @@ def near_within(left: DataFrame, right: DataFrame, radius: str, largest: float,
     return near_points(left, right, largest, distance).where(F.col(distance) <= F.col(radius))
 
 
-def near_shapes(left: DataFrame, shapes: DataFrame, radius: float, polygon: bool, distance: str = "d") -> DataFrame:
-    """Pairs of points left(city_id, x, y) and shapes(city_id, edges in metres) within radius metres.
+def near_shapes(left: DataFrame, shapes: DataFrame, key: str, radius: float, polygon: bool, distance: str = "d") -> DataFrame:
+    """Pairs of points left(city_id, x, y) and shapes(city_id, key, edges in metres) within radius metres.
 
-    A shape is entered in every cell that its envelope, widened by the radius, covers; a point lies in one cell, so no pair
-    meets twice. Envelopes are tested before distances.
+    A shape's key is entered in every cell that its envelope, widened by the radius, covers; a point lies in one cell, so no pair
+    meets twice. Envelopes are tested before distances, and a shape's edges are fetched only for the pairs that pass: cells hold
+    four numbers for a shape, whatever its outline.
     """
     xs, ys = F.transform("edges.a", lambda p: p.x), F.transform("edges.a", lambda p: p.y)
     bx, by = F.transform("edges.b", lambda p: p.x), F.transform("edges.b", lambda p: p.y)
@@ -58,13 +68,35 @@ def near_shapes(left: DataFrame, shapes: DataFrame, radius: float, polygon: bool
         (F.greatest(F.array_max(ys), F.array_max(by)) + radius).alias("__y2"),
     )
     size = max(float(radius), 250.0)
-    s = s.withColumn("gx", F.explode(F.sequence(cell(F.col("__x1"), size), cell(F.col("__x2"), size))))
-    s = s.withColumn("gy", F.explode(F.sequence(cell(F.col("__y1"), size), cell(F.col("__y2"), size))))
+    boxes = s.select("city_id", key, "__x1", "__x2", "__y1", "__y2")
+    boxes = boxes.withColumn("gx", F.explode(F.sequence(cell(F.col("__x1"), size), cell(F.col("__x2"), size))))
+    boxes = boxes.withColumn("gy", F.explode(F.sequence(cell(F.col("__y1"), size), cell(F.col("__y2"), size))))
     p = left.withColumn("gx", cell(F.col("x"), size)).withColumn("gy", cell(F.col("y"), size))
-    d = p.join(s, CELL).where(F.col("x").between(F.col("__x1"), F.col("__x2")) & F.col("y").between(F.col("__y1"), F.col("__y2")))
+    d = p.join(boxes.hint("merge"), CELL).where(F.col("x").between(F.col("__x1"), F.col("__x2")) & F.col("y").between(F.col("__y1"), F.col("__y2")))
+    d = d.drop("gx", "gy", "__x1", "__x2", "__y1", "__y2").join(shapes.drop("city_id"), key)
     measure = geo.polygon_distance if polygon else geo.line_distance
-    d = d.withColumn(distance, measure(F.col("x"), F.col("y"), F.col("edges")))
-    return d.where(F.col(distance) <= radius).drop("gx", "gy", "__x1", "__x2", "__y1", "__y2", "edges")
+    return d.withColumn(distance, measure(F.col("x"), F.col("y"), F.col("edges"))).where(F.col(distance) <= radius).drop("edges")
+
+
+def nearest(left: DataFrame, right: DataFrame, tie: str, n: int, start: float = 500.0) -> DataFrame:
+    """left(city_id, id, x, y), right(city_id, tie, x, y) -> id, tie, d, rank: the n nearest, however far, ties by the tie column.
+
+    Rings of cells are searched outwards: a point that has n hits within a radius has its nearest among them, the others try twice
+    the radius, until each has n or all that its city has. Pairs are made within the radius only, so they follow the density.
+    """
+    totals = right.groupBy("city_id").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("__wanted"))
+    open_, radius, found, tables = left.select("city_id", "id", "x", "y").join(F.broadcast(totals), "city_id"), start, [], []
+    order = Window.partitionBy("id").orderBy("d", tie)
+    while True:
+        hits = near_points(open_, right.select("city_id", tie, "x", "y"), radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+        hits = stash(hits.withColumn("__n", F.max("rank").over(Window.partitionBy("id"))).where("__n = __wanted").select("id", tie, "d", "rank"), "nearest")
+        found.append(hits)
+        left_over = stash(open_.join(hits.select("id").distinct(), "id", "left_anti"), "nearest-open")
+        drop(*tables)
+        tables, open_, radius = [left_over], left_over, 2 * radius
+        if not open_.limit(1).count():
+            drop(left_over)
+            return reduce(DataFrame.union, found)
 
 
 def with_edges(shapes: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from .. import constants as C
 from ..functions import geo, scoring
 from ..operators import dimensions as D
-from ..operators.spatial import near_points, near_shapes, near_within, with_edges
+from ..operators.spatial import near_shapes, near_within, nearest, with_edges
 from ..sources.atlas import Atlas, number
 from .registry import query
 
@@ -165,11 +165,8 @@ _VARIANT = """d_night as (select city_id, id, sum(exp(-d / 120.0::double)) as n
     QUIET_SQL + ", " + _VARIANT,
 )
 def quietness_density_variant(a: Atlas) -> DataFrame:
-    """The nightlife penalty by a saturating count instead of the nearest venue."""
-    near = near_points(a.hotels.select("city_id", "id", "x", "y"), a.pois.where(F.col("leaf").isin(C.QUIET_NIGHTLIFE)).select("city_id", "x", "y"), 200.0)
-    found = near.groupBy("city_id", "id").agg(F.sum(scoring.decay(F.col("d"), 120)).alias("n"))
-    score = F.lit(100.0) - F.lit(25.0) * (F.lit(1.0) - F.exp(-F.coalesce("n", F.lit(0.0)) / 3))
-    return a.hotels.select("city_id", "id").join(found, ["city_id", "id"], "left").select("city_id", "id", F.round(score, 6).alias("score"))
+    """The nightlife penalty by a saturating count instead of the nearest venue, beside the other penalties."""
+    return rounded(D.quietness_by_count(a.hotels, a.pois, a.segments), "score")
 
 
 ALL_DIMENSIONS = ", ".join([density_sql(d) for d in C.DENSITY] + [FAMILY_SQL, TRANSIT_SQL, QUIET_SQL]) + """,
@@ -236,7 +233,7 @@ def band_join_polygons(a: Atlas) -> DataFrame:
 @query("select id, segment_id, round(d, 4) as d from n where d <= 150", line_sql("n", ROAD, 150))
 def band_join_segments(a: Atlas) -> DataFrame:
     roads = a.segments.where((F.col("subtype") == "road") & F.col("class").isin(C.ROAD_CLASSES))
-    near = near_shapes(a.hotels.select("city_id", "id", "x", "y"), with_edges(roads).select("city_id", "segment_id", "edges"), 150, polygon=False)
+    near = near_shapes(a.hotels.select("city_id", "id", "x", "y"), with_edges(roads).select("city_id", "segment_id", "edges"), "segment_id", 150, polygon=False)
     return near.select("id", "segment_id", F.round("d", 4).alias("d"))
 
 
@@ -252,11 +249,8 @@ _ANCHORS = """near_anchor as (select h.id, p.poi_id, """ + dist_sql() + """ as d
 
 @query("select id, poi_id, round(d, 6) as d, rank from ranked where rank <= 4", _ANCHORS)
 def nearest_lateral(a: Atlas) -> DataFrame:
-    """The four nearest museums, however far: an equi-join by city and a window."""
-    museums = a.pois.where("leaf = 'museum'").select("city_id", "poi_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    d = a.hotels.where("key % 10 = 0").join(museums, "city_id").select("id", "poi_id", geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "poi_id")).cast("long")
-    return d.withColumn("rank", rank).where("rank <= 4").withColumn("d", F.round("d", 6))
+    """The four nearest museums, however far, by rings of cells."""
+    return rounded(nearest(a.hotels, a.pois.where("leaf = 'museum'"), "poi_id", 4), "d")
 
 
 @query("select id, poi_id, round(d, 6) as d from n qualify row_number() over (partition by id order by d, poi_id) = 1", pairs_sql("n", "p.leaf = 'museum'", 800))
@@ -268,7 +262,7 @@ def nearest_qualify(a: Atlas) -> DataFrame:
 @query("select h.id, g.green_id from hotels h join green g on h.city_id = g.city_id and h.x > g.x1 and h.x < g.x2 and h.y > g.y1 and h.y < g.y2")
 def point_in_polygon(a: Atlas) -> DataFrame:
     g = with_edges(a.green).select("city_id", "green_id", "edges")
-    return near_shapes(a.hotels.select("city_id", "id", "x", "y"), g, 0, polygon=True).where("d = 0").select("id", "green_id")
+    return near_shapes(a.hotels.select("city_id", "id", "x", "y"), g, "green_id", 0, polygon=True).where("d = 0").select("id", "green_id")
 
 
 @query(f"select green_id, round((x2 - x1) * (y2 - y1), 3) as area_m2, {LAND_WEIGHT} as weight from green")

@@ -47,7 +47,7 @@ def using_join(a: Atlas) -> DataFrame:
 
 @query("select id as place, 'hotel' as kind from hotels union all select poi_id, 'poi' from pois union all select green_id, 'green' from green")
 def union_green(a: Atlas) -> DataFrame:
-    parts = [a.hotels.where("key % 5 = 0").select(F.col("id").alias("place"), F.lit("hotel").alias("kind")), a.pois.where("key % 5 = 0").select(F.col("poi_id").alias("place"), F.lit("poi").alias("kind")), a.green.select(F.col("green_id").alias("place"), F.lit("green").alias("kind"))]
+    parts = [a.hotels.select(F.col("id").alias("place"), F.lit("hotel").alias("kind")), a.pois.select(F.col("poi_id").alias("place"), F.lit("poi").alias("kind")), a.green.select(F.col("green_id").alias("place"), F.lit("green").alias("kind"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -110,8 +110,8 @@ MATCH_SQL = f"""lft as (select city_id, id, {_FORM} as form, brand_name as brand
 @query("select l.city_id, l.id, other, case c when 95 then 'close' when 85 then 'near' when 70 then 'brand' else 'fallback' end as rule, coalesce(c, 0)::bigint as confidence, case when c >= 85 then 'accept' when c >= 60 then 'review' else 'reject' end as action from lft l left join top using (city_id, id)", MATCH_SQL)
 def entity_match_cascade(a: Atlas) -> DataFrame:
     h = a.hotels.withColumn("form", text.dedupe_form(F.col("name")))
-    left = h.where("key % 4 = 0").select("city_id", "id", "form", F.col("brand_name").alias("brand"), "x", "y")
-    right = h.where("key % 4 in (1, 3)").select("city_id", F.col("id").alias("other"), F.col("form").alias("other_form"), F.col("brand_name").alias("other_brand"), (F.col("x") + 40).alias("x"), (F.col("y") + 30).alias("y"))
+    left = h.select("city_id", "id", "form", F.col("brand_name").alias("brand"), "x", "y")
+    right = h.select("city_id", F.col("id").alias("other"), F.col("form").alias("other_form"), F.col("brand_name").alias("other_brand"), (F.col("x") + 40 + F.col("key") % 4 * 70).alias("x"), (F.col("y") + 30).alias("y"))
     return matching.match(left, right)
 
 
@@ -125,7 +125,7 @@ def coincident_clusters(a: Atlas) -> DataFrame:
 
 @query("select leaf, array_to_string(list(id order by id), ',') as ids from hotels group by leaf")
 def ordered_name_list(a: Atlas) -> DataFrame:
-    return a.hotels.where("key % 40 = 0").groupBy("leaf").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return a.hotels.groupBy("leaf").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
 _BASE = ", ".join(f"round(avg({d}), 2) as {d}_mean, round(median({d}), 2) as {d}_median" for d in C.DIMENSIONS)
@@ -138,7 +138,7 @@ def city_baseline(a: Atlas) -> DataFrame:
 
 @query("select city_id, (list(balanced_score order by balanced_score))[count(*) // 2 + 1] as upper_median from sc group by city_id", scores_sql("sc"))
 def upper_median(a: Atlas) -> DataFrame:
-    return table_scores(a).groupBy("city_id").agg(quality.upper_median("balanced_score").alias("upper_median"))
+    return quality.upper_median(table_scores(a), ["city_id"], "balanced_score", "id")
 
 
 @query("select leaf, count(*) as n from hotels where leaf in ('lodging', 'campground') group by leaf")
@@ -438,7 +438,7 @@ def purge_cascade(a: Atlas) -> DataFrame:
 
 @query("select city_id, part, '<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">' || string_agg('<url><loc>https://x.test/hotel/' || id || '</loc></url>', '' order by id) || '</urlset>' as xml from (select city_id, id, (row_number() over (partition by city_id order by id) - 1) // 50000 as part from hotels) group by 1, 2")
 def sitemap_xml(a: Atlas) -> DataFrame:
-    return publication.urlset(a.hotels.where("key % 25 = 0").select("city_id", F.concat(F.lit("/hotel/"), "id").alias("path")), "https://x.test")
+    return publication.urlset(a.hotels.select("city_id", F.concat(F.lit("/hotel/"), "id").alias("path")), "https://x.test")
 
 
 @query("select city_id, id, status from (select city_id, id, case when key % 3 = 0 and not coalesce(regexp_matches(trim(name), '^[0-9]+$'), false) and accommodation_type = 'hotel' and length(regexp_replace(coalesce(name, ''), '[^\\p{L}]', '', 'g')) >= 2 and not regexp_matches(coalesce(name, ''), '[\\p{Han}]') then 'indexable' else 'noindex' end as status from hotels join (" + ACCOMMODATION_SQL + ") t using (id))")
@@ -452,4 +452,4 @@ def export_status(a: Atlas) -> DataFrame:
 @query("select id, name, city_id, lat, lon, address_country from hotels")
 def blind_projection(a: Atlas) -> DataFrame:
     """What a labeller may see: identity only, no score."""
-    return table_scores(a).where("key % 30 = 0").select("id", "name", "city_id", "lat", "lon", "address_country")
+    return table_scores(a).select("id", "name", "city_id", "lat", "lon", "address_country")

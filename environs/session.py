@@ -17,6 +17,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .appName("environs")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # rows are narrow and the work is in them: small partitions are not merged until they are tiny
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
