@@ -118,6 +118,30 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * C.EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def estimate_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Equirectangular distance with the scale at the first point's latitude: a quick estimate for short ways."""
+    dx = (lon2 - lon1) * F.lit(C.METRES_PER_DEGREE) * F.cos(F.radians(lat1))
+    dy = (lat2 - lat1) * F.lit(C.METRES_PER_DEGREE)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def estimate_m2(square_degrees: Column, lat: Column) -> Column:
+    """Square degrees at a latitude in square metres."""
+    return square_degrees * F.lit(C.METRES_PER_DEGREE) * F.lit(C.METRES_PER_DEGREE) * F.cos(F.radians(lat))
+
+
+def margin(radius_m: Column, lat: Column) -> Column:
+    """struct(dlat, dlon): half-widths in degrees that enclose a radius for certain."""
+    d = radius_m * F.lit(C.MARGIN_FACTOR) / F.lit(C.METRES_PER_DEGREE)
+    return F.struct(d.alias("dlat"), (d / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))).alias("dlon"))
+
+
+def to_wkt(kind: str, parts: Column) -> Column:
+    """The text of coordinate lists that ``rings`` gives: kind is LINESTRING (one list) or POLYGON."""
+    listed = F.transform(parts, lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p.x.cast("string"), p.y.cast("string"))), ", "), F.lit(")")))
+    return F.concat(F.lit("LINESTRING "), F.get(listed, 0)) if kind == "LINESTRING" else F.concat(F.lit("POLYGON ("), F.array_join(listed, ", "), F.lit(")"))
+
+
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
     return x.between(box[0], box[2]) & y.between(box[1], box[3])
 

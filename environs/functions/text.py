@@ -200,6 +200,13 @@ def brand_groups(form: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def listed(name: Column, hotel_id: Column | None = None) -> Column:
+    """Why a name must never be published: an institution or a listed brand; null for any other, and for no name."""
+    form = rule_form(F.coalesce(name, F.lit("")))
+    none = F.array().cast("array<string>")
+    return F.when(F.size(institution_evidence(form, hotel_id)) > 0, "institution").when(F.size(F.coalesce(brand_groups(form), none)) > 0, "listed brand")
+
+
 def non_hotel(name: Column, hotel_id: Column) -> Column:
     """Whether a name tells of something that isn't lodging: rules first, then brands and lodging words allow, then markers deny."""
     form = rule_form(name)

@@ -104,19 +104,23 @@ def quietness(hotels: DataFrame, pois: DataFrame, segments: DataFrame) -> DataFr
     return d.select("city_id", "id", scoring.quietness({k: F.col(k) for k in C.PENALTIES}).alias("score"), *[F.col(k).alias(f"{k}_nearest_m") for k in C.PENALTIES])
 
 
-def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
-    """All that the points within 800 m tell of a hotel, in one meeting and one aggregation.
+def counted_pairs(hotels: DataFrame, pois: DataFrame) -> DataFrame:
+    """city_id, id, flags, food, mode, d: hotels and the points within 800 m that count for anything.
 
     What a point counts for is worked out before the meeting, as small numbers: points that count for nothing stay out of it, and
-    neither names nor families travel. Distinct food leaves are a bitmap.
+    neither names nor families travel. flags has a bit for each of the four counted dimensions; food and mode are places in lists, or 0.
     """
     dims = [*C.DENSITY, "family_convenience"]
-    food = C.CATEGORIES["food_essentials"]
-    modes = C.CATEGORIES["transit_access"]
     place = lambda values: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col("leaf")), F.lit(0))
     flags = sum((F.when(scoring.of_kind(d, F.col("leaf"), F.col("hierarchy")), 1 << i).otherwise(0) for i, d in enumerate(dims)), F.lit(0))
-    p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(food).cast("int").alias("food"), place(modes).cast("int").alias("mode"))
-    near = near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), NEAR_M)
+    p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(C.CATEGORIES["food_essentials"]).cast("int").alias("food"), place(C.CATEGORIES["transit_access"]).cast("int").alias("mode"))
+    return near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), NEAR_M)
+
+
+def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
+    """All that the points within 800 m tell of a hotel, in one meeting and one aggregation. Distinct food leaves are a bitmap."""
+    dims, modes = [*C.DENSITY, "family_convenience"], C.CATEGORIES["transit_access"]
+    near = counted_pairs(hotels, pois)
     decays = {s: F.exp(-F.col("d") / F.lit(float(s))) for s in {C.DECAY_M[d] for d in dims}}
     near = near.withColumns({f"decay_{s}": e for s, e in decays.items()})
     out = []

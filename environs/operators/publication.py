@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, text
 
 STATUSES = ["draft", "noindex", "indexable", "retired"]
 PAGE_TYPES = ["hotel", "city", "static"]
@@ -72,3 +74,91 @@ def sitemap_index(urlsets: DataFrame, base: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("city_id", "part", loc.alias("loc"))))
     body = F.array_join(F.transform(listed, lambda s: s["loc"]), "")
     return urlsets.agg(F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), body, F.lit("</sitemapindex>")).alias("xml"))
+
+
+def listed(decisions: DataFrame, status: str, page_type: str | None = None) -> DataFrame:
+    """The newest decisions that have a status, of one page type or of all."""
+    d = decisions.where(F.col("status") == status)
+    return d if page_type is None else d.where(F.col("page_type") == page_type)
+
+
+class DecisionError(ValueError):
+    """A decision that may not be recorded."""
+
+
+class Store:
+    """Decisions on pages in a folder that all readers share.
+
+    Every decision is a row that is added, never changed; the newest row of a page is what holds, so that readers never see a page
+    without its decision and writers don't exclude each other. ``compact`` writes the newest rows to a new generation and
+    then makes it current by adding one small file; older generations go after that.
+    """
+
+    SCHEMA = "page_type string, page_id string, status string, reason string, decided_by string, decided_at timestamp, score_version string, seq long"
+    KEY = ["page_type", "page_id"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def generation(self) -> int:
+        """The number of the current generation: the highest marker."""
+        at, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return max([int(n.removeprefix("current-")) for n in names if n.startswith("current-")], default=0)
+
+    def _folder(self, generation: int) -> str:
+        return f"{self.path}/decisions-{generation}"
+
+    def record(self, decisions: DataFrame, names: DataFrame | None = None) -> None:
+        """Add decisions(page_type, page_id, status, reason, decided_by, score_version); names(page_id, name, accommodation_type, readable)
+        of hotels. One that may not be recorded stops them all."""
+        d = decisions if names is None else decisions.join(names, "page_id", "left")
+        column = lambda c, kind: F.col(c) if c in d.columns else F.lit(None).cast(kind)
+        name, kind = column("name", "string"), column("accommodation_type", "string")
+        readable = F.coalesce(column("readable", "boolean"), F.lit(False))
+        hotel = (F.col("page_type") == "hotel") & (F.col("status") != "retired")
+        marked = F.when(hotel, text.listed(name, F.col("page_id")))
+        why = F.coalesce(marked, refusal(F.col("page_type"), F.col("status"), F.col("reason"), name, F.coalesce(kind, F.lit("unknown")), readable))
+        bad = d.select("page_type", "page_id", why.alias("why")).where("why is not null").limit(5).collect()
+        if bad:
+            raise DecisionError("; ".join(f"{r.page_type} {r.page_id}: {r.why}" for r in bad))
+        rows = d.select(*self.KEY, "status", "reason", "decided_by", F.current_timestamp().alias("decided_at"), column("score_version", "string").alias("score_version"), F.lit(time.time_ns()).alias("seq"))
+        rows.write.mode("append").parquet(self._folder(self.generation()))
+
+    def set_status(self, page_type: str, page_id: str, status: str, reason: str, decided_by: str, *, score_version: str | None = None, name: str | None = None, accommodation_type: str | None = None, readable: bool = False) -> None:
+        one = self.spark.createDataFrame([(page_type, page_id, status, reason, decided_by, score_version, name, accommodation_type, readable)], "page_type string, page_id string, status string, reason string, decided_by string, score_version string, name string, accommodation_type string, readable boolean")
+        self.record(one)
+
+    def current(self) -> DataFrame:
+        """The decision that holds for each page."""
+        at, fs = self._fs()
+        folder = self._folder(self.generation())
+        if not fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)):
+            return self.spark.createDataFrame([], self.SCHEMA).drop("seq")
+        return latest(self.spark.read.schema(self.SCHEMA).parquet(folder), self.KEY, "seq", "decided_at").drop("seq")
+
+    def get_status(self, page_type: str, page_id: str) -> dict | None:
+        found = self.current().where((F.col("page_type") == page_type) & (F.col("page_id") == page_id)).collect()
+        return found[0].asDict() if found else None
+
+    def is_indexable(self, page_type: str, page_id: str) -> bool:
+        found = self.get_status(page_type, page_id)
+        return found is not None and found["status"] == "indexable"
+
+    def list_by_status(self, status: str, page_type: str | None = None) -> DataFrame:
+        return listed(self.current(), status, page_type)
+
+    def compact(self) -> None:
+        """Keep only the rows that hold. Decisions must not be added at the same time."""
+        at, fs = self._fs()
+        old = self.generation()
+        self.current().withColumn("seq", F.lit(0).cast("long")).write.parquet(self._folder(old + 1))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.create(hadoop(f"{self.path}/current-{old + 1}"), False).close()
+        fs.delete(hadoop(self._folder(old)), True)
+        if old:
+            fs.delete(hadoop(f"{self.path}/current-{old}"), False)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import scoring
+from ..functions import geo, scoring, text
 
 
 class ValidationError(ValueError):
@@ -37,6 +37,13 @@ def require(checks: DataFrame) -> None:
         raise ValidationError("; ".join(found))
 
 
+def require_unlisted(hotels: DataFrame) -> None:
+    """hotels(id, name): stops if any is an institution or carries a listed brand."""
+    found = hotels.select("id", text.listed(F.col("name"), F.col("id")).alias("why")).where("why is not null").limit(5).collect()
+    if found:
+        raise ValidationError("must not be published: " + ", ".join(f"{r.id} ({r.why})" for r in found))
+
+
 def baseline(scores: DataFrame) -> DataFrame:
     """Mean and interpolated median of each dimension, by city."""
     aggs = [x for d in C.DIMENSIONS for x in (F.round(F.avg(d), 2).alias(f"{d}_mean"), F.round(F.median(d), 2).alias(f"{d}_median"))]
@@ -60,12 +67,52 @@ def soft_scan(hotels: DataFrame) -> DataFrame:
     )
 
 
+def scans(hotels: DataFrame, scores: DataFrame, far_km: float = C.FAR_KM, low: float = 60.0) -> DataFrame:
+    """hotels(city_id, id, name, lat, lon, addresses, centre), scores(id, six scores, confidence) -> counts by city of all that is reported.
+
+    Nothing stops on them. Points that several records share are counted once each.
+    """
+    name = F.col("name")
+    km = geo.haversine_m(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon")) / 1000
+    h = hotels.groupBy("city_id").agg(
+        F.count(F.lit(1)).alias("n_hotels"), F.count_if(scoring.blank_name(name)).alias("n_missing_name"), F.count_if(scoring.numeric_name(name)).alias("n_numeric_name"),
+        F.count_if(km > far_km).alias("n_far_from_center"),
+        F.count_if(scoring.locality_mismatch(F.col("address_country"), F.col("address_region"), F.col("city_country"), F.col("expected_region"), F.col("city_name")).isNotNull()).alias("n_locality_mismatch"),
+        F.count_if(F.col("leaf").isin(C.EXCLUDED_TYPES)).alias("n_excluded_type"),
+    )
+    points = hotels.groupBy("city_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("city_id").agg(F.count(F.lit(1)).alias("n_coincident"))
+    zero = reduce(lambda a, b: a & b, [F.col(d) == 0 for d in C.DIMENSIONS])
+    s = scores.groupBy("city_id").agg(F.count_if(F.col("confidence") < low).alias("n_low_confidence"), F.count_if(zero).alias("n_all_zero"), F.round(F.median("confidence"), 2).alias("median_confidence"))
+    return h.join(points, "city_id", "left").join(s, "city_id", "left").na.fill(0, ["n_coincident", "n_low_confidence", "n_all_zero"])
+
+
+def cohort_gate(confidence: Column, dedupe_confidence: Column, dimensions: list[Column], n_facts: Column, numeric: Column, shared: Column, kind: Column, readable: Column) -> Column:
+    """The first gate that keeps a hotel out of the pilot cohort; null for a candidate."""
+    lacking = reduce(lambda a, b: a | b, [d.isNull() for d in dimensions])
+    return (
+        F.when(kind != "hotel", "accommodation")
+        .when(confidence < 80, "confidence")
+        .when(dedupe_confidence < C.SINGLE_CONFIDENCE, "identity")
+        .when(lacking, "dimension")
+        .when(F.coalesce(n_facts, F.lit(0)) < 1, "facts")
+        .when(numeric, "numeric_name")
+        .when(shared, "coincident")
+        .when(~readable, "latin_name")
+    )
+
+
 def coincident(hotels: DataFrame) -> DataFrame:
     """Points that several records share, with their names in order."""
     g = hotels.groupBy("city_id", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
     return g.where("n > 1")
 
 
+def sizes(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """city_id, tbl, n, estimated_bytes: rows of each table by city, and what they take at so many bytes a row."""
+    counted = [t.groupBy("city_id").agg(F.count(F.lit(1)).alias("n")).select("city_id", F.lit(name).alias("tbl"), "n", (F.col("n") * F.lit(width)).alias("estimated_bytes")) for name, (t, width) in tables.items()]
+    return reduce(DataFrame.union, counted)
+
+
 def score_diff(old: DataFrame, new: DataFrame, dimension: str, changed: float, moved: float) -> DataFrame:
     """Counts of changes of one score by city, of the hotels that both versions have."""
     d = old.select("city_id", "id", F.col(dimension).alias("o")).join(new.select("id", F.col(dimension).alias("n")), "id").withColumn("delta", F.col("n") - F.col("o"))

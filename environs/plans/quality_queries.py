@@ -66,6 +66,9 @@ def sitemap_set_check(a: Atlas) -> DataFrame:
     return publication.set_difference(a.hotels.where("key % 9 <> 0"), a.hotels.where("key % 8 <> 0"), "id")
 
 
+_HAV_KM = "2 * 6371.0::double * asin(least(1.0::double, sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2))))"
+
+
 # duplicates -------------------------------------------------------------------------------------------------------
 
 _FORM = f"trim(regexp_replace(lower({FOLD.format('name')}), '[^a-z0-9]+', ' ', 'g'))"
@@ -373,7 +376,9 @@ def _scenarios_sql() -> str:
 @query(f"select weight, factor, round(avg(abs(value - balanced_score)), 4) as shift from ({_scenarios_sql()}) join sc using (city_id, id) group by 1, 2", scores_sql("sc"))
 def weight_perturbation(a: Atlas) -> DataFrame:
     d = statistics.persona_scenarios(table_scores(a), C.PERSONAS["balanced"])
-    return d.groupBy("weight", "factor").agg(F.round(F.avg(F.abs(F.col("value") - F.col("base"))), 4).alias("shift"))
+    # differences are decimals of twelve digits: their mean is exact, on any machine and in any order
+    apart = F.round(F.abs(F.col("value") - F.col("base")), 12).cast("decimal(20, 12)")
+    return d.groupBy("weight", "factor").agg(F.round(F.avg(apart), 4).cast("double").alias("shift"))
 
 
 @query("select city_id, id, factor, round(sum(exp(-d / (250 * factor))), 6) as raw from n, (select unnest([0.5, 0.7, 1.0, 1.3])::double as factor) group by 1, 2, 3", pairs_sql("n", "p.leaf in ('restaurant', 'cafe')", 400))

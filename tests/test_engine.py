@@ -399,3 +399,85 @@ def test_stream_upsert(spark, tmp_path):
 def test_registered_for_sql(spark):
     text.register(spark)
     assert spark.sql("select ascii_fold('Hôtel') a, rule_form('Hôtel-X') b, romanise('Отель') c").first() == ("Hotel", "hotel x", "Otel")
+
+
+# publication store, pages, labels ---------------------------------------------------------------------------------
+
+
+def test_store(spark, tmp_path):
+    """Decisions add up, the newest holds, and one that may not be recorded stops."""
+    store = publication.Store(spark, f"file://{tmp_path}/store")
+    assert store.get_status("hotel", "h1") is None and not store.is_indexable("hotel", "h1")
+    store.set_status("hotel", "h1", "draft", "cohort", "owner")
+    assert store.get_status("hotel", "h1")["status"] == "draft"
+    store.set_status("hotel", "h1", "indexable", "reviewed", "owner", name="Grand Canal Hotel", accommodation_type="hotel", readable=True, score_version="1.2.1")
+    store.set_status("city", "london", "indexable", "reviewed", "owner")
+    assert store.is_indexable("hotel", "h1") and store.is_indexable("city", "london") and not store.is_indexable("hotel", "h2")
+    for bad in (
+        dict(page_type="room", page_id="x", status="draft", reason="r"), dict(page_type="hotel", page_id="x", status="gone", reason="r"), dict(page_type="hotel", page_id="x", status="draft", reason=" "),
+        dict(page_type="hotel", page_id="x", status="indexable", reason="r", name="8468671", accommodation_type="hotel", readable=True),
+        dict(page_type="hotel", page_id="x", status="indexable", reason="r", name="Hotel One", accommodation_type="hostel", readable=True),
+        dict(page_type="hotel", page_id="x", status="indexable", reason="r", name="Hotel One", accommodation_type="hotel"),
+        dict(page_type="hotel", page_id="x", status="draft", reason="r", name="Embassy of Aurora"),
+    ):
+        with pytest.raises(publication.DecisionError):
+            store.set_status(decided_by="owner", **bad)
+    store.compact()
+    store.set_status("hotel", "h2", "noindex", "default", "owner")
+    store.compact()
+    assert {(r.page_type, r.page_id) for r in store.list_by_status("indexable").collect()} == {("hotel", "h1"), ("city", "london")}
+    assert [r.page_id for r in store.list_by_status("indexable", "hotel").collect()] == ["h1"]
+    assert store.get_status("hotel", "h1")["score_version"] == "1.2.1" and store.generation() == 2
+
+
+def test_listed_names_stop_a_publication(spark):
+    rows = spark.createDataFrame([("h1", "Grand Canal Hotel"), ("h2", None)], "id string, name string")
+    quality.require_unlisted(rows)
+    with pytest.raises(quality.ValidationError):
+        quality.require_unlisted(rows.union(spark.createDataFrame([("h3", "Embassy of Aurora")], rows.schema)))
+
+
+PAGE = '<html><head><title> One </title><link rel="canonical" href="/a">{}</head></html>'
+LD = '<script type="application/ld+json">{}</script>'
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (PAGE.format(""), []), ("<html></html>", ["canonical", "no_title"]), (PAGE.format("<link href='/b' rel='canonical'>"), ["canonical"]),
+        (PAGE.format(LD.format('{"@type": "Hotel", "name": "x", "address": {"@type": "PostalAddress"}}')), []),
+        (PAGE.format(LD.format('{"@type": "Hotel", "offers": [{"AggregateRating": 3}]}')), ["forbidden_key"]),
+        (PAGE.format(LD.format('{"@type": "Review"}')), ["type"]), (PAGE.format(LD.format('{"@type": "Hotel", "name": "review"}')), []), (PAGE.format(LD.format("{not json")), ["json"]),
+    ],
+)
+def test_page_problems(spark, html, want):
+    from environs.functions import page
+
+    assert value(spark, page.problems(F.lit(html))) == want
+
+
+def test_nearest_finds_far_ones(spark):
+    """Rings grow until each point has its n, or all of its city; a city without any gives nothing."""
+    from environs.operators.spatial import nearest
+
+    rng = random.Random(3)
+    left = [("a", i, rng.uniform(0, 9000), rng.uniform(0, 9000)) for i in range(40)] + [("b", 100, 0.0, 0.0), ("c", 101, 5.0, 5.0)]
+    right = [("a", f"r{i}", rng.uniform(0, 3000), rng.uniform(0, 3000)) for i in range(12)] + [("b", "far", 80_000.0, 1.0), ("b", "near", 3.0, 4.0)]
+    got = nearest(spark.createDataFrame(left, "city_id string, id long, x double, y double"), spark.createDataFrame(right, "city_id string, r string, x double, y double"), "r", 3).collect()
+    want = {}
+    for c, i, x, y in left:
+        near = sorted((math.hypot(x - u, y - v), r) for d, r, u, v in right if d == c)[:3]
+        want |= {(i, k + 1): r for k, (_, r) in enumerate(near)}
+    assert {(r.id, r["rank"]): r.r for r in got} == want
+
+
+def test_sitemaps_are_split(spark):
+    paths = spark.createDataFrame([("a", f"/p{i:03}") for i in range(7)] + [("b", "/q")], "city_id string, path string")
+    got = publication.urlset(paths, "https://x.test", most=3)
+    assert sorted((r.city_id, r.part, r.xml.count("<loc>")) for r in got.collect()) == [("a", 0, 3), ("a", 1, 3), ("a", 2, 1), ("b", 0, 1)]
+    assert publication.sitemap_index(got, "https://x.test").first().xml.count("<sitemap>") == 4
+
+
+def test_wkt_is_printed(spark):
+    text_ = "POLYGON ((0.0 0.0, 4.0 0.0, 0.0 4.0, 0.0 0.0), (1.0 1.0, 2.0 1.0, 1.0 2.0, 1.0 1.0))"
+    assert value(spark, geo.to_wkt("POLYGON", geo.rings(F.lit(text_)))) == text_
