@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from environs.session import ship
-from environs.storage import drop, setting, stash
+from environs.storage import drop, setting  # noqa: F401
+from environs.storage import stash as stash_as_is
 
 #: A word is a run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,26 +36,52 @@ def small_batches(df: DataFrame, size: int = 4_000_000) -> AbstractContextManage
     return setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-#: A key with more than this share of all rows is heavy: there can't be more than HEAVY of them.
-HEAVY = 1024
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, made in small batches."""
+    with small_batches(df):
+        return stash_as_is(df, name)
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str) -> list:
-    """counts(key, n), one row a key -> the keys that hold more than one HEAVY-th of all rows."""
+def free_name(columns: list[str], wanted: str) -> str:
+    """The name for a column of ours beside others: wanted, or with a number if one of them has that name."""
+    taken, name, i = {c.lower() for c in columns}, wanted, 0
+    while name.lower() in taken:
+        i += 1
+        name = f"{wanted}_{i}"
+    return name
+
+
+def plain_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+#: A key is heavy with more than one HEAVY-th of all rows, so that there can't be more than HEAVY of them, and PART_ROWS rows; that many
+#: rows of it, on average, go to one part.
+HEAVY, PART_ROWS = 1024, 4_096
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> dict:
+    """counts(key, n), one row a key -> the heavy keys and the number of parts that each is dealt to."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where((F.col(n) > F.lit(total / HEAVY)) & (F.col(n) > 1)).select(key).collect()]
+    found = counts.where((F.col(n) > F.lit(total / HEAVY)) & (F.col(n) > PART_ROWS)).select(key, n).collect()
+    return {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: -(-r[1] // PART_ROWS) for r in found}
+
+
+def parts_of(key: str, heavy: dict) -> Column:
+    """The number of parts of a row's key: 1 unless it is heavy."""
+    known = F.create_map(*[F.lit(x) for k, n in heavy.items() for x in (k, n)])
+    return F.coalesce(F.try_element_at(known, F.col(key)), F.lit(1))
 
 
-def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, heavy: list, how: str = "inner", spread: str = "doc_id") -> DataFrame:
-    """rows joined with looked_up (one row a key) on key: rows of the heavy keys are dealt over as many parts as there are shuffle
-    partitions, by a hash of the columns named in spread, and only their rows of looked_up are copied into these parts."""
+def spread_join(rows: DataFrame, looked_up: DataFrame, key: str, heavy: dict, how: str = "inner", spread: str = "doc_id") -> DataFrame:
+    """rows joined with looked_up (one row a key) on key: rows of the heavy keys are dealt over parts, by a hash of the column named in
+    spread, and only their rows of looked_up are copied into these parts."""
     if not heavy:
         return rows.join(looked_up, key, how)
-    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    is_heavy = F.col(key).isin(heavy)
-    salt = F.when(is_heavy, F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("__part", salt).join(looked_up.withColumn("__part", F.explode(copies)), [key, "__part"], how).drop("__part")
+    parts = parts_of(key, heavy)
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    copied = looked_up.withColumn("__part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    return salted.join(copied, [key, "__part"], how).drop("__part")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

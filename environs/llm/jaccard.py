@@ -15,7 +15,9 @@ compared: first a forest of such pairs, at most as many as there are components,
 left. Every pair that links is then in one component: large groups of copies take a number of comparisons in proportion to their size.
 
 A comparison bounds the overlap from above by the signatures, |A n B| <= (|A| + |B| - popcount(a xor b)) / 2 for
-parity bitmaps a and b, and only then intersects the sorted arrays.
+parity bitmaps a and b, and only then intersects the sorted arrays. Bitmaps grow with their sets, for a popcount says nothing
+about sets of more elements than bits; two of different length are compared after the longer one is folded. Buckets are first
+judged by bitmaps folded to BRIEF_BITS, and the pairs that are left by the whole ones.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 
 from environs.operators.graph import components
 
-from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, signed, spread_join, stash, utf8, window_hashes
+from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, parts_of, signed, spread_join, stash, utf8, window_hashes
 
 SHINGLE, PERCENT = 5, 80
 RATIO = 1.6
-SIGNATURE_BITS = 1024
+#: Bits of a bitmap for each element, at least; of any bitmap, at least, and of the one that is kept beside buckets.
+BITS_AN_ELEMENT, BRIEF_BITS = 2, 1024
 #: Bytes of a hash that are kept, the high ones, and bits of the bitmap that keeps sets of other documents at home, at most.
 KEPT_BYTES, MAX_BITMAP = 6, 1 << 28
 KEPT = ~U64((1 << (64 - 8 * KEPT_BYTES)) - 1)
@@ -60,9 +63,21 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Bit i is the parity of the number of elements that hash to i."""
-    return np.packbits(np.bincount(((s >> U64(16)) & U64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bit i, of a power of two of them, is the parity of the number of elements that hash to i."""
+    bits = BRIEF_BITS
+    while bits < BITS_AN_ELEMENT * len(s):
+        bits *= 2
+    place = ((s >> U64(16)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(U64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps in rows, brought to a number of 64-bit words: the bitmaps that the same sets have with fewer bits."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -138,7 +153,7 @@ REMEMBERED = 1_000_000
 
 
 def nodes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node, node2, bits, elements: the set itself, packed, where a task meets a node first."""
+    """doc_id, n (set size), node, node2, and where a task meets a node first brief and bits (bitmaps) and elements (the set, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = WordHashes(), set()
@@ -151,16 +166,17 @@ def nodes(docs: DataFrame, k: int) -> DataFrame:
                 new = len(s) and (x, y) not in done
                 if new and len(done) < REMEMBERED:
                     done.add((x, y))
-                out.append((len(s), x, y, signature(s) if new else None, packed(s) if new else None))
+                bits = signature(s) if new else None
+                out.append((len(s), x, y, folded(bits, BRIEF_BITS // 64).tobytes() if new else None, bits.tobytes() if new else None, packed(s) if new else None))
                 size += len(s)
                 if size > 2_000_000 or i == b.num_rows - 1:
-                    n, a, c, bits, elements = zip(*out)
-                    columns = [pa.array(v, pa.int64()) for v in (n, a, c)] + [pa.array(bits, pa.binary()), pa.array(elements, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), *columns], ["doc_id", "n", "node", "node2", "bits", "elements"])
+                    n, a, c, *bodies = zip(*out)
+                    columns = [pa.array(v, pa.int64()) for v in (n, a, c)] + [pa.array(v, pa.binary()) for v in bodies]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), *columns], ["doc_id", "n", "node", "node2", "brief", "bits", "elements"])
                     out, size, first = [], 0, i + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, bits binary, elements binary")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, brief binary, bits binary, elements binary")
 
 
 def keyed(members: DataFrame, percent: int, room: int = ROOM[0]) -> DataFrame:
@@ -241,8 +257,8 @@ def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
     return out.ravel()
 
 
-def sets_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(node) -> node, n, bits, elements. A bitmap of the wanted nodes keeps most other sets from being shuffled."""
+def sets_of(members: DataFrame, wanted: DataFrame, body: str) -> DataFrame:
+    """wanted(node) -> node, n and the column named in body. A bitmap of the wanted nodes keeps most other sets from being shuffled."""
     filled = bitmap(wanted, "node", wanted.count())
     shared = members.sparkSession.sparkContext.broadcast(filled)
 
@@ -255,7 +271,7 @@ def sets_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(at):
                 yield b.take(pa.array(at))
 
-    found = members.where("elements is not null").select("node", "n", "bits", "elements").mapInArrow(run, "node long, n long, bits binary, elements binary")
+    found = members.where("elements is not null").select("node", "n", body).mapInArrow(run, f"node long, n long, {body} binary")
     return found.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
 
@@ -268,11 +284,10 @@ def may_link(n: int, m: np.ndarray, popcounts: np.ndarray, percent: int) -> np.n
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(centre, node) -> those that link. A centre's set is read once, or once in each part that a heavy one is dealt to."""
     heavy = heavy_keys(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")), "centre", "members")
-    parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    is_heavy = F.col("centre").isin(heavy) if heavy else F.lit(False)
-    salt = F.when(is_heavy, F.pmod(F.hash("node"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    body = ["n", "bits", "elements"]
+    parts = parts_of("centre", heavy) if heavy else F.lit(1)
+    salt = F.pmod(F.hash("node"), parts).cast("int")
+    copies = F.sequence(F.lit(0), (parts - 1).cast("int"))
+    body = ["n", "elements"]
     members = pairs.select("centre", salt.alias("salt"), F.lit(1).alias("kind"), "node").join(sets, "node").select("centre", "salt", "kind", "node", *body)
     heads = pairs.select("centre").distinct().join(sets.withColumnRenamed("node", "centre"), "centre")
     heads = heads.select("centre", F.explode(copies).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("node"), *body)
@@ -282,14 +297,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         head = None
         for b in batches:
             us, vs = [], []
-            for centre, _, kind, node, n, bits, elements in zip(*[c.to_pylist() for c in b.columns]):
+            for centre, _, kind, node, n, elements in zip(*[c.to_pylist() for c in b.columns]):
                 if kind == 0:
-                    head = (centre, n, np.frombuffer(bits, U64), unpacked(elements))
-                    continue
-                differ = int(np.bitwise_count(head[2] ^ np.frombuffer(bits, U64)).sum())
-                if not may_link(head[1], np.array([n]), np.array([differ]), percent)[0]:
+                    head = (centre, n, unpacked(elements))
                     continue
-                both = len(np.intersect1d(head[3], unpacked(elements), assume_unique=True))
+                both = len(np.intersect1d(head[2], unpacked(elements), assume_unique=True))
                 if 100 * both >= percent * (head[1] + n - both):
                     us.append(centre)
                     vs.append(node)
@@ -310,7 +322,7 @@ class Forest(dict):
 
 
 def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """pairs(centre, node) whose sizes and bitmaps allow a link: only these have their sets fetched."""
+    """pairs(centre, node) whose sizes and whole bitmaps allow a link: only these have their sets fetched."""
     a = info.select(F.col("node").alias("centre"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     heavy = heavy_keys(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members")), "centre", "members")
     both = spread_join(pairs.join(info, "node"), a, "centre", heavy, spread="node").select("centre", "node", "n", "bits", "n1", "bits1")
@@ -319,9 +331,14 @@ def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), U64).reshape(b.num_rows, -1) for c in ("bits", "bits1"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = may_link(b.column("n").to_numpy(), b.column("n1").to_numpy(), differ, percent)
+            x, y = (b.column(c).to_pylist() for c in ("bits", "bits1"))
+            widths = np.array([(len(i), len(j)) for i, j in zip(x, y)], np.int64) // 8
+            n, m = b.column("n").to_numpy(), b.column("n1").to_numpy()
+            ok = np.zeros(b.num_rows, bool)
+            for w in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == w).all(1))
+                one, two = (folded(np.frombuffer(b"".join(z[i] for i in at.tolist()), U64).reshape(len(at), -1), int(w.min())) for z in (x, y))
+                ok[at] = may_link(n[at], m[at], np.bitwise_count(one ^ two).sum(1, dtype=np.int64), percent)
             yield b.select(["centre", "node"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "centre long, node long")
@@ -461,25 +478,25 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     members_table = stash(nodes(docs.select("doc_id", "text"), shingle), "sets")
     members = named_apart(members_table)
     buckets = bucketed(members, percent)
-    info = members.where("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    brief = members.where("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("brief").alias("bits"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        wanted = stash(pairs.select("node").union(pairs.select("centre")).distinct(), "wanted")
-        found = stash(linked(pairs, sets_of(members, wanted), percent), "links")
-        drop(wanted)
+        named = stash(pairs.select("node").union(pairs.select("centre")).distinct(), "wanted")
+        close = stash(possible(pairs, sets_of(members, named, "bits"), percent), "possible")
+        wanted = stash(close.select("node").union(close.select("centre")).distinct(), "wanted")
+        found = stash(linked(close, sets_of(members, wanted, "elements"), percent), "links")
+        drop(named, close, wanted)
         return found
 
     meetings = buckets.where("centre <> node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
     best = F.max_by("centre", F.struct("times", -F.col("centre")))
     first = stash(meetings.groupBy("node").agg(best.alias("centre")).select("centre", "node"), "first")
-    pairs = stash(possible(first, info, percent), "possible")
+    found = [compared(first)]
     drop(first)
-    found = [compared(pairs)]
-    drop(pairs)
     labels = components(found[0])
     left = buckets
     for turn in range(ROUNDS + 1):
-        opened = open_pairs(left, labels, info, percent, turn < ROUNDS)
+        opened = open_pairs(left, labels, brief, percent, turn < ROUNDS)
         drop(buckets)
         more = opened.where("key is null").select("centre", "node").distinct()
         if not more.limit(1).count():
