@@ -19,11 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, stash, utf8
+from .common import ASCII_SPACE, drop, free_name, heavy_keys, plain_columns, spread_join, stash, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SEGMENT_BITS = 8
+#: Bits of a hash that name the filter segment: there are as many as the input fills with SEGMENT_BYTES each, within these bounds.
+SEGMENT_BITS, MOST_SEGMENT_BITS, SEGMENT_BYTES = 8, 16, 1 << 26
 #: 32 MB: what a worker loads at most.
 MAX_BITS = 1 << 28
 MERGE_AT = 1_000_000
@@ -45,11 +47,11 @@ def digests(text: bytes | None, min_chars: int) -> set[bytes]:
     return {d for line in text.split(b"\n") if len(line) >= min_chars and (d := digest(line, min_chars))}
 
 
-def _split(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(h: np.ndarray, segments: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment and the two slots in it of each hash."""
     h = h.astype(np.uint64)
     s = np.uint64(slots - 1)
-    return (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), (h & s).astype(np.int64), ((h >> np.uint64(28)) & s).astype(np.int64)
+    return (h >> np.uint64(65 - segments.bit_length())).astype(np.int64), (h & s).astype(np.int64), ((h >> np.uint64(28)) & s).astype(np.int64)
 
 
 def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
@@ -58,14 +60,17 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
     bits = 1 << 20
     while bits < min(MAX_BITS, 8 * chars // (min_chars + 1)):
         bits *= 2
-    slots = bits >> SEGMENT_BITS
+    segment_bits = SEGMENT_BITS
+    while segment_bits < MOST_SEGMENT_BITS and chars >> segment_bits > SEGMENT_BYTES:
+        segment_bits += 1
+    segments, slots = 1 << segment_bits, bits >> segment_bits
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
 
         def merged() -> pa.RecordBatch:
             u, n = np.unique(np.frombuffer(b"".join(d[:8] for d in held), np.uint64), return_counts=True)
-            seg = (u >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)
+            seg = (u >> np.uint64(64 - segment_bits)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(seg), pa.array(u.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["segment", "h", "n"])
 
         for b in batches:
@@ -83,7 +88,7 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
         for b in batches:
             u, at = np.unique(b.column(1).to_numpy().view(np.uint64), return_inverse=True)
             n = np.bincount(at, weights=b.column(2).to_numpy(zero_copy_only=False), minlength=len(u))
-            seg, p, q = _split(u, slots)
+            seg, p, q = _split(u, segments, slots)
             for s in np.unique(seg).tolist():
                 if s not in once:
                     once[s], twice[s] = np.zeros(slots, bool), np.zeros(slots, bool)
@@ -98,7 +103,7 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(twice[s]).tobytes()])], ["segment", "bits"])
 
     seen = docs.select(utf8("text").alias("text")).mapInArrow(hashes, "segment int, h long, n tinyint")
-    out = np.zeros((1 << SEGMENT_BITS, slots // 8), np.uint8)
+    out = np.zeros((segments, slots // 8), np.uint8)
     for r in seen.repartition("segment").mapInArrow(filters, "segment int, bits binary").collect():  # MAX_BITS bits at most
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -107,7 +112,7 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
 def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
     """doc_id and digest of each line, once a document, whose hash the filter may have seen twice."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
-    slots = twice.shape[1] * 8
+    segments, slots = twice.shape[0], twice.shape[1] * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -120,7 +125,7 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
                 owner += [i] * len(new)
             if not found:
                 continue
-            seg, p, q = _split(np.frombuffer(b"".join(d[:8] for d in found), np.uint64), slots)
+            seg, p, q = _split(np.frombuffer(b"".join(d[:8] for d in found), np.uint64), segments, slots)
             hit = (bits[seg, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (bits[seg, q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1
             at = np.flatnonzero(hit)
             ids = b.column(0).take(pa.array(np.array(owner, np.int64)[at]))
@@ -131,54 +136,68 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id and the digests of the lines that it loses."""
-    pairs = stash(suspects(docs, twice_seen(docs, min_chars), min_chars), "lines")
-    common = pairs.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = pairs.join(common.select("digest", "keeper"), "digest").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("__drop"))
+    """doc_id and the digests of the lines that it loses, a table in the shared folder.
 
+    A line may be in a third of all documents: its documents are counted before they are shuffled, and its keeper goes to all tasks.
+    """
+    pairs = stash(suspects(docs, twice_seen(docs, min_chars), min_chars), "lines")
+    common = stash(pairs.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common")
+    lost = spread_join(pairs, common.select("digest", "keeper"), "digest", heavy_keys(common, "digest", "n")).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
+    out = stash(lost.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")), "dropped")
+    drop(pairs, common)
+    return out
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs(doc_id, text, ...) -> the same rows and columns, and a struct ``lines`` of n_lines, n_dropped and text (UTF-8).
 
-    A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least min_chars code
-    points in at least min_docs documents (distinct doc_ids) lose all their lines but those in the document with the largest
-    doc_id. Null and empty texts are one empty line. A null doc_id is one document, below all others. Rows with the
-    same doc_id are one document when counted; each of them loses its lines. Columns named ``lines`` or ``__drop`` aren't allowed.
-    """
-    drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    rows = rows.withColumn("__utf8", utf8("text"))
-    names = docs.columns
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """row (a struct of the columns of docs) and lines (n_lines, n_dropped, text)."""
+    drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*plain_columns(docs)).alias("row"), utf8("text").alias("utf8"))
+    rows = rows.join(drops, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "gone", "utf8")
+    into = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lines", T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("text", T.BinaryType())]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_lines, n_dropped, texts = [], [], []
-            for drop, text in zip(b.column(len(names)), b.column(len(names) + 1)):
+            for gone, text in zip(b.column(1), b.column(2)):
                 raw = text.as_py() or b""
                 lines = raw.split(b"\n")
                 rest = lines
-                if drop.is_valid:
-                    gone = set(drop.as_py())
-                    rest = [x for x in lines if len(x) < min_chars or digest(x, min_chars) not in gone]
+                if gone.is_valid:
+                    known = set(gone.as_py())
+                    rest = [x for x in lines if len(x) < min_chars or digest(x, min_chars) not in known]
                     raw = b"\n".join(rest)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(rest))
                 texts.append(raw)
             s = pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary())], ["n_lines", "n_dropped", "text"])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], s], [*names, "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), s], ["row", "lines"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__drop", "__utf8").mapInArrow(run, f"{kept}, lines struct<n_lines: long, n_dropped: long, text: binary>")
+    return rows.mapInArrow(run, into)
 
 
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs(doc_id, text, ...) -> the same rows and columns, and a struct ``lines`` of n_lines, n_dropped and text (UTF-8).
+
+    A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least min_chars code
+    points in at least min_docs documents (distinct doc_ids) lose all their lines but those in the document with the largest
+    doc_id. Null and empty texts are one empty line. A null doc_id is one document, below all others. Rows with the
+    same doc_id are one document when counted; each of them loses its lines. Other columns may have any names; where one is
+    called ``lines``, ours is ``lines_1``.
+    """
+    return dropped(docs, min_chars, min_docs).select("row.*", F.col("lines").alias(free_name(docs.columns, "lines")))
+
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with their texts (and n_chars, where there is one) after dropping; rows that lose nothing stay as they are."""
-    d = dedup_lines(docs, **options)
+def without_repeats(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with their texts (and n_chars, where there is one) after dropping; rows that lose nothing stay as they are.
+
+    Odd rows are treated as in ``dedup_lines``.
+    """
+    d = dropped(docs, min_chars, min_docs)
     changed = F.col("lines.n_dropped") > 0
     new = F.decode(F.col("lines.text"), "UTF-8")
-    d = d.withColumn("text", F.when(changed, new).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    text = F.when(changed, new).otherwise(out["text"])
+    out["text"] = text
+    if "n_chars" in out:
+        out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return d.select(*[x.alias(c) for c, x in out.items()])
