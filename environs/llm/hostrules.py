@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import free_name, heavy_keys, spread_join, stash, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOLS = [bytes([c]) for c in SYMBOLS]
@@ -24,6 +24,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected when its shrunken failure rate is above this.
 MAX_HOST_RATE = 0.8
+#: Hosts whose rates are sent to all tasks; more are joined by shuffling.
+BROADCAST_HOSTS = 10_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -65,19 +67,19 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``measured`` of MEASURES added; null text counts nothing."""
-    kept = docs.schema
-    into = T.StructType([*kept.fields, T.StructField("measured", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
+def measured(docs: DataFrame) -> DataFrame:
+    """docs(..., utf8) -> its other columns and a struct column ``measured`` of MEASURES; null text counts nothing."""
+    names = [c for c in docs.columns if c != "utf8"]
+    into = T.StructType([*[docs.schema[c] for c in names], T.StructField("measured", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last = len(b.schema) - 1
+            last = len(names)
             found = np.array([measure(x.as_py()) for x in b.column(last)], np.int64).reshape(-1, len(MEASURES))
             s = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(MEASURES))], MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], s], [*b.schema.names[:last], "measured"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], s], [*names, "measured"])
 
-    return docs.select("*", utf8(text).alias("__utf8")).mapInArrow(run, into)
+    return docs.select(*names, "utf8").mapInArrow(run, into)
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
@@ -85,40 +87,57 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT
     return (m.n_words < min_words) | (F.lit(100) * m.n_repeat_words > F.lit(max_repeat_percent) * m.n_words)
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """judged(host, failed) -> host, n_docs, n_failed, rate (shrunken).
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """hosts(host, n_docs, n_failed) -> with rate (shrunken).
 
     The prior's mean and spread are the mean and variance of the hosts' own rates (method of moments), so one number of
     each is all that leaves the executors. With one host, or hosts that all have one rate, the prior is that rate.
     """
-    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     p = F.col("n_failed") / F.col("n_docs")
     one = hosts.agg(F.avg(p).alias("m"), F.var_pop(p).alias("v")).first()
     mean, var = (one.m or 0.0), (one.v or 0.0)
     strength = min(1e6, max(1.0, mean * (1 - mean) / var - 1)) if var > 1e-12 else 1e6 * (0 < mean < 1) + 1
     alpha, beta = mean * strength, (1 - mean) * strength
-    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta)))
+    return hosts.withColumn("rate", F.round((F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta)), 9))
 
 
-def judge(docs: DataFrame, *, host: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> the same rows with structs ``measured`` and ``verdict`` (base_failed, host_rate, kept).
+def judged(docs: DataFrame, host: Column | None, max_host_rate: float, carry: list[str]) -> DataFrame:
+    """row (a struct of the carried columns of docs), measured and verdict (base_failed, host_rate, kept).
 
-    host: the column that names a document's host; by default its source. A null host is a host of its own. An empty text
-    fails for want of words. Equal rows are judged each. An empty table stays empty. Columns named ``measured``,
-    ``verdict`` or ``host`` in docs are not allowed; any others pass through.
+    Without the text among the carried columns, measures are written once and read twice; with it, documents are measured twice, so
+    that no text is written. A host may have a third of all rows: its rate goes to all tasks that have such rows.
     """
     h = F.col("source") if host is None else host
-    key = [h.isNull().alias("no_host"), F.coalesce(h.cast("string"), F.lit("")).alias("host_name")]
-    slim = docs.select(F.struct(*key).alias("host"), F.col("text"))
-    rates = host_rates(measured(slim).select("host", base_failed().alias("failed")))
-    rows = measured(docs.select("*", *key))
-    rates = rates.select(F.col("host.no_host").alias("no_host"), F.col("host.host_name").alias("host_name"), F.round("rate", 9).alias("__rate"))
-    rows = rows.join(rates, ["no_host", "host_name"], "left").drop("no_host", "host_name")
+    # a null host is a host of its own: it is told apart from an empty name
+    key = F.when(h.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), h.cast("string"))).alias("host")
+    slim = docs.select(key, utf8("text").alias("utf8"))
+    whole = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), utf8("text").alias("utf8"))
+    rows = measured(whole)
+    if "text" not in carry:
+        rows = stash(rows, "measures")
+        slim_rows = rows.select("host", "measured")
+    else:
+        slim_rows = measured(slim)
+    sums = stash(slim_rows.select("host", base_failed().alias("failed")).groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
+    rates = host_rates(sums).select("host", "rate")
+    rows = spread_join(rows, rates, "host", heavy_keys(sums, "host", "n_docs"), "left", spread="measured") if sums.limit(BROADCAST_HOSTS + 1).count() > BROADCAST_HOSTS else rows.join(F.broadcast(rates), "host", "left")
     failed = base_failed()
-    verdict = F.struct(failed.alias("base_failed"), F.col("__rate").alias("host_rate"), (~failed & (F.col("__rate") <= F.lit(max_host_rate))).alias("kept"))
-    return rows.withColumn("verdict", verdict).drop("__rate")
+    verdict = F.struct(failed.alias("base_failed"), F.col("rate").alias("host_rate"), (~failed & (F.col("rate") <= F.lit(max_host_rate))).alias("kept"))
+    return rows.select("row", "measured", verdict.alias("verdict"))
+
+
+def judge(docs: DataFrame, *, host: Column | None = None, max_host_rate: float = MAX_HOST_RATE, text_too: bool = True) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> the same rows with structs ``measured`` and ``verdict`` (base_failed, host_rate, kept).
+
+    host: the column that names a document's host; by default its source. A null host is a host of its own. An empty text
+    fails for want of words. Equal rows are judged each. An empty table stays empty. Other columns pass through, whatever their names;
+    where one is called ``measured`` or ``verdict``, ours has ``_1`` after it. Without text_too the text is left out, which is faster.
+    """
+    carry = [c for c in docs.columns if text_too or c != "text"]
+    rows = judged(docs, host, max_host_rate, carry)
+    return rows.select("row.*", *[F.col(c).alias(free_name(carry, c)) for c in ("measured", "verdict")])
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with the columns they had."""
-    return judge(docs, **options).where("verdict.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep(docs: DataFrame, *, host: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The documents that pass, with the columns they had. Odd rows are treated as in ``judge``."""
+    return judged(docs, host, max_host_rate, docs.columns).where("verdict.kept").select("row.*")

@@ -26,7 +26,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return hostrules.judge(docs).select("doc_id", *[f"measured.{m}" for m in hostrules.MEASURES], "verdict.base_failed", "verdict.kept")
+    return hostrules.judge(docs, text_too=False).select("doc_id", *[f"measured.{m}" for m in hostrules.MEASURES], "verdict.base_failed", "verdict.kept")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
