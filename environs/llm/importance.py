@@ -2,8 +2,9 @@
 
 Word unigrams and bigrams are hashed into BUCKETS counters. One generative model is the distribution of target text, a
 bounded sample of labelled good documents; the other that of the raw corpus, counted over every document. A document's
-log weight is the mean log ratio of the two over its n-grams, times ``sharpness``; adding Gumbel noise and taking the k
-largest draws k documents without replacement in proportion to their weights.
+log ratio is that of its likelihoods under the two, the sum over its n-grams; adding Gumbel noise and taking the k largest draws
+k documents without replacement in proportion to the ratios. Beside it stands log_weight, the mean over the n-grams times
+``sharpness``, which a text's length doesn't scale; ``tempered`` draws by it instead.
 
 A mean over all n-grams hides a few toxic words in good prose. So words that labelled toxic documents use clearly more
 often than other labelled ones are learned as well; a document's toxic score is the sum of their log odds, and none above
@@ -159,31 +160,39 @@ def toxic_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, see
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS, toxic: Toxic | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_grams, log_weight, toxic; texts without a word have log weight -inf, held as null."""
+    """docs(doc_id, text) -> doc_id, n_grams, log_ratio, log_weight, toxic; texts without a word have neither (null)."""
     shared = docs.sparkSession.sparkContext.broadcast((ratio, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (r, model) = WordHashes(), shared.value
         for b in batches:
-            n, w, bad = [], [], []
+            n, total, w, bad = [], [], [], []
             for text in b.column(1):
                 t = text.as_py()
                 k = buckets(t, known)
                 n.append(len(k))
+                total.append(float(r[k].sum()) if len(k) else None)
                 w.append(float(r[k].mean() * sharpness) if len(k) else None)
                 bad.append(model is not None and model.score(t) > model.edge)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "n_grams", "log_weight", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(w, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "n_grams", "log_ratio", "log_weight", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_grams long, log_weight double, toxic boolean")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_grams long, log_ratio double, log_weight double, toxic boolean")
+
+
+#: Bins in each doubling of a key's size.
+BINS = 512
 
 
 def largest(rows: DataFrame, share: float, key: str) -> DataFrame:
-    """rows with a boolean ``kept``: the floor(share * n) rows with the largest keys (null keys last; ties by doc_id)."""
-    held = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(key)))  # these two pass over nulls
-    bin_of = F.when(F.col(key).isNull(), F.lit(-1_000_000)).otherwise(F.floor(held * 200)).cast("long")
+    """rows with a boolean ``kept``: the floor(share * n) rows with the largest keys (null keys last; ties by doc_id).
+
+    Only the bin that holds the last of them is ordered: bins are equal steps of the logarithm of 1 + the key's size, on either side of 0.
+    """
+    size = F.floor(F.log2(F.lit(1.0) + F.least(F.abs(F.col(key)), F.lit(1e15))) * BINS)
+    bin_of = F.when(F.col(key).isNull(), F.lit(-1_000_000)).when(F.col(key) < 0, -1 - size).otherwise(size).cast("long")
     rows = rows.withColumn("__bin", bin_of)
-    bins = sorted(rows.groupBy("__bin").count().collect(), key=lambda r: -r[0])  # at most 200,002 bins
+    bins = sorted(rows.groupBy("__bin").count().collect(), key=lambda r: -r[0])  # at most 2 * 50 * BINS bins
     left = int(sum(r[1] for r in bins) * share)
     edge, room = None, 0
     for b, n in bins:
@@ -198,17 +207,17 @@ def largest(rows: DataFrame, share: float, key: str) -> DataFrame:
     return rest.union(at).drop("__bin")
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.75, sharpness: float = SHARPNESS, seed: int = 23) -> DataFrame:
-    """docs(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, n_grams, log_weight, gumbel_key, kept.
+def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.75, sharpness: float = SHARPNESS, tempered: bool = False, seed: int = 23) -> DataFrame:
+    """docs(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, n_grams, log_ratio, log_weight, gumbel_key, kept.
 
     share of the documents is drawn, of those that aren't judged toxic; where too few are left, fewer are kept. Null and
-    empty texts have a null weight and come after all others that may be kept. Equal rows share their noise
-    and are drawn next to each other. Without labelled good documents all weights are equal up to smoothing. Other columns aren't looked at.
+    empty texts have a null ratio and come after all others that may be kept. Equal rows share their noise
+    and are drawn next to each other. Without labelled good documents all ratios are near 0, up to smoothing. Other columns aren't looked at.
     """
     ratio = fit(docs, target_sample(labels))
     scored = stash(weigh(docs, ratio, sharpness, toxic_model(docs, labels)), "importance")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
-    place = F.when(~F.col("toxic"), F.coalesce("gumbel_key", F.lit(-1e9)))  # the toxic ones have none
+    keyed = scored.withColumn("gumbel_key", F.col("log_weight" if tempered else "log_ratio") - F.log(-F.log(u)))
+    place = F.when(~F.col("toxic"), F.coalesce("gumbel_key", F.lit(-1e15)))  # the toxic ones have none
     drawn = largest(keyed.withColumn("__place", place), share, "__place")
-    return drawn.select("doc_id", "n_grams", "log_weight", "gumbel_key", (F.col("kept") & ~F.col("toxic")).alias("kept"))
+    return drawn.select("doc_id", "n_grams", "log_ratio", "log_weight", "gumbel_key", (F.col("kept") & ~F.col("toxic")).alias("kept"))
