@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from environs.llm import chat, decontam, hostrules, importance, jaccard, langid, linededup, mixing, suffixdedup, urlfilter
+from environs.llm import chat, common, decontam, hostrules, importance, jaccard, langid, linededup, mixing, suffixdedup, urlfilter
 from environs.llm.suffixarray import permuted_lcp, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, verdict2 string"
@@ -98,6 +98,67 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffixdedup.remove_repeats(docs_of(spark, [])).collect() == []
 
 
+def removed_by_row(rows, length=50):
+    """As removed, for rows that may share a doc_id: each row by its own text against the smaller ids."""
+    first = {}
+    for i, text in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
+        b = (text or "").encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    out = []
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1) if i is not None else ():
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        out.append((i if i is not None else -1, sum(gone), bytes(c for c, g in zip(b, gone) if not g)))
+    return sorted(out)
+
+
+def test_suffix_dedup_repeated_ids_long_texts_and_common_anchors(spark, monkeypatch):
+    """Rows share ids; texts are longer than a slice; an anchor that all texts have is dealt by whole strings."""
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 400)
+    monkeypatch.setattr(suffixdedup, "MERGE_BYTES", 2_500)
+    monkeypatch.setattr(suffixdedup, "SHARD_BYTES", 700)
+    monkeypatch.setattr(suffixdedup, "BUCKET_BYTES", 2_000)
+    rng = random.Random(5)
+    blank, passage = " " * 40, "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = []
+    for i in range(40):
+        t = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(700))) + blank + rng.choice("xyz") * rng.randrange(30)
+        at = rng.randrange(800)
+        rows.append((rng.randrange(15) if i % 9 else None, t + passage[at : at + rng.randrange(300)] + blank + passage[:60]))
+    rows += [(3, rows[0][1]), (3, rows[0][1]), (0, None), (0, ""), (20, passage * 2), (21, passage[100:] + passage)]
+    seen = []
+    listed = suffixdedup.common_anchors
+    monkeypatch.setattr(suffixdedup, "SAMPLE", 1)
+
+    def all_common(docs, n_buckets):
+        seen.append(listed(docs, n_buckets))
+        texts = [(t or "").encode() for _, t in rows]
+        return np.unique(np.concatenate([suffixdedup.stretches([t], t)[3] for t in texts])[::3])
+
+    monkeypatch.setattr(suffixdedup, "common_anchors", all_common)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed, bytes(r.kept)) for r in suffixdedup.remove_repeats(docs_of(spark, rows)).collect())
+    assert got == removed_by_row(rows) and len(seen) == 1
+
+
+def test_intermediate_tables_go(spark):
+    """What an operator leaves in the shared folder is the table its result reads, and clear() takes that as well."""
+    from environs.storage import clear
+
+    held = vars(spark.sparkContext).setdefault("_environs_tables", set())
+    clear(spark)
+    assert not held
+    rows = corpus(4, 40)
+    for run in (lambda: suffixdedup.remove_repeats(docs_of(spark, rows)), lambda: jaccard.join_components(docs_of(spark, rows)), lambda: mixing.mix(docs_of(spark, rows)), lambda: linededup.dedup_lines(docs_of(spark, rows))):
+        assert run().count() == len(rows)
+        assert len(held) <= 2
+        clear(spark)
+    assert not held
+
+
 # ------------------------------------------------------------------------------------------------ n-gram join
 
 
@@ -162,6 +223,46 @@ def test_one_of_each_without_or_with_shared_ids(spark):
     assert alone in {r.text for r in got} and sum((r.text or "").startswith("x0 ") for r in got) == 1
 
 
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    """Small blocks, heavy keys spread over parts, long bitmaps: the same components."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BRIEF_BITS", 64)
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    rng = random.Random(21)
+    base = words(rng, 120, 10_000)
+    rows = corpus(6, 50)
+    for i in range(45):
+        w = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            w[rng.randrange(120)] = f"e{rng.randrange(9)}"
+        rows.append((2_000 + i, " ".join(w)))
+    rows += [(3_000 + i, rows[-1][1]) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(docs_of(spark, rows), shingle=2, percent=80).collect()}
+    assert got == linked_components(rows, 2, 80)
+
+
+def test_sets_with_one_name_are_told_apart(spark, monkeypatch):
+    """Two sets whose 64-bit names agree stay two."""
+    real = jaccard.node_of
+    monkeypatch.setattr(jaccard, "node_of", lambda s: (7, real(s)[1]))
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f"), (4, None), (5, "x")]
+    members = jaccard.named_apart(spark.createDataFrame([(i, len(jaccard.shingle_set((t or "").encode(), 5, jaccard.WordHashes())), *jaccard.node_of(jaccard.shingle_set((t or "").encode(), 5, jaccard.WordHashes()))) for i, t in rows], "doc_id long, n long, node long, node2 long"))
+    got = {r.doc_id: r.node for r in members.collect()}
+    assert got[1] == got[3] != got[2] and got[5] not in (got[1], got[2])
+
+
+@pytest.mark.parametrize("n", [3, 700, 5_000])
+def test_folded_bitmaps_bound_the_overlap(n):
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64 - 1, n, dtype=np.uint64)]))
+    x, y = jaccard.signature(a), jaccard.signature(b)
+    small = min(len(x), len(y))
+    differ = int(np.bitwise_count(jaccard.folded(x, small) ^ jaccard.folded(y, small)).sum())
+    assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - differ) // 2
+    assert (jaccard.folded(x, 16) == jaccard.folded(jaccard.folded(x, 2 * 16), 16)).all()
+
+
 def test_tiles_cover_pairs():
     """Two sizes that may link share a tile, and a full-size set leaves few parts empty."""
     for percent in (80, 85):
@@ -201,6 +302,11 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs_of(spark, [])).collect() == []
 
 
+def test_line_dedup_spreads_heavy_lines(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART_ROWS", 2)
+    test_line_dedup(spark)
+
+
 def test_line_dedup_repeated_rows(spark):
     """Rows with one doc_id are one document when they are counted."""
     line = "the very same line of more than forty characters"
@@ -273,6 +379,38 @@ def test_tiling(seed):
     assert abs(got - want) <= k  # ties between tiles of one length may be broken either way
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_tiling_is_exact(seed):
+    """Both ways of tiling mark what trying all pairs of places marks, ties included."""
+    rng = random.Random(seed)
+    n = rng.choice([2, 3, 5])
+    a = np.array([rng.randrange(n) for _ in range(rng.randrange(5, 30))], np.uint64)
+    b = np.array([rng.randrange(n) for _ in range(rng.randrange(5, 45))], np.uint64)
+    k = decontam.MIN_MATCH
+    seeds = [(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if (a[i : i + k] == b[j : j + k]).all()]
+    want = tiles_plain(a.tolist(), b.tolist(), k)
+    if seeds:
+        assert decontam.tiled(*(np.array(x, np.int64) for x in zip(*seeds)), a, b) == want
+    assert decontam.scanned(a, b) == want
+
+
+@pytest.mark.parametrize("limit", [0, 40, 10**6])
+def test_decontamination_of_repetitive_texts(limit, monkeypatch):
+    """Whatever way a document is judged by, its coverage is the same; a million equal words take little memory."""
+    monkeypatch.setattr(decontam, "SEEDS_AT_ONCE", limit)
+    rng = random.Random(2)
+    items = [(i, " ".join(words(rng, 25, 4)).encode()) for i in range(8)] + [(9, b"a " * 100)]
+    block = decontam.Block(items)
+    for text in (" ".join(words(rng, 300, 4)).encode(), b"a " * 500 + items[0][1], b"none"):
+        h = decontam.hashed_words(decontam.words_of(text), decontam.WordHashes())
+        got = dict(block.coverage(h))
+        for (i, _), own in zip(items, block.hashes):
+            assert got.get(i, 0.0) == tiles_plain(own.tolist(), h.tolist(), decontam.MIN_MATCH) / len(own)
+    h = decontam.hashed_words([b"a"] * 1_000_000, decontam.WordHashes())
+    if limit:
+        assert dict(block.coverage(h)) == {9: 1.0}
+
+
 # ------------------------------------------------------------------------------------------------ rules, urls, chat
 
 
@@ -411,6 +549,47 @@ def test_importance(spark):
     assert importance.resample(docs_of(spark, []), labels).collect() == []
 
 
+def test_importance_against_plain_version(spark):
+    """Models, log ratios and the choice, worked out without the operator's own functions."""
+    import math
+
+    import xxhash as xx
+
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["good", "Fine", "text", "junk", "spam"]) + str(rng.randrange(4)) for _ in range(rng.randrange(0, 40)))) for i in range(90)] + [(500, None), (501, "x"), (501, "x")]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & m
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+        return x ^ (x >> 31)
+
+    def grams(text):
+        h = [xx.xxh64_intdigest(w.lower()) for w in (text or "").encode().split()]
+        return [mix(x) % importance.BUCKETS for x in h] + [mix((a * 3 + mix(b)) & m) % importance.BUCKETS for a, b in zip(h, h[1:])]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i < 60 and i % 2 == 0:
+            target.update(grams(t))
+    n_raw, n_target = sum(raw.values()) + importance.BUCKETS, sum(target.values()) + importance.BUCKETS
+    ratio = lambda t: sum(math.log((target[k] + 1) / n_target) - math.log((raw[k] + 1) / n_raw) for k in grams(t))
+    got = importance.resample(docs_of(spark, rows), labels, share=0.5).collect()
+    noise = {r.doc_id: r.gumbel_key - r.log_ratio for r in got if r.log_ratio is not None}
+    want = []
+    for i, t in rows:
+        want.append((i, ratio(t) if grams(t) else None))
+    assert sorted((r.doc_id, r.log_ratio is None) for r in got) == sorted((i, w is None) for i, w in want)
+    for r in got:
+        if r.log_ratio is not None:
+            assert r.log_ratio == pytest.approx(dict(want)[r.doc_id], abs=1e-9)
+    order = sorted(want, key=lambda w: (w[1] is None, -((w[1] or 0) + noise.get(w[0], 0)), w[0]))
+    assert collections.Counter(r.doc_id for r in got if r.kept) == collections.Counter(i for i, _ in order[: len(rows) // 2])
+
+
 def test_importance_leaves_toxic_out(spark):
     """Unlabelled good prose with three toxic words goes, though the share has room for all of it; clean prose stays."""
     rng = random.Random(12)
@@ -513,6 +692,77 @@ def test_held_out(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def mix_plain(rows, place, weights=(5, 2, 1), share=1.5, cap=2):
+    """Words taken from each row by sorting whole sources; place gives a row's key."""
+    source = collections.defaultdict(list)
+    for n, (i, t, s) in enumerate(rows):
+        source[s].append(n)
+    order = sorted((s for s in source if s is not None)) + ([None] if None in source else [])
+    size = [len((t or "").split()) for _, t, _ in rows]
+    totals = [sum(size[n] for n in source[s]) for s in order]
+    target = water(totals, [weights[i % 3] for i in range(len(order))], share, cap)
+    taken = {}
+    for s, whole, want in zip(order, totals, target):
+        epochs = int(want / whole + 1e-9) if whole else 0
+        left = round(want - epochs * whole)
+        for n in sorted(source[s], key=place):
+            give = min(size[n], max(0, left))
+            left -= give
+            taken[n] = epochs * size[n] + give
+    return taken
+
+
+def test_mixing_order_against_plain_version(spark, monkeypatch):
+    """The documents with the smallest exponential keys are taken, over bins that are binned again."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "BINS", 2)
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["word", "WORD", "漢字", "12"]) for _ in range(rng.choice([0, 1, 4, 30]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
+    docs = docs_of(spark, rows)
+    keys = {r.doc_id: r.place for r in mixing.measured(docs, None, 17, None).select("place.doc_id", "place").collect()}
+    want = mix_plain(rows, lambda n: tuple(keys[rows[n][0]]))
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert got == {rows[n][0]: t for n, t in want.items()}
+    carried = mixing.mix(docs, carry=docs.columns).select("row.doc_id", "taken").collect()
+    assert {r.doc_id: r.taken for r in carried} == got
+
+
+def test_mixing_repeated_rows_at_the_edge(spark):
+    """Rows that are equal in all share what is left at the edge; texts of letters without case weigh as much as others."""
+    rows = [(1, "w w w", "s")] * 30 + [(2, "v v", "s")] * 20
+    got = mixing.mix(docs_of(spark, rows), share=0.5).collect()
+    assert sum(r.taken for r in got) == 65 and all(r.taken <= r.size for r in got)
+    weights = spark.createDataFrame([("漢字 日本",), ("abc de",), ("123",)], "text string").select(mixing.letter_share(F.col("text"))).collect()
+    assert [r[0] for r in weights] == [1.0, 1.0, 0.25]
+
+
+CLASH = ["lines", "measured", "verdict", "leak", "gone", "utf8", "row", "id", "host", "rate", "taken", "target", "size", "epochs", "source_size", "__id", "__rate", "__utf8", "__drop", "__part"]
+
+
+def clashing(spark, rows):
+    """doc_id, text, source and columns named like those that operators make."""
+    full = [(i, t, s, *[f"{c}-{i}" for c in CLASH]) for i, t, s in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_clashing_names(spark):
+    """Columns named like ours come through with their values."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{good} {i}\nthis is one line that many documents have in common {'' if i else 'x'}", "s") for i in range(8)] + [(9, None, None), (9, None, None), (None, "", "s")]
+    docs = clashing(spark, rows)
+    bench = spark.createDataFrame([(1, "some item that no document has in it at all")], "item_id long, text string")
+    for out in (hostrules.keep(docs), linededup.without_repeats(docs), jaccard.one_of_each(docs), decontam.clean(docs, bench), mixing.mix(docs, carry=docs.columns).select("row.*")):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in CLASH)
+    assert linededup.dedup_lines(docs).columns[-1] == "lines_1" and decontam.measure(docs, bench).columns[-1] == "leak_1"
+    assert hostrules.judge(docs).columns[-2:] == ["measured_1", "verdict_1"] and hostrules.judge(docs).count() == len(rows)
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and {r.taken for r in mixed.collect()} <= {f"taken-{i}" for i, _, _ in rows}
+
+
 # ------------------------------------------------------------------------------------------------ plans and shapes
 
 
