@@ -1,4 +1,4 @@
-"""environs {ingest,score,validate,report,webdata} --root FOLDER [--city all|a,b] [--release latest|ID]"""
+"""environs {ingest,score,validate,report,webdata,diff} --root FOLDER [--city all|a,b] [--release latest|ID] [--against ID]"""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ COMMANDS = ["ingest", "score", "validate", "report", "webdata"]
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="environs", description=__doc__)
-    p.add_argument("command", choices=[*COMMANDS, "all"])
+    p.add_argument("command", choices=[*COMMANDS, "diff", "all"])
     p.add_argument("--root", required=True)
     p.add_argument("--city", default="all")
     p.add_argument("--release", default="latest")
+    p.add_argument("--against", help="the older release that diff compares with")
     return p
 
 
@@ -29,13 +30,16 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(argv)
+    p = parser()
+    a = p.parse_args(argv)
+    if a.command == "diff" and not a.against:
+        p.error("diff needs --against")
     spark = spark or SparkSession.builder.appName("environs").getOrCreate()
     ship(spark)
     release = readers.local_release(folders(spark, f"{a.root}/etl") + folders(spark, f"{a.root}/release"), a.release)
     engine = Engine.open(spark, a.root, release, a.city)
     for c in COMMANDS if a.command == "all" else [a.command]:
-        out = getattr(engine, c)()
+        out = engine.diff(a.against) if c == "diff" else getattr(engine, c)()
         print(f"{c}: {out if isinstance(out, (dict, int)) else 'done'}")
 
 

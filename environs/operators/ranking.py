@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..storage import stash
 
 
 def fractional_rank(value: str, *by: str) -> Column:
@@ -45,8 +46,8 @@ def cohort(candidates: DataFrame, *, target: int = C.COHORT, least: int = C.CITY
     city = Window.partitionBy("city_id")
     order = [F.desc("distinctiveness"), F.col("id")]
     sizes = candidates.groupBy("city_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    quota = F.least(F.greatest(F.lit(least), F.least(F.lit(most), half_even(F.lit(float(target)) * F.col("n") / F.col("total")))), F.col("n"))
+    total = max(candidates.count(), 1)
+    quota = F.least(F.greatest(F.lit(least), F.least(F.lit(most), half_even(F.lit(float(target)) * F.col("n") / F.lit(float(total))))), F.col("n"))
     sizes = sizes.select("city_id", quota.alias("quota")).withColumn("independents", half_even(F.col("quota") * F.lit(share)))
     c = candidates.join(F.broadcast(sizes), "city_id")
     c = c.withColumn("place", F.row_number().over(Window.partitionBy("city_id", "chain").orderBy(*order)))
@@ -56,12 +57,12 @@ def cohort(candidates: DataFrame, *, target: int = C.COHORT, least: int = C.CITY
     c = c.withColumn("in_quota", F.col("first") | F.coalesce(F.col("left_place") <= F.col("short"), F.lit(False)))
     # the cap is by city and the order is global: a city's leftovers up to its cap compete, the best of all fill the rest
     c = c.withColumn("spare", F.when(~F.col("in_quota"), F.row_number().over(Window.partitionBy("city_id", "in_quota").orderBy(*order))))
-    chosen = F.sum(F.col("in_quota").cast("int")).over(Window.partitionBy(F.lit(1)))
-    c = c.withColumn("room", F.lit(target) - chosen)
     eligible = ~F.col("in_quota") & (F.col("spare") <= F.lit(most) - F.col("quota"))
-    c = c.withColumn("turn", F.when(eligible, F.row_number().over(Window.partitionBy(eligible).orderBy(*order))))
-    stage = F.when(F.col("first"), "quota").when(F.col("in_quota"), "backfill").when(F.col("turn") <= F.col("room"), "top_up")
-    return c.withColumn("stage", stage).where("stage is not null").select("city_id", "id", "chain", "distinctiveness", "stage")
+    c = stash(c.where(F.col("in_quota") | eligible), "cohort")  # at most ``most`` rows a city are left
+    room = max(0, target - c.where("in_quota").count())
+    kept = c.where("in_quota").withColumn("stage", F.when(F.col("first"), "quota").otherwise("backfill"))
+    extra = c.where("not in_quota").orderBy(*order).limit(room).withColumn("stage", F.lit("top_up"))
+    return kept.union(extra).select("city_id", "id", "chain", "distinctiveness", "stage")
 
 
 class BudgetError(ValueError):
@@ -75,21 +76,21 @@ def static_subset(pages: DataFrame, links: DataFrame, budget: int = C.PAGE_BUDGE
     follow, all or none; the rest is filled by city in proportion, by confidence, then by distance from the city's upper median.
     """
     required = pages.where("status = 'indexable'").select("slug")
-    n_required = required.count()
-    if n_required > budget:
-        raise BudgetError(f"{n_required} indexable pages exceed the budget of {budget}")
+    sizes = pages.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "indexable").alias("required")).first()
+    if sizes.required > budget:
+        raise BudgetError(f"{sizes.required} indexable pages exceed the budget of {budget}")
     linked = links.join(required, "slug", "left_semi").select(F.col("to").alias("slug")).distinct().join(pages, "slug", "left_semi").join(required, "slug", "left_anti")
+    linked = stash(linked, "linked")
     n_linked = linked.count()
-    if n_required + n_linked > budget:
+    if sizes.required + n_linked > budget:
         linked, n_linked = linked.limit(0), 0
-    room = budget - n_required - n_linked
+    room = budget - sizes.required - n_linked
     must = required.withColumn("layer", F.lit("required")).union(linked.select("slug", F.lit("linked").alias("layer")))
     city = Window.partitionBy("city_id")
     p = pages.withColumn("n", F.count(F.lit(1)).over(city))
     place = F.row_number().over(city.orderBy("balanced_score", "slug")) - 1
     p = p.withColumn("place", place).withColumn("median", F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("balanced_score"))).over(city))
-    total = pages.count()
-    p = p.join(must, "slug", "left_anti").withColumn("share", half_even(F.lit(float(room)) * F.col("n") / F.lit(max(total, 1))))
+    p = p.join(must, "slug", "left_anti").withColumn("share", half_even(F.lit(float(room)) * F.col("n") / F.lit(max(sizes.n, 1))))
     order = [F.desc("confidence"), F.desc(F.abs(F.col("balanced_score") - F.col("median"))), F.col("slug")]
     fill = p.withColumn("rank", F.row_number().over(city.orderBy(*order))).where(F.col("rank") <= F.col("share"))
     return must.union(fill.select("slug", F.lit("fill").alias("layer")))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .config import City, builtin, check_weights
 from .functions import geo, scoring, text
-from .operators import dedupe, dimensions, quality, ranking
+from .operators import dedupe, dimensions, export, publication, quality, ranking
 from .sources import readers, sinks
+from .storage import drop, stash
 
 
 @dataclass
@@ -78,7 +79,9 @@ class Engine:
         hotels, scores = self.table("hotels"), self.table("hotel_scores")
         quality.require_unlisted(hotels)
         quality.require(quality.hard_checks(hotels, scores))
-        sinks.write_parquet(quality.baseline(scores).join(quality.soft_scan(hotels).drop("n_hotels"), "city_id"), self.path("baseline"), None)
+        base = quality.baseline(scores).join(quality.soft_scan(hotels).drop("n_hotels"), "city_id")
+        more = quality.scans(hotels, scores.withColumnRenamed("hotel_id", "id")).drop("n_hotels")
+        sinks.write_parquet(base.join(more, "city_id"), self.path("baseline"), None)
         return self.table("baseline")
 
     def report(self) -> str:
@@ -87,6 +90,8 @@ class Engine:
         dims = [f"{d}_median" for d in C.DIMENSIONS]
         parts = [f"# Data report, release {self.release}", sinks.table(["city", "hotels", "blank names", "numeric names", "other country"], [(r.city_id, r.n_hotels, r.n_blank, r.n_numeric, r.n_country) for r in base])]
         parts.append(sinks.table(["city", *C.DIMENSIONS], [(r.city_id, *[r[d] for d in dims]) for r in base]))
+        scans = ["n_low_confidence", "n_all_zero", "n_coincident", "n_missing_name", "n_numeric_name", "n_far_from_center", "n_locality_mismatch", "n_excluded_type", "median_confidence"]
+        parts.append("## Scans\n\n" + sinks.table(["city", *scans], [(r.city_id, *[r[c] for c in scans]) for r in base]))
         text_ = "\n\n".join(parts) + "\n"
         sinks.write_text(self.spark, text_, f"{self.path('report')}.md")
         return text_
@@ -95,24 +100,62 @@ class Engine:
         """The search index, in shards, of all scored hotels; indexable(id) holds the recorded decisions."""
         hotels, scores = self.table("hotels"), self.table("hotel_scores")
         facts = self.table("nearby_facts").groupBy(F.col("hotel_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "category", "name", F.round("distance_m", 1).alias("distance_m")))).alias("facts"))
+        if indexable is None:
+            indexable = self.store().list_by_status("indexable", "hotel").select(F.col("page_id").alias("id"))
         d = hotels.join(scores.drop("city_id", "confidence").withColumnRenamed("hotel_id", "id"), "id").join(scores.select(F.col("hotel_id").alias("id"), F.col("confidence").alias("score_confidence")), "id").join(facts, "id", "left")
         d = d.withColumns({c: F.round(c, 1) for c in [*C.DIMENSIONS, "balanced_score", "score_confidence"]})
         none = F.array().cast("array<struct<rank:bigint,category:string,name:string,distance_m:double>>")
         d = d.withColumn("facts", F.coalesce("facts", none)).withColumn("p", text.present_name(F.col("name"), F.col("names_json")))
-        decided = F.lit(False) if indexable is None else F.col("decided")
-        if indexable is not None:
-            d = d.join(indexable.select("id", F.lit(True).alias("decided")), "id", "left")
-        public = F.coalesce(decided, F.lit(False)) & ~scoring.numeric_name(F.col("name")) & (F.col("accommodation_type") == "hotel") & F.col("p.name_index_eligible")
+        d = d.join(indexable.select("id", F.lit(True).alias("decided")), "id", "left")
+        public = F.coalesce("decided", F.lit(False)) & ~scoring.numeric_name(F.col("name")) & (F.col("accommodation_type") == "hotel") & F.col("p.name_index_eligible")
         km = geo.haversine_m(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon")) / 1000
         dims = {c: F.col(c) for c in C.DIMENSIONS}
         peer = ranking.peers(d.select("city_id", "id", F.col("balanced_score").alias("score"))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "peer"))).alias("comparable"))
         d = d.join(peer, "id", "left").select(
-            "id", "city_id", text.hotel_slug(F.col("name"), F.col("id")).alias("slug"), "p.display_name", "p.name_latin", "p.name_method", "accommodation_type", "accommodation_type_label",
+            "id", "city_id", "city_name", "name", F.col("address_locality").alias("locality"), text.hotel_slug(F.col("name"), F.col("id")).alias("slug"), "p.display_name", "p.name_latin", "p.name_method", "accommodation_type", "accommodation_type_label",
             F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round(km, 1).alias("distance_from_center_km"), (F.round(km, 1) > C.FAR_KM).alias("far_from_center"),
             scoring.locality_mismatch(F.col("address_country"), F.col("address_region"), F.col("city_country"), F.col("expected_region"), F.col("city_name")).alias("locality_mismatch"),
             F.when(public, "indexable").otherwise("noindex").alias("publication_status"), F.struct(*C.DIMENSIONS).alias("scores"), "balanced_score", F.col("score_confidence").alias("confidence"),
             scoring.confidence_label(F.col("score_confidence")).alias("confidence_label"), text.verdict(dims).alias("verdict"), text.reason_codes(dims, F.col("score_confidence"), F.col("facts")).alias("reason_codes"), "facts",
             F.transform("comparable", lambda c: c.peer).alias("comparable"),
         )
-        sinks.write_shards(d, self.path("search"))
-        return self.spark.read.json(self.path("search")).count()
+        d = stash(d, "export")
+        slugs = d.select(F.col("id").alias("peer"), F.col("slug").alias("to"))
+        links = stash(d.select("slug", F.posexplode("comparable").alias("at", "peer")).join(slugs, "peer").select("slug", "at", "to"), "links")
+        listed = links.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("listed"))  # PEERS at most
+        d = d.drop("comparable").join(listed, "slug", "left").withColumn("comparable", F.transform("listed", lambda x: x.to)).drop("listed")
+        subset = ranking.static_subset(d.select("city_id", "slug", F.col("publication_status").alias("status"), "confidence", "balanced_score"), links.select("slug", "to"))
+        pages = stash(export.with_pages(d, subset), "pages")
+        sinks.write_shards(export.search_index(pages), self.path("search"))
+        pages.where("has_static_page").drop("has_static_page").repartition("city_id").write.mode("overwrite").partitionBy("city_id").json(self.path("hotel_pages"))
+        scored = hotels.select("id", "name").join(scores.withColumnRenamed("hotel_id", "id"), "id")
+        decided = self.store().list_by_status("indexable", "city").select(F.col("page_id").alias("city_id"))
+        export.city_pages(scored, pages, quality.baseline(scores), decided).write.mode("overwrite").json(self.path("city_pages"))
+        sinks.write_manifest(self.spark, {"release": self.release, "cities": list(self.cities), "personas": C.PERSONAS}, f"{self.path('meta')}.json")
+        n = pages.count()
+        drop(pages, links)
+        return n
+
+    def store(self) -> publication.Store:
+        return publication.Store(self.spark, f"{self.root}/publication")
+
+    def diff(self, old_release: str, moved: float = 15.0) -> str:
+        """A Markdown report of what changed in the balanced score since another release, with the largest losses of each city."""
+        old = self.spark.read.parquet(f"{self.root}/etl/{old_release}/hotel_scores").where(F.col("city_id").isin(list(self.cities)))
+        both = self.table("hotel_scores").select(F.col("hotel_id").alias("id"), "city_id", F.col("balanced_score").alias("n"), *[F.col(d).alias(f"n_{d}") for d in C.DIMENSIONS])
+        both = stash(both.join(old.select(F.col("hotel_id").alias("id"), F.col("balanced_score").alias("o"), *[F.col(d).alias(f"o_{d}") for d in C.DIMENSIONS]), "id"), "diff")
+        delta = F.col("n") - F.col("o")
+        changed = [F.count_if(F.abs(F.col(f"n_{d}") - F.col(f"o_{d}")) > 0.01).alias(d) for d in C.DIMENSIONS]
+        counts = both.groupBy("city_id").agg(
+            F.count(F.lit(1)).alias("hotels"), F.count_if(F.abs(delta) > 0.01).alias("changed"), F.count_if(F.abs(delta) >= moved).alias("moved"), F.round(F.avg(delta), 2).alias("mean"),
+            F.round(F.min(delta), 2).alias("least"), F.round(F.max(delta), 2).alias("most"), *changed,
+        )
+        rows = counts.orderBy("city_id").collect()  # one a city
+        named = both.withColumn("delta", F.round(delta, 6)).join(self.table("hotels").select("id", "name"), "id")
+        drops = ranking.top(named.where("delta < 0"), 10, ["city_id"], [F.col("delta"), F.col("id")]).orderBy("city_id", "rank").collect()  # ten a city
+        parts = [f"# Scores of {self.release} against {old_release}", sinks.table(["city", "hotels", "changed", f"by {moved:g} or more", "mean", "least", "most", *C.DIMENSIONS], [tuple(r) for r in rows])]
+        parts.append("## Largest losses\n\n" + sinks.table(["city", "hotel", "old", "new", "change"], [(r.city_id, r.name, round(r.o, 1), round(r.n, 1), round(r.delta, 1)) for r in drops]))
+        text_ = "\n\n".join(parts) + "\n"
+        sinks.write_text(self.spark, text_, f"{self.path('diff')}.md")
+        drop(both)
+        return text_

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, page, scoring, text
-from ..operators import dedupe, publication, quality, ranking, statistics
+from ..operators import dedupe, export, publication, quality, ranking, statistics
 from ..operators import dimensions as D
 from ..sources.atlas import Atlas, number
 from .dimension_queries import FACTS_SQL, QUIET_SQL, kind_sql, pairs_sql
@@ -206,6 +206,19 @@ def page_assertions(a: Atlas) -> DataFrame:
     return p.join(same, "title").select("page_id", "problems", "shared_title")
 
 
+_TOPS = " union all ".join(f"select city_id, '{d}' as dimension, id, {d} as v from sc where name is not null and trim(name) <> ''" for d in C.DIMENSIONS)
+
+
+@query(f"select city_id, dimension, rank, id, round(v, 1) as score from (select *, row_number() over (partition by city_id, dimension order by v desc, id) as rank from ({_TOPS})) where rank <= 3", scores_sql("sc"))
+def city_page_tops(a: Atlas) -> DataFrame:
+    return export.top_lists(table_scores(a))
+
+
+@query("select city_id, rank, id, round(balanced_score, 1) as score from (select *, row_number() over (partition by city_id order by balanced_score desc, id) as rank from sc where name is not null and trim(name) <> '') where rank <= 5", scores_sql("sc"))
+def city_representatives(a: Atlas) -> DataFrame:
+    return export.representatives(table_scores(a))
+
+
 # estimates --------------------------------------------------------------------------------------------------------
 
 

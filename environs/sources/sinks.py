@@ -19,11 +19,13 @@ def write_parquet(df: DataFrame, path: str, by: str | None = "city_id") -> None:
     if by is None:
         df.write.mode("overwrite").parquet(path)
     else:
-        df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns[:2]), F.lit(8))).write.mode("overwrite").partitionBy(by).parquet(path)
+        # AQE merges small parts and splits large ones, so that files follow the size of a city
+        df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside path, then rename: readers see the old table or the new one. The first version is kept once as path.bak."""
+    """Write beside path, then rename twice: a reader that opens path between the renames finds no table and must try again, but
+    never a half-written one. The first version is kept once as path.bak. Where readers can't wait, use a ``publication.Store``."""
     spark = df.sparkSession
     staged = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(staged)

@@ -368,6 +368,33 @@ def test_commands(spark, tmp_path, capsys):
     assert "score" in capsys.readouterr().out
 
 
+def test_export_and_diff(spark, tmp_path):
+    """Pages of recorded decisions, linked peers, city pages, and a report of what changed."""
+    root, release = str(tmp_path), "2026-08-19.0"
+    small_source(spark, root)
+    cli.main(["all", "--root", root, "--city", "london,paris", "--release", release], spark)
+    e = Engine.open(spark, root, release, "london")
+    name = e.table("hotels").where("id = 'h0000001'").first().name
+    e.store().set_status("hotel", "h0000001", "indexable", "reviewed", "owner", name=name, accommodation_type="hotel", readable=True)
+    e.store().set_status("city", "london", "indexable", "reviewed", "owner")
+    e.validate()
+    e.report()
+    assert e.webdata() == 3
+    pages = {r.id: r for r in spark.read.json(f"{root}/etl/{release}/hotel_pages").collect()}
+    assert pages["h0000001"].publication_status == "indexable" and {c.has_static_page for c in pages["h0000001"].comparable} == {True}
+    city = spark.read.json(f"{root}/etl/{release}/city_pages").first()
+    assert city.publication_status == "indexable" and city.n_hotels == 3 and len(city.representative_hotels) >= 1
+    best = [t for t in city.top_by_dimension if t.dimension == "food_essentials"]
+    assert [t.rank for t in best] == list(range(1, len(best) + 1)) and all(t.slug for t in best)
+    old = e.table("hotel_scores").withColumn("balanced_score", F.col("balanced_score") + F.when(F.col("hotel_id") == "h0000001", 20).otherwise(0))
+    old.write.partitionBy("city_id").parquet(f"{root}/etl/older/hotel_scores")
+    cli.main(["diff", "--root", root, "--city", "london", "--release", release, "--against", "older"], spark)
+    text_ = (tmp_path / "etl" / release / "diff.md").read_text()
+    assert "| london | 3 | 1 | 1 |" in text_ and f"| london | {name} |" in text_
+    with pytest.raises(SystemExit):
+        cli.main(["diff", "--root", root], spark)
+
+
 @pytest.mark.parametrize("plan", [events.tumbling, events.sliding, events.zero_results])
 def test_stream_equals_batch(spark, tmp_path, plan):
     e = spark.read.parquet(f"{FOLDER}/events.parquet")
