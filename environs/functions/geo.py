@@ -103,9 +103,26 @@ def envelope(parts: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
+def _side(a: Column, b: Column, c: Column) -> Column:
+    """On which side of a-b lies c: 1, 0 or -1."""
+    return F.signum((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))
+
+
+def crosses_itself(ring: Column) -> Column:
+    """Two edges of a ring that aren't neighbours cross. Pairs of edges are tried: for rings of moderate size."""
+    e = edges(F.array(ring))
+    n = F.size(e)
+
+    def crossed(p: Column, i: Column) -> Column:
+        rest = F.slice(e, i + 3, F.greatest(n - i - 2, F.lit(0)))
+        return F.exists(rest, lambda q: (_side(p.a, p.b, q.a) * _side(p.a, p.b, q.b) < 0) & (_side(q.a, q.b, p.a) * _side(q.a, q.b, p.b) < 0))
+
+    return F.exists(F.transform(e, crossed), lambda x: x)
+
+
 def plausible(wkt: Column) -> Column:
-    """A polygon whose rings are closed and have four points or more. Self-intersections aren't looked for."""
-    ok = F.forall(rings(wkt), lambda r: (F.size(r) >= 4) & (F.get(r, 0) == F.element_at(r, -1)))
+    """A polygon whose rings are closed, have four points or more and don't cross themselves. Rings aren't compared with each other."""
+    ok = F.forall(rings(wkt), lambda r: (F.size(r) >= 4) & (F.get(r, 0) == F.element_at(r, -1)) & ~crosses_itself(r))
     return wkt.rlike(r"^\s*(MULTI)?POLYGON\s*\(") & ok
 
 

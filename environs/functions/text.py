@@ -5,6 +5,8 @@ Unicode normalisation has no built-in function: it runs as Arrow-batched pandas
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import reduce
 
@@ -152,18 +154,29 @@ def source_latin(names_json: Column) -> Column:
 
 
 def present_name(name: Column, names_json: Column | None = None) -> Column:
-    """struct(display_name, name_latin, name_method, name_index_eligible)."""
+    """struct(display_name, name_latin, name_method, name_index_eligible, name_display_version).
+
+    What several steps need is worked out once and bound; only names that may need it are sent to Python, the others as null.
+    """
     original = F.trim(F.coalesce(name, F.lit("")))
     given = F.lit(None).cast("string") if names_json is None else source_latin(names_json)
-    s = scripts(original)
-    romanisable = (F.size(s) > 0) & (F.size(F.array_except(s, F.array(*[F.lit(x) for x in ("LATIN", "HIRAGANA", "KATAKANA", "CYRILLIC", "GREEK", "HANGUL")]))) == 0)
-    approximate = F.when(romanisable, romanise(original))
-    method = (
-        F.when(readable_latin(original), "source_primary_latin").when(given.isNotNull(), "source_alternative_latin").when(readable_latin(approximate), "transliteration_approximate").otherwise("original_only_unreliable_transliteration")
-    )
-    latin = F.when(method == "source_primary_latin", original).when(method == "source_alternative_latin", given).when(method == "transliteration_approximate", approximate)
-    shown = F.when(latin.isNotNull() & (latin != original), F.concat(latin, F.lit(" ("), original, F.lit(")"))).otherwise(original)
-    return F.struct(shown.alias("display_name"), latin.alias("name_latin"), method.alias("name_method"), latin.isNotNull().alias("name_index_eligible"))
+    found = F.struct(original.alias("original"), scripts(original).alias("scripts"), readable_latin(original).alias("readable"), given.alias("given"))
+    known = F.array(*[F.lit(x) for x in ("LATIN", "HIRAGANA", "KATAKANA", "CYRILLIC", "GREEK", "HANGUL")])
+    wanted = F.get(F.transform(F.array(found), lambda f: F.when(~f.readable & f.given.isNull() & (F.size(f.scripts) > 0) & (F.size(F.array_except(f.scripts, known)) == 0), f.original)), 0)
+
+    def steps(f: Column) -> Column:
+        method = (
+            F.when(f.readable, "source_primary_latin").when(f.given.isNotNull(), "source_alternative_latin").when(f.approximate_readable, "transliteration_approximate").otherwise("original_only_unreliable_transliteration")
+        )
+        return F.struct(f.original.alias("original"), method.alias("method"), F.when(f.readable, f.original).when(f.given.isNotNull(), f.given).when(f.approximate_readable, f.approximate).alias("latin"))
+
+    approximate = F.get(F.transform(F.array(romanise(wanted)), lambda x: F.struct(x.alias("text"), F.coalesce(readable_latin(x), F.lit(False)).alias("readable"))), 0)
+    bound = F.struct(original.alias("original"), readable_latin(original).alias("readable"), given.alias("given"), approximate["text"].alias("approximate"), approximate["readable"].alias("approximate_readable"))
+    chosen = F.get(F.transform(F.transform(F.array(bound), steps), lambda c: F.struct(
+        F.when(c.latin.isNotNull() & (c.latin != c.original), F.concat(c.latin, F.lit(" ("), c.original, F.lit(")"))).otherwise(c.original).alias("display_name"),
+        c.latin.alias("name_latin"), c.method.alias("name_method"), c.latin.isNotNull().alias("name_index_eligible"), F.lit(rules.NAME_VERSION).alias("name_display_version"),
+    )), 0)
+    return chosen
 
 
 def bounded(terms: list[str]) -> str:
@@ -218,12 +231,12 @@ def non_hotel(name: Column, hotel_id: Column) -> Column:
 
 
 def accommodation(name: Column, brand: Column, leaf: Column) -> Column:
-    """struct(accommodation_type, label, reason): the first rule that holds."""
+    """struct(accommodation_type, label, reason, accommodation_type_version): the first rule that holds."""
     form, operator, kind = rule_form(F.coalesce(name, F.lit(""))), rule_form(F.coalesce(brand, F.lit(""))), F.coalesce(leaf, F.lit(""))
     where = {"name": form, "operator": operator, "both": F.concat_ws(" ", form, operator), "leaf": kind}
 
     def result(pair: tuple[str, str]) -> Column:
-        return F.struct(F.lit(pair[0]).alias("accommodation_type"), F.lit(rules.ACCOMMODATION_LABELS[pair[0]]).alias("label"), F.lit(pair[1]).alias("reason"))
+        return F.struct(F.lit(pair[0]).alias("accommodation_type"), F.lit(rules.ACCOMMODATION_LABELS[pair[0]]).alias("label"), F.lit(pair[1]).alias("reason"), F.lit(rules.ACCOMMODATION_VERSION).alias("accommodation_type_version"))
 
     out = F.when((kind == "resort") & form.rlike(r"\bhotel\b"), result(rules.RESORT_HOTEL)).otherwise(result(rules.UNKNOWN))
     for tests in reversed(rules.ACCOMMODATION):
@@ -263,7 +276,43 @@ def reason_codes(scores: dict[str, Column], confidence: Column, facts: Column) -
     return F.array_compact(F.array(*codes))
 
 
+@F.pandas_udf(T.StringType())
+def pruned_json(texts: pd.Series, excluded: pd.Series) -> pd.Series:
+    """JSON without the objects, at any depth, whose id or slug is in the row's list; facts and codes are kept as they are.
+
+    Text that isn't JSON stays as it is. Keys keep their order.
+    """
+
+    def clean(x, gone: set):
+        if isinstance(x, list):
+            return [v for v in (clean(i, gone) for i in x) if v is not None]
+        if not isinstance(x, dict):
+            return x
+        if x.get("id") in gone or x.get("slug") in gone:
+            return None
+        return {k: v if k in ("nearby_facts", "reason_codes") else clean(v, gone) for k, v in x.items()}
+
+    def one(t: str | None, gone) -> str | None:
+        try:
+            return None if t is None else json.dumps(clean(json.loads(t), set(gone if gone is not None else ())), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return t
+
+    return pd.Series([one(t, g) for t, g in zip(texts, excluded)], dtype="object")
+
+
+@F.udtf(returnType=T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]))
+class WktEdges:
+    """SQL: lateral wkt_edges(wkt) gives the edges of all rings or lines."""
+
+    def eval(self, wkt: str):
+        for ring in re.findall(r"\(([^()]+)\)", wkt or ""):
+            at = [tuple(map(float, p.split()[:2])) for p in ring.split(",")]
+            yield from (a + b for a, b in zip(at, at[1:]))
+
+
 def register(spark: SparkSession) -> None:
-    """The UDFs by name, for SQL."""
+    """The UDFs and the table function by name, for SQL."""
+    spark.udtf.register("wkt_edges", WktEdges)
     for name, f in (("ascii_fold", ascii_fold), ("rule_form", rule_form), ("romanise", romanise)):
         spark.udf.register(name, f)

@@ -131,7 +131,7 @@ _ROMAN = "replace(replace(replace(trim(coalesce(name, '')), 'Отель', 'Otel'
   from (select id, trim(coalesce(name, '')) as o, {_ROMAN} as r, case when {_READABLE} then 'latin' when len(f) > 0 and not list_contains(f, 'CJK') then 'approx' else 'none' end as m from (select id, name, {_FOUND} as f from hotels))"""
 )
 def present_name(a: Atlas) -> DataFrame:
-    return a.hotels.select("id", text.present_name(F.col("name")).alias("p")).select("id", "p.*")
+    return a.hotels.select("id", text.present_name(F.col("name")).alias("p")).select("id", "p.display_name", "p.name_latin", "p.name_method", "p.name_index_eligible")
 
 
 @query("select id, case when key % 3 = 0 then 'Able ' || id when key % 3 = 1 then 'Zed ' || id end as latin from hotels")

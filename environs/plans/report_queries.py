@@ -219,6 +219,31 @@ def city_representatives(a: Atlas) -> DataFrame:
     return export.representatives(table_scores(a))
 
 
+_BASE = ", ".join(f"round(avg({d}), 2) as {d}_mean, round(median({d}), 2) as {d}_median" for d in C.DIMENSIONS)
+
+
+@query(f"select city_id, count(*) as n_hotels, {_BASE}, round(avg(balanced_score), 2) as balanced_mean, round(median(score_confidence), 2) as confidence_median from sc where key % 10 <> 3 group by city_id", scores_sql("sc"))
+def purge_baseline(a: Atlas) -> DataFrame:
+    """The baselines after some hotels were purged."""
+    s = table_scores(a).drop("confidence").withColumnRenamed("score_confidence", "confidence")
+    left = quality.purge(a.hotels.where("key % 10 = 3").select("id"), {"scores": (s, "id")})["scores"]
+    return quality.baseline(left)
+
+
+@query(
+    """select id, '{"id":"' || id || '","peers":[' || case when key % 3 = 0 then '' else '{"id":"kept","list":[1,{"slug":"x' || key % 2 || '","n":2}]}' end || '],"nearby_facts":[{"id":"gone"}]}' as kept from (
+    select id, key from hotels where key % 7 <> 0) union all select id, null from hotels where key % 7 = 0"""
+)
+def json_recursive_prune(a: Atlas) -> DataFrame:
+    """Nested objects whose id or slug is excluded go from a JSON text, wherever they are; an excluded text is null."""
+    k = F.col("key")
+    peer = F.concat(F.when(k % 3 == 0, '{"id": "gone"}').otherwise(F.concat(F.lit('{"id": "kept", "list": [1, {"slug": "x'), (k % 2).cast("string"), F.lit('", "n": 2}, {"slug": "bad"}]}'))))
+    whole = F.concat(F.lit('{"id": "'), "id", F.lit('", "peers": ['), peer, F.lit('], "nearby_facts": [{"id": "gone"}]}'))
+    gone = F.when(k % 7 == 0, F.array(F.lit("gone"), F.lit("bad"), F.col("id"))).otherwise(F.array(F.lit("gone"), F.lit("bad")))
+    kept = text.pruned_json(whole, gone)
+    return a.hotels.select("id", F.when(kept != "null", kept).alias("kept"))
+
+
 # estimates --------------------------------------------------------------------------------------------------------
 
 
@@ -252,3 +277,13 @@ def wkt_print(a: Atlas) -> DataFrame:
     """Lines parsed, rounded and printed again."""
     parts = F.transform(geo.rings(F.col("wkt")), lambda r: F.transform(r, lambda p: F.struct(F.round(p.x, 5).alias("x"), F.round(p.y, 5).alias("y"))))
     return a.segments.select("segment_id", geo.to_wkt("LINESTRING", parts).alias("wkt"))
+
+
+_EDGES = " union all ".join(f"select green_id, {a} as x1, {b} as y1, {c} as x2, {d} as y2 from green" for a, b, c, d in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmax", "ymax"), ("xmax", "ymax", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin")))
+
+
+@query(f"select green_id, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2 from ({_EDGES})")
+def wkt_edges(a: Atlas) -> DataFrame:
+    """The table function for SQL."""
+    text.register(a.spark)
+    return a.spark.sql("select green_id, round(e.x1, 6) as x1, round(e.y1, 6) as y1, round(e.x2, 6) as x2, round(e.y2, 6) as y2 from {green}, lateral wkt_edges(wkt) e", green=a.green)

@@ -66,3 +66,6 @@ REVIEWED = ["university inn"]
 BRANDS = [("selina", "word", ["selina"]), ("sonder", "word", ["sonder"]), ("blueground", "substring", ["blueground"]), ("kasa", "full", ["kasa"])]
 #: Ours: a property word before the brand shows that the brand is only part of its own name.
 PROPERTY_PREFIX = ["villa", "casa", "hotel"]
+
+#: Versions of the rules above and of how names are shown; a change of either changes results.
+ACCOMMODATION_VERSION, NAME_VERSION = "1.0.0", "1.0.0-tables"

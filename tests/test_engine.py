@@ -508,3 +508,8 @@ def test_sitemaps_are_split(spark):
 def test_wkt_is_printed(spark):
     text_ = "POLYGON ((0.0 0.0, 4.0 0.0, 0.0 4.0, 0.0 0.0), (1.0 1.0, 2.0 1.0, 1.0 2.0, 1.0 1.0))"
     assert value(spark, geo.to_wkt("POLYGON", geo.rings(F.lit(text_)))) == text_
+
+
+@pytest.mark.parametrize(("wkt", "want"), [("POLYGON ((0 0, 4 4, 4 0, 0 4, 0 0))", False), ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", True), (HOLED, True), ("POLYGON ((0 0, 9 0, 9 9, 5 -3, 0 9, 0 0))", False)])
+def test_rings_that_cross_themselves(spark, wkt, want):
+    assert value(spark, geo.plausible(F.lit(wkt))) is want
