@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,6 +28,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+def scratch() -> str:
+    """A folder for files that the driver sends to executors; it goes when the driver ends."""
+    path = tempfile.mkdtemp(prefix="environs-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session: Python functions there can then import it."""
     sc = spark.sparkContext
@@ -34,7 +43,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if not root.is_dir():  # it runs from an archive that was sent already
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="environs-"), "environs.zip")
+    path = os.path.join(scratch(), "environs.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
