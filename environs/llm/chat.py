@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 _GUARD, _GUARDED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -62,6 +64,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     turns each. Null text and role are empty. A null conv_id is a conversation. Rows are read in a stream sorted by
     conversation, so a task holds one conversation's context and never a group of them.
     """
+    ship(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -119,6 +122,7 @@ DIGEST = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Examples -> one row for each conversation: digests of its turns and of its trained text, read from the output."""
+    ship(examples.sparkSession)
     kind = examples.schema["conv_id"].dataType.simpleString()
     e = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from environs.session import ship
+from environs.session import scratch, ship  # noqa: F401
 from environs.storage import drop, setting  # noqa: F401
 from environs.storage import stash as stash_as_is
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, drop, free_name, hashed_words, mix64, plain_columns, stash, utf8
+from .common import U64, WordHashes, drop, free_name, hashed_words, mix64, plain_columns, ship, stash, utf8
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -202,6 +202,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 
 def rows_measured(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row (a struct of the columns of docs) and leak (n_items, item_id, coverage)."""
+    ship(docs.sparkSession)
     kind = benchmark.schema["item_id"].dataType
     leak = T.StructType([T.StructField("n_items", T.LongType()), T.StructField("item_id", kind), T.StructField("coverage", T.DoubleType())])
     rows = docs.select(F.struct(*plain_columns(docs)).alias("row"), utf8("text").alias("utf8"), F.lit(None).cast(leak).alias("leak"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, heavy_keys, spread_join, stash, utf8
+from .common import free_name, heavy_keys, ship, spread_join, stash, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOLS = [bytes([c]) for c in SYMBOLS]
@@ -107,6 +107,7 @@ def judged(docs: DataFrame, host: Column | None, max_host_rate: float, carry: li
     Without the text among the carried columns, measures are written once and read twice; with it, documents are measured twice, so
     that no text is written. A host may have a third of all rows: its rate goes to all tasks that have such rows.
     """
+    ship(docs.sparkSession)
     h = F.col("source") if host is None else host
     # a null host is a host of its own: it is told apart from an empty name
     key = F.when(h.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), h.cast("string"))).alias("host")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, hashed_words, mix64, stash, utf8
+from .common import U64, WordHashes, hashed_words, mix64, ship, stash, utf8
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model is fitted on, at most.
@@ -214,6 +214,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float = 0.75, sharpne
     empty texts have a null ratio and come after all others that may be kept. Equal rows share their noise
     and are drawn next to each other. Without labelled good documents all ratios are near 0, up to smoothing. Other columns aren't looked at.
     """
+    ship(docs.sparkSession)
     ratio = fit(docs, target_sample(labels))
     scored = stash(weigh(docs, ratio, sharpness, toxic_model(docs, labels)), "importance")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from environs.operators.graph import components
 
-from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, parts_of, signed, spread_join, stash, utf8, window_hashes
+from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, parts_of, ship, signed, spread_join, stash, utf8, window_hashes
 
 SHINGLE, PERCENT = 5, 80
 RATIO = 1.6
@@ -475,6 +475,7 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     nothing. Repeated rows link with each other. A null doc_id is passed over when the smallest is chosen. Other columns are not
     looked at. An empty table gives no rows. The result is a table in the shared folder; what was made for it is gone.
     """
+    ship(docs.sparkSession)
     members_table = stash(nodes(docs.select("doc_id", "text"), shingle), "sets")
     members = named_apart(members_table)
     buckets = bucketed(members, percent)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 BLOCK = 512
 #: Entries of dense transition tables, for one language and in all; larger alphabets have sorted transitions.
 DENSE, DENSE_ALL = 1 << 22, 1 << 24
@@ -216,6 +218,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     texts, texts without a letter, and all texts under an empty model are ``und``. Ties go to the language that sorts
     first. Equal rows get equal results; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

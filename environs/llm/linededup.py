@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, drop, free_name, heavy_keys, plain_columns, spread_join, stash, utf8
+from .common import ASCII_SPACE, drop, free_name, heavy_keys, plain_columns, ship, spread_join, stash, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a hash that name the filter segment: there are as many as the input fills with SEGMENT_BYTES each, within these bounds.
@@ -150,6 +150,7 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 def dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """row (a struct of the columns of docs) and lines (n_lines, n_dropped, text)."""
+    ship(docs.sparkSession)
     drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs)
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*plain_columns(docs)).alias("row"), utf8("text").alias("utf8"))
     rows = rows.join(drops, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "gone", "utf8")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, stash, utf8
+from .common import U64, mix64, ship, stash, utf8
 from .suffixarray import permuted_lcp, suffix_array
 
 LENGTH, K = 50, 16
@@ -121,7 +121,7 @@ def pack(pieces: list[bytes], key: np.ndarray, anchor: np.ndarray, places: np.nd
     parts = [np.array([len(pieces), len(places), len(own)], "<i8").tobytes(), key.view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].tobytes()]
     parts += [np.array([len(x) - LENGTH for x in pieces], np.uint8).tobytes(), anchor.tobytes()]
     parts += [planes(np.diff(places["piece"], prepend=np.uint32(0))), planes(rank[number]), planes(places["start"]), planes(np.diff(own["doc"], prepend=0)), planes(own["text"])]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, *pieces]))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([*parts, *pieces]))
 
 
 class Packs:
@@ -440,6 +440,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     order: its text neither loses bytes nor makes others lose any. Rows with one doc_id lose nothing to each other, only to smaller ones,
     and each by its own text. doc_id is a whole number. Empty tables give no rows; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     docs = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = repeated(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     rows = docs.select("doc_id", "text_hash", utf8("text").alias("text"))

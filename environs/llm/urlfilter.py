@@ -9,18 +9,22 @@ host suffix at a label and every path prefix of a length that some rule has, lon
 from __future__ import annotations
 
 import os
+import shutil
 import struct
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import scratch, ship
+
 #: (verdict, host and path): the rule holds for the host, all its subdomains, and paths that begin with the path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -40,18 +44,49 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), path[:stop]
 
 
+def write_sorted(items: Iterable[tuple[int, bytes, bool]], path: str) -> None:
+    """The file of (key, string, blocks) that come sorted by key: each section grows beside the others, and none is held in memory."""
+    n, at, lengths = 0, 0, set()
+    sections = [f"{path}.{x}" for x in ("keys", "ends", "verdicts", "strings")]
+    with ExitStack() as open_:
+        keys, ends, verdicts, strings = (open_.enter_context(open(x, "wb")) for x in sections)
+        for key, string, blocks in items:
+            n, at = n + 1, at + len(string)
+            keys.write(struct.pack("<Q", key))
+            ends.write(struct.pack("<q", at))
+            verdicts.write(bytes([blocks]))
+            strings.write(string)
+            lengths.add(len(string) - string.find(b"/"))
+    with open(path, "wb") as f:
+        f.write(struct.pack("<qq", n, len(lengths)))
+        for section, more in zip(sections, (b"", np.array(sorted(lengths, reverse=True), "<i8").tobytes(), b"", b"")):
+            with open(section, "rb") as part:
+                shutil.copyfileobj(part, f)
+            f.write(more)
+            os.remove(section)
+
+
 def write_digests(rules: list[tuple[str, str]], path: str) -> None:
     """keys, string ends and verdicts, sorted by key; equal keys (a collision) stand side by side. For two verdicts on one string the last counts."""
     by_string = {s: v for v, s in rules}
-    items = sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), v == "block") for s, v in by_string.items())
-    lengths = sorted({len(s) - s.find(b"/") for _, s, _ in items}, reverse=True)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<qq", len(items), len(lengths)))
-        f.write(np.array([x[0] for x in items], "<u8").tobytes())
-        f.write(np.cumsum([len(x[1]) for x in items], dtype="<i8").tobytes())
-        f.write(np.array(lengths, "<i8").tobytes())
-        f.write(np.array([x[2] for x in items], "u1").tobytes())
-        f.write(b"".join(x[1] for x in items))
+    write_sorted(sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), v == "block") for s, v in by_string.items()), path)
+
+
+def sorted_rules(rules: DataFrame) -> Iterator[tuple[int, bytes, bool]]:
+    """rules(verdict, rule) in the order of their digests, sorted by the executors and read a partition at a time.
+
+    Null rules are passed over. Of two verdicts on one rule, block counts.
+    """
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            strings = [x.encode() for x in b.column(0).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(x) for x in strings], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), pa.array(strings, pa.binary()), b.column(1)], ["key", "rule", "blocks"])
+
+    one = rules.where(F.col("rule").isNotNull()).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocks"))
+    for r in one.mapInArrow(digested, "key long, rule binary, blocks boolean").orderBy("key", "rule").toLocalIterator():
+        yield (r.key & ((1 << 64) - 1)) ^ (1 << 63), bytes(r.rule), bool(r.blocks)
 
 
 class Digests:
@@ -110,15 +145,20 @@ class Digests:
         return [(probes[best[i]].decode(), "block" if self.block[hits[best[i]]] else "allow") if i in best else (None, None) for i in range(len(parts))]
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame | None = None, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, one row for each row.
 
     Null urls, urls without ``://`` and urls that no rule fits get a null rule and the default verdict. Equal rows and null
-    ids stay. Other columns are not looked at. An empty table and an empty rule list work.
+    ids stay. Other columns are not looked at. An empty table and an empty rule list work. rules: pairs of verdict and rule, or for
+    long lists a table(verdict, rule), which passes through the driver's disk, not its memory.
     """
+    ship(pages.sparkSession)
     name = f"environs-urls-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="environs-"), name)
-    write_digests(RULES if rules is None else rules, local)
+    local = os.path.join(scratch(), name)
+    if isinstance(rules, DataFrame):
+        write_sorted(sorted_rules(rules), local)
+    else:
+        write_digests(RULES if rules is None else rules, local)
     pages.sparkSession.sparkContext.addFile(local)
     into = T.StructType([T.StructField(key, pages.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
 

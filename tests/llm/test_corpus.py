@@ -441,6 +441,17 @@ def test_url_filter(spark):
     assert by[9][2:] == ("com/", "allow") and by[10][2:] == (None, "allow") and by[11][2:] == ("www.example.com/en/", "allow") and by[13][2:] == (None, "allow") and by[14][2:] == ("com/", "allow")
 
 
+def test_url_rules_from_a_table(spark, tmp_path):
+    """A table of rules gives the file that the list gives; a rule with both verdicts blocks."""
+    rules = [("block" if i % 3 else "allow", f"host{i}.com/{'x' * (i % 4)}") for i in range(200)]
+    table = spark.createDataFrame([*rules, ("allow", "host1.com/x"), ("block", None)], "verdict string, rule string").repartition(3)
+    urlfilter.write_digests(rules, str(tmp_path / "a"))
+    urlfilter.write_sorted(urlfilter.sorted_rules(table), str(tmp_path / "b"))
+    assert (tmp_path / "a").read_bytes() == (tmp_path / "b").read_bytes() and sorted(x.name for x in tmp_path.iterdir()) == ["a", "b"]
+    got = urlfilter.filter_urls(spark.createDataFrame([(1, "x://host1.com/xyz"), (2, "x://a.host3.com/xxx")], "page_id long, url string"), table).collect()
+    assert [(r.rule, r.verdict) for r in sorted(got)] == [("host1.com/x", "block"), ("host3.com/xxx", "allow")]
+
+
 def test_digest_collisions(tmp_path, monkeypatch):
     """Equal digests of different strings are told apart by the strings."""
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: len(b))
