@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, worker
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _GUARD, _GUARDED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -114,7 +114,7 @@ def expand(conversations: DataFrame) -> DataFrame:
         if out:
             yield as_batch(out, first, names)
 
-    return t.mapInArrow(run, EXAMPLE.format(id=kind))
+    return t.mapInArrow(worker(run), EXAMPLE.format(id=kind))
 
 
 DIGEST = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
@@ -161,4 +161,4 @@ def read_back(examples: DataFrame) -> DataFrame:
         if out:
             yield as_batch(out, first, names)
 
-    return e.mapInArrow(run, DIGEST.format(id=kind))
+    return e.mapInArrow(worker(run), DIGEST.format(id=kind))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from contextlib import AbstractContextManager
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, suppress
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +26,17 @@ U64 = np.uint64
 _MIX = U64(0x9E3779B97F4A7C15)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """For queries: the package goes to the executors, and rows to Python in batches of a few megabytes for as long as the session lives."""
     ship(spark)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -31,9 +45,25 @@ def utf8(column: str) -> Column:
     return F.encode(F.col(column), "UTF-8")
 
 
-def small_batches(df: DataFrame, size: int = 4_000_000) -> AbstractContextManager:
+def small_batches(df: DataFrame) -> AbstractContextManager:
     """While a step runs, rows go to Python in batches of a few megabytes: both sides hold less at a time."""
-    return setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return setting(df.sparkSession, BATCH, str(BATCH_BYTES))
+
+
+def worker(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which its process gives the memory that it no longer needs back: processes wait for later tasks."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library can do it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return trimmed
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

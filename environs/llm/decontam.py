@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, drop, free_name, hashed_words, mix64, plain_columns, ship, stash, utf8
+from .common import U64, WordHashes, drop, free_name, hashed_words, mix64, plain_columns, ship, stash, utf8, worker
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -225,7 +225,7 @@ def rows_measured(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = [judge(text.as_py(), block, known, x) for text, x in zip(b.column(1), b.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, b.schema.field(2).type)], ["row", "utf8", "leak"])
 
-        rows = rows.mapInArrow(run, into)
+        rows = rows.mapInArrow(worker(run), into)
     none = F.struct(F.lit(0).cast("long").alias("n_items"), F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("coverage"))
     return rows.select("row", F.coalesce("leak", none).alias("leak"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, heavy_keys, ship, spread_join, stash, utf8
+from .common import free_name, heavy_keys, ship, spread_join, stash, utf8, worker
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOLS = [bytes([c]) for c in SYMBOLS]
@@ -79,7 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
             s = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(MEASURES))], MEASURES)
             yield pa.RecordBatch.from_arrays([*b.columns[:last], s], [*names, "measured"])
 
-    return docs.select(*names, "utf8").mapInArrow(run, into)
+    return docs.select(*names, "utf8").mapInArrow(worker(run), into)
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:

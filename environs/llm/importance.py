@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, hashed_words, mix64, ship, stash, utf8
+from .common import U64, WordHashes, hashed_words, mix64, ship, stash, utf8, worker
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model is fitted on, at most.
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, target_ids: list) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counts = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(count, "bucket long, raw long, target long")
+    counts = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(worker(count), "bucket long, raw long, target long")
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket] += r.raw
@@ -140,7 +140,7 @@ def toxic_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, see
 
     n = Counter({2 * r.fold + r.toxic: r["count"] for r in held.groupBy("fold", "toxic").count().collect()})
     of = [F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(4)]
-    found = held.mapInArrow(count, "word binary, grp int, n long").groupBy("word").agg(*of).where("n1 + n3 >= 2").collect()
+    found = held.mapInArrow(worker(count), "word binary, grp int, n long").groupBy("word").agg(*of).where("n1 + n3 >= 2").collect()
     words = [bytes(r.word) for r in found]
     c = np.array([[r.n0, r.n1, r.n2, r.n3] for r in found], np.float64).reshape(-1, 4)
     folds = [log_odds(words, c[:, 2 * f + 1], c[:, 2 * f], n[2 * f + 1], n[2 * f]) for f in (1, 0)]  # those for fold 0 come from fold 1
@@ -151,7 +151,7 @@ def toxic_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, see
             out = [score(text.as_py(), shared.value[fold.as_py()]) for text, _, fold in zip(*b.columns)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], ["toxic", "score"])
 
-    scores = held.mapInArrow(judge, "toxic int, score double").collect()
+    scores = held.mapInArrow(worker(judge), "toxic int, score double").collect()
     clean, toxic = (np.array([r.score for r in scores if r.toxic == flag]) for flag in (0, 1))
     edge = float(np.quantile(clean, CLEAN_SHARE, method="higher")) if len(clean) else 0.0
     caught = float((toxic > edge).mean()) if len(toxic) else 0.0
@@ -177,7 +177,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS, toxi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(w, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "n_grams", "log_ratio", "log_weight", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_grams long, log_ratio double, log_weight double, toxic boolean")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(worker(run), f"doc_id {kind}, n_grams long, log_ratio double, log_weight double, toxic boolean")
 
 
 #: Bins in each doubling of a key's size.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from environs.operators.graph import components
 
-from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, parts_of, ship, signed, spread_join, stash, utf8, window_hashes
+from .common import U64, WordHashes, drop, hashed_words, heavy_keys, mix64, parts_of, ship, signed, spread_join, stash, utf8, window_hashes, worker
 
 SHINGLE, PERCENT = 5, 80
 RATIO = 1.6
@@ -176,7 +176,7 @@ def nodes(docs: DataFrame, k: int) -> DataFrame:
                     out, size, first = [], 0, i + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, node2 long, brief binary, bits binary, elements binary")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(worker(run), f"doc_id {kind}, n long, node long, node2 long, brief binary, bits binary, elements binary")
 
 
 def keyed(members: DataFrame, percent: int, room: int = ROOM[0]) -> DataFrame:
@@ -193,7 +193,7 @@ def keyed(members: DataFrame, percent: int, room: int = ROOM[0]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names))], ["key", "node"])
                     keys, names, size = [], [], 0
 
-    return members.where("elements is not null").select("node", "elements").mapInArrow(run, "key long, node long")
+    return members.where("elements is not null").select("node", "elements").mapInArrow(worker(run), "key long, node long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             key, node, centre = k[-1], v[-1], c[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_k, out_v, out_c)], ["key", "node", "centre"])
 
-    return s.mapInArrow(run, "key long, node long, centre long")
+    return s.mapInArrow(worker(run), "key long, node long, centre long")
 
 
 def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
 
     cut = F.floor(F.col(column).bitwiseAND(F.lit(bits - 1)) / F.lit(slots)).cast("int")
     out = np.zeros((segments, slots // 8), np.uint8)
-    for r in rows.select(cut.alias("segment"), column).repartition("segment").mapInArrow(run, "segment int, bits binary").collect():  # MAX_BITMAP bits at most
+    for r in rows.select(cut.alias("segment"), column).repartition("segment").mapInArrow(worker(run), "segment int, bits binary").collect():  # MAX_BITMAP bits at most
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -271,7 +271,7 @@ def sets_of(members: DataFrame, wanted: DataFrame, body: str) -> DataFrame:
             if len(at):
                 yield b.take(pa.array(at))
 
-    found = members.where("elements is not null").select("node", "n", body).mapInArrow(run, f"node long, n long, {body} binary")
+    found = members.where("elements is not null").select("node", "n", body).mapInArrow(worker(run), f"node long, n long, {body} binary")
     return found.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
 
@@ -308,7 +308,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(worker(run), "u long, v long")
 
 
 class Forest(dict):
@@ -341,7 +341,7 @@ def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                 ok[at] = may_link(n[at], m[at], np.bitwise_count(one ^ two).sum(1, dtype=np.int64), percent)
             yield b.select(["centre", "node"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "centre long, node long")
+    return both.mapInArrow(worker(run), "centre long, node long")
 
 
 def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -418,7 +418,7 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, info: DataFrame, percent:
         if out:
             yield batch(out)
 
-    found = stash(rows.select("key", "node", "root", "n", "bits", "own", "tile").mapInArrow(run, "key long, centre long, node long"), "open")
+    found = stash(rows.select("key", "node", "root", "n", "bits", "own", "tile").mapInArrow(worker(run), "key long, centre long, node long"), "open")
     drop(mixed)
     return found
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, worker
 
 BLOCK = 512
 #: Entries of dense transition tables, for one language and in all; larger alphabets have sorted transitions.
@@ -253,4 +253,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield judged(ids, codes, b.schema.field(0).type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(worker(run), f"doc_id {kind}, lang_pred string, score double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, drop, free_name, heavy_keys, plain_columns, ship, spread_join, stash, utf8
+from .common import ASCII_SPACE, drop, free_name, heavy_keys, plain_columns, ship, spread_join, stash, utf8, worker
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a hash that name the filter segment: there are as many as the input fills with SEGMENT_BYTES each, within these bounds.
@@ -102,9 +102,9 @@ def twice_seen(docs: DataFrame, min_chars: int) -> np.ndarray:
         for s in once:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(twice[s]).tobytes()])], ["segment", "bits"])
 
-    seen = docs.select(utf8("text").alias("text")).mapInArrow(hashes, "segment int, h long, n tinyint")
+    seen = docs.select(utf8("text").alias("text")).mapInArrow(worker(hashes), "segment int, h long, n tinyint")
     out = np.zeros((segments, slots // 8), np.uint8)
-    for r in seen.repartition("segment").mapInArrow(filters, "segment int, bits binary").collect():  # MAX_BITS bits at most
+    for r in seen.repartition("segment").mapInArrow(worker(filters), "segment int, bits binary").collect():  # MAX_BITS bits at most
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -132,30 +132,76 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array([found[i] for i in at], pa.binary())], ["doc_id", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(worker(run), f"doc_id {kind}, digest binary")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id and the digests of the lines that it loses, a table in the shared folder.
+#: Common lines whose keepers are sent to all tasks, at most: 24 bytes each.
+KNOWN = 250_000
 
-    A line may be in a third of all documents: its documents are counted before they are shuffled, and its keeper goes to all tasks.
-    """
-    pairs = stash(suspects(docs, twice_seen(docs, min_chars), min_chars), "lines")
-    common = stash(pairs.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common")
+
+def common_lines(pairs: DataFrame, min_docs: int) -> DataFrame:
+    """digest, n and keeper of lines in min_docs documents or more; a line in a third of all is counted before it is shuffled."""
+    return stash(pairs.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common")
+
+
+def dropped_lines(pairs: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id and the digests of the lines that it loses, a table in the shared folder. A heavy line's keeper goes to all its parts."""
     lost = spread_join(pairs, common.select("digest", "keeper"), "digest", heavy_keys(common, "digest", "n")).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
-    out = stash(lost.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")), "dropped")
-    drop(pairs, common)
-    return out
+    return stash(lost.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")), "dropped")
+
+
+class Keepers:
+    """The common lines in memory: sorted digests, and the document that keeps each."""
+
+    def __init__(self, digests: list[bytes], keepers: list):
+        order = sorted(range(len(digests)), key=digests.__getitem__)
+        self.digests = np.array([digests[i] for i in order], "V16") if order else np.empty(0, "V16")
+        self.first = np.frombuffer(self.digests.tobytes(), ">u8")[::2].astype(np.uint64)
+        self.keepers = [keepers[i] for i in order]
+
+    def gone(self, doc, found: list[bytes]) -> set[bytes]:
+        """Those of a document's digests that are common lines which another document keeps."""
+        first = np.frombuffer(b"".join(found), ">u8")[::2].astype(np.uint64)
+        at = np.searchsorted(self.first, first)
+        hit = np.flatnonzero((at < len(self.first)) & (self.first[np.minimum(at, len(self.first) - 1)] == first)) if len(self.first) else ()
+        out = set()
+        for i in hit:
+            j = int(at[i])
+            while j < len(self.first) and self.first[j] == first[i]:  # digests that begin alike stand side by side
+                if self.digests[j].tobytes() == found[i] and self.keepers[j] != doc:
+                    out.add(found[i])
+                j += 1
+        return out
 
 
 def dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """row (a struct of the columns of docs) and lines (n_lines, n_dropped, text)."""
+    """row (a struct of the columns of docs) and lines (n_lines, n_dropped, text).
+
+    Where the common lines are few enough to be sent to all tasks, documents are read where they lie; beyond KNOWN the lines that go are
+    joined with their documents.
+    """
     ship(docs.sparkSession)
-    drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    slim = docs.select("doc_id", "text")
+    pairs = stash(suspects(slim, twice_seen(slim, min_chars), min_chars), "lines")
+    common = common_lines(pairs, min_docs)
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*plain_columns(docs)).alias("row"), utf8("text").alias("utf8"))
-    rows = rows.join(drops, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "gone", "utf8")
+    shared = None
+    if common.limit(KNOWN + 1).count() <= KNOWN:
+        known = common.select("digest", "keeper").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(Keepers(known["digest"].to_pylist(), known["keeper"].to_pylist()))
+        rows = rows.select("row", "id", "utf8")
+    else:
+        drops = dropped_lines(pairs, common)
+        rows = rows.join(drops, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "gone", "utf8")
+    drop(pairs, common)
     into = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lines", T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("text", T.BinaryType())]))])
 
+    def known_of(x: pa.Scalar, raw: bytes) -> set[bytes]:
+        if shared is None:
+            return set(x.as_py()) if x.is_valid else set()
+        found = sorted(digests(raw, min_chars))
+        return shared.value.gone(x.as_py(), found) if found else set()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_lines, n_dropped, texts = [], [], []
@@ -163,8 +209,7 @@ def dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
                 raw = text.as_py() or b""
                 lines = raw.split(b"\n")
                 rest = lines
-                if gone.is_valid:
-                    known = set(gone.as_py())
+                if known := known_of(gone, raw):
                     rest = [x for x in lines if len(x) < min_chars or digest(x, min_chars) not in known]
                     raw = b"\n".join(rest)
                 n_lines.append(len(lines))
@@ -173,7 +218,7 @@ def dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             s = pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary())], ["n_lines", "n_dropped", "text"])
             yield pa.RecordBatch.from_arrays([b.column(0), s], ["row", "lines"])
 
-    return rows.mapInArrow(run, into)
+    return rows.mapInArrow(worker(run), into)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, ship, stash, utf8
+from .common import U64, mix64, ship, stash, utf8, worker
 from .suffixarray import permuted_lcp, suffix_array
 
 LENGTH, K = 50, 16
@@ -265,7 +265,7 @@ def sent(docs: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
         if texts:
             yield from made()
 
-    return docs.select("doc_id", "text_hash", utf8("text")).mapInArrow(run, OUT)
+    return docs.select("doc_id", "text_hash", utf8("text")).mapInArrow(worker(run), OUT)
 
 
 def common_anchors(docs: DataFrame, n_buckets: int) -> np.ndarray:
@@ -281,7 +281,7 @@ def common_anchors(docs: DataFrame, n_buckets: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[k[n > 1].view(np.int64), 0]), pa.array(np.r_[n[n > 1], len(ids)]), pa.array(np.r_[np.zeros(int((n > 1).sum()), bool), True])], ["key", "n", "all"])
 
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SAMPLE)) == 0).select(utf8("text").alias("text"))
-    counts = picked.mapInArrow(run, "key long, n long, all boolean").groupBy("key", "all").agg(F.sum("n").alias("n"))
+    counts = picked.mapInArrow(worker(run), "key long, n long, all boolean").groupBy("key", "all").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("all"), F.desc("n"), "key").limit(LISTED + 1).collect()  # LISTED keys at most
     total = sum(r.n for r in top if r["all"])
     most = max(64, total / n_buckets / COMMON)
@@ -408,7 +408,7 @@ def met(mapped: DataFrame, n_buckets: int) -> DataFrame:
 
     bucket = F.when(F.col("kind") == 2, F.col("at")).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.lit(n_buckets)))
     columns = ["kind", "doc_id", "text_hash", "at", "n", "records"]
-    return mapped.repartition(n_buckets, bucket).select(columns).mapInArrow(run, "doc_id long, text_hash long, at long, n int")
+    return mapped.repartition(n_buckets, bucket).select(columns).mapInArrow(worker(run), "doc_id long, text_hash long, at long, n int")
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -466,4 +466,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 n, r, s, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(r), pa.array(s), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(worker(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, ship
+from .common import scratch, ship, worker
 
 #: (verdict, host and path): the rule holds for the host, all its subdomains, and paths that begin with the path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -85,7 +85,7 @@ def sorted_rules(rules: DataFrame) -> Iterator[tuple[int, bytes, bool]]:
             yield pa.RecordBatch.from_arrays([pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), pa.array(strings, pa.binary()), b.column(1)], ["key", "rule", "blocks"])
 
     one = rules.where(F.col("rule").isNotNull()).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocks"))
-    for r in one.mapInArrow(digested, "key long, rule binary, blocks boolean").orderBy("key", "rule").toLocalIterator():
+    for r in one.mapInArrow(worker(digested), "key long, rule binary, blocks boolean").orderBy("key", "rule").toLocalIterator():
         yield (r.key & ((1 << 64) - 1)) ^ (1 << 63), bytes(r.rule), bool(r.blocks)
 
 
@@ -170,4 +170,4 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame | Non
             columns = [[p[0] for p in parts], [p[1] for p in parts], [r for r, _ in found], [v or default for _, v in found]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in columns]], into.names)
 
-    return pages.select(key, url).mapInArrow(run, into)
+    return pages.select(key, url).mapInArrow(worker(run), into)

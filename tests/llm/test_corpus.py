@@ -304,9 +304,25 @@ def test_line_dedup(spark):
 
 def test_line_dedup_spreads_heavy_lines(spark, monkeypatch):
     monkeypatch.setattr(common, "PART_ROWS", 2)
+    monkeypatch.setattr(linededup, "KNOWN", 0)
     test_line_dedup(spark)
 
 
+def test_line_dedup_with_many_common_lines(spark, monkeypatch):
+    """Beyond the lines that are sent to all tasks, the lines that go are joined: the same result."""
+    monkeypatch.setattr(linededup, "KNOWN", 0)
+    test_line_dedup(spark)
+    test_line_dedup_repeated_rows(spark)
+
+
+def test_keepers_tell_digests_apart():
+    """Digests that begin alike, and none at all."""
+    a, b, c = bytes(16), bytes(8) + b"x" * 8, b"z" * 16
+    k = linededup.Keepers([c, b, a], [3, 2, 1])
+    assert k.gone(1, sorted([a, b, c])) == {b, c} and k.gone(9, [a]) == {a} and k.gone(2, [b, bytes(8) + b"y" * 8]) == set()
+    assert linededup.Keepers([], []).gone(1, [a]) == set()
+
+
 def test_line_dedup_repeated_rows(spark):
     """Rows with one doc_id are one document when they are counted."""
     line = "the very same line of more than forty characters"
