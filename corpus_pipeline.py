@@ -8,27 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from environs.llm import decontam, hostrules, jaccard, linededup, mixing
-from environs.llm.common import drop, read, stash
-from environs.session import ship
+from environs.llm.common import drop, prepare, read, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail their own rules, or whose host does, go."""
-    ship(spark)
+    prepare(spark)
     return hostrules.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that several documents have stay in one of them; n_chars follows the text."""
-    ship(spark)
+    prepare(spark)
     return linededup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of 5 words, similarity 0.8) the document with the smallest doc_id stays."""
-    ship(spark)
+    prepare(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -40,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words from, with size, source_size, target, taken and epochs beside their columns,
     as far as these have no such names."""
-    ship(spark)
+    prepare(spark)
     taken = mixing.mix(docs, carry=docs.columns).where("taken > 0")
     own = {c.lower() for c in docs.columns}
     return taken.select("row.*", *[c for c in ("size", "source_size", "target", "taken", "epochs") if c not in own])
