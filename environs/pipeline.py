@@ -60,9 +60,11 @@ class Engine:
         }
         for name, df in tables.items():
             sinks.write_parquet(df, self.path(name))
-        counts = {name: self.table(name).count() for name in tables}
+        sinks.write_parquet(readers.excluded_hotels(source["place"], self.cities), self.path("excluded"), None)  # there may be none
+        counts = {name: self.table(name).count() for name in [*tables, "excluded"]}
         counts["merged"] = self.table("hotels").agg(F.sum(F.size("merged_from"))).first()[0] or 0
-        sinks.write_manifest(self.spark, counts | {"release": self.release}, f"{self.path('manifest')}.json")
+        names = [r.name for r in self.table("excluded").orderBy("name", "id").limit(50).collect()]
+        sinks.write_manifest(self.spark, counts | {"excluded_names": names, "release": self.release}, f"{self.path('manifest')}.json")
         return counts
 
     def score(self) -> dict:

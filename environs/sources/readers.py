@@ -111,8 +111,10 @@ def any_box(cities: dict[str, City]) -> Column:
     return reduce(lambda a, b: a | b, [geo.in_box(F.col("bbox.xmin"), F.col("bbox.ymin"), c.box) for c in cities.values()])
 
 
-def extract_hotels(places: DataFrame, cities: dict[str, City]) -> DataFrame:
-    """Lodging of the wanted kinds, with one column for each nested field that is used. Excluded names go before anything is deduplicated."""
+def _lodging(places: DataFrame, cities: dict[str, City]) -> DataFrame:
+    """Lodging of the wanted kinds, with one column for each nested field that is used, and whether its name excludes it."""
+    from ..rules import MISPLACED
+
     address = F.try_element_at("addresses", F.lit(1))
     h = _in_city(places.where(any_box(cities) & scoring.hotel_kind(F.col("taxonomy.primary"))), city_frame(places.sparkSession, cities))
     h = h.select(
@@ -123,9 +125,17 @@ def extract_hotels(places: DataFrame, cities: dict[str, City]) -> DataFrame:
     )
     p = geo.project(F.col("lon"), F.col("lat"), F.col("center_lon"), F.col("metres_x"))
     h = h.withColumn("x", p.x).withColumn("y", p.y)
-    from ..rules import MISPLACED
+    return h.withColumn("excluded", text.non_hotel(F.col("name"), F.col("id")) | F.col("id").isin(MISPLACED))
+
+
+def extract_hotels(places: DataFrame, cities: dict[str, City]) -> DataFrame:
+    """Lodging of the wanted kinds. Excluded names go before anything is deduplicated."""
+    return _lodging(places, cities).where("not excluded").drop("excluded")
+
 
-    return h.where(~text.non_hotel(F.col("name"), F.col("id")) & ~F.col("id").isin(MISPLACED))
+def excluded_hotels(places: DataFrame, cities: dict[str, City]) -> DataFrame:
+    """city_id, id, name of the lodging that its name excludes: what a manifest lists."""
+    return _lodging(places, cities).where("excluded").select("city_id", "id", "name")
 
 
 def extract_pois(places: DataFrame, cities: dict[str, City]) -> DataFrame:

@@ -377,6 +377,7 @@ def test_export_and_diff(spark, tmp_path):
     name = e.table("hotels").where("id = 'h0000001'").first().name
     e.store().set_status("hotel", "h0000001", "indexable", "reviewed", "owner", name=name, accommodation_type="hotel", readable=True)
     e.store().set_status("city", "london", "indexable", "reviewed", "owner")
+    assert e.table("excluded").count() == len(json.loads((tmp_path / "etl" / release / "manifest.json").read_text())["excluded_names"]) > 0
     e.validate()
     e.report()
     assert e.webdata() == 3
