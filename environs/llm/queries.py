@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hostrules, importance, jaccard, langid, linededup, mixing, suffixdedup, urlfilter
+from . import chat, decontam, divergence, hostrules, importance, jaccard, langid, linededup, mixing, runs, suffixdedup, urlfilter, vectorjoin
 from .common import read
 
 
@@ -63,6 +63,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_importance": op2_importance,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SPACE = r"\x20\x09-\x0D"
@@ -135,6 +150,35 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
 from m group by doc_id
 """
 
-# op1 depends on a hash that other databases lack; 2, 3, 7, 8 and 10 are tested against brute-force versions.
+OP12_SQL = f"""
+with recursive e as (select vec_id, list_transform(embedding, x -> x::double) as v from embeddings),
+ok as (select vec_id, v from e where len(v) > 0 and len(list_filter(v, x -> x is null or not isfinite(x))) = 0 and len(list_filter(v, x -> x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {vectorjoin.COSINE}),
+reach(a, b) as (select vec_id, vec_id from e union select r.a, l.b from reach r join link l on r.b = l.a)
+select e.vec_id, (select count(*) from link where link.a = e.vec_id)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from e join (select a, min(b) as component_id from reach group by a) c on e.vec_id = c.a
+"""
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OP13_SQL = rf"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select lang, source, r, unnest(regexp_extract_all(text, '{_TERM}')) as term from d),
+c as (select lang, source, term, count(*) as n from t group by all),
+k as (select lang, term, count(*) as n from t group by all having count(distinct r) >= {divergence.MIN_DOCS}),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+q as (select k.lang, term, 1 + 1000000000::hugeint * (k.n + 5) // (v.n + 5 * v) as q from k join v using (lang)),
+g as (select distinct lang, source from d),
+x as (select g.lang, g.source, k.term, coalesce(c.n, 0) as c, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as n
+      from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select x.*, 1 + 1000000000::hugeint * (c + 5) // (x.n + 5 * v) as p from x join v using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select lang, source, 'term', term, (p - q)::bigint from p join q using (lang, term) where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from o)
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+# op1 depends on a hash that other databases lack; 2, 3, 7, 8, 10 and 11 are tested against brute-force versions.
 
-ORACLE_SQL: dict[str, str] = {"op4_host_rules": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_host_rules": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op12_embedding_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
