@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, scoring
-from .spatial import near_points, near_shapes, with_edges
+from .outlines import near_outlines
+from .spatial import near_points
 
 NEAR_M = float(max(C.RADIUS_M.values()))
 
@@ -50,9 +51,8 @@ def density(hotels: DataFrame, near: DataFrame, dimension: str) -> DataFrame:
 
 def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
     parts = geo.projected(geo.rings(F.col("wkt")), F.col("center_lon"), F.col("metres_x"))
-    g = with_edges(green).withColumn("weight", scoring.land_weight(F.col("subtype"), F.col("class"), geo.area(parts)))
-    g = g.where("weight > 0").select("city_id", "green_id", "subtype", "class", "weight", "edges")
-    return near_shapes(hotels.select("city_id", "id", "x", "y"), g, "green_id", C.RADIUS_M["family_convenience"], polygon=True)
+    g = green.withColumn("weight", scoring.land_weight(F.col("subtype"), F.col("class"), geo.area(parts))).where("weight > 0")
+    return near_outlines(hotels, g, "green_id", C.RADIUS_M["family_convenience"], True, ["subtype", "class", "weight"])
 
 
 def family(hotels: DataFrame, near: DataFrame, green: DataFrame) -> DataFrame:
@@ -76,9 +76,18 @@ def transit(hotels: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def nearest_line(hotels: DataFrame, segments: DataFrame, kind: str, condition: Column) -> DataFrame:
-    s = with_edges(segments.where(condition)).select("city_id", "segment_id", "edges")
-    near = near_shapes(hotels.select("city_id", "id", "x", "y"), s, "segment_id", C.PENALTIES[kind][2], polygon=False)
-    return near.groupBy("city_id", "id").agg(F.min("d").alias(kind))
+    near = near_outlines(hotels, segments.where(condition).withColumn("kind", F.lit(kind)), "kind", C.PENALTIES[kind][2], polygon=False)
+    return near.select("city_id", "id", F.col("d").alias(kind))
+
+
+def nearest_lines(hotels: DataFrame, segments: DataFrame) -> DataFrame:
+    """city_id, id, major_road, rail: both kinds in one meeting. The key is the kind, so that the cells give the minima at once."""
+    road = (F.col("subtype") == "road") & F.col("class").isin(C.ROAD_CLASSES)
+    kind = F.when(road, "major_road").when(F.col("subtype") == "rail", "rail")
+    radius = max(C.PENALTIES[k][2] for k in ("major_road", "rail"))
+    near = near_outlines(hotels, segments.withColumn("kind", kind).where("kind is not null"), "kind", radius, polygon=False)
+    found = [F.min(F.when((F.col("kind") == k) & (F.col("d") <= C.PENALTIES[k][2]), F.col("d"))).alias(k) for k in ("major_road", "rail")]
+    return near.groupBy("city_id", "id").agg(*found)
 
 
 def nearest_point(hotels: DataFrame, pois: DataFrame, kind: str, leaves: list[str]) -> DataFrame:
@@ -91,10 +100,8 @@ def nearest_point(hotels: DataFrame, pois: DataFrame, kind: str, leaves: list[st
 
 
 def quietness(hotels: DataFrame, pois: DataFrame, segments: DataFrame) -> DataFrame:
-    road = (F.col("subtype") == "road") & F.col("class").isin(C.ROAD_CLASSES)
     found = [
-        nearest_line(hotels, segments, "major_road", road),
-        nearest_line(hotels, segments, "rail", F.col("subtype") == "rail"),
+        nearest_lines(hotels, segments),
         nearest_point(hotels, pois, "nightlife", C.QUIET_NIGHTLIFE),
         nearest_point(hotels, pois, "airport", C.AIRPORTS),
     ]

@@ -51,33 +51,6 @@ def near_within(left: DataFrame, right: DataFrame, radius: str, largest: float,
     return near_points(left, right, largest, distance).where(F.col(distance) <= F.col(radius))
 
 
-def near_shapes(left: DataFrame, shapes: DataFrame, key: str, radius: float, polygon: bool, distance: str = "d") -> DataFrame:
-    """Pairs of points left(city_id, x, y) and shapes(city_id, key, edges in metres) within radius metres.
-
-    A shape's key is entered in every cell that its envelope, widened by the radius, covers; a point lies in one cell, so no pair
-    meets twice. Envelopes are tested before distances, and a shape's edges are fetched only for the pairs that pass: cells hold
-    four numbers for a shape, whatever its outline.
-    """
-    xs, ys = F.transform("edges.a", lambda p: p.x), F.transform("edges.a", lambda p: p.y)
-    bx, by = F.transform("edges.b", lambda p: p.x), F.transform("edges.b", lambda p: p.y)
-    s = shapes.select(
-        "*",
-        (F.least(F.array_min(xs), F.array_min(bx)) - radius).alias("__x1"),
-        (F.greatest(F.array_max(xs), F.array_max(bx)) + radius).alias("__x2"),
-        (F.least(F.array_min(ys), F.array_min(by)) - radius).alias("__y1"),
-        (F.greatest(F.array_max(ys), F.array_max(by)) + radius).alias("__y2"),
-    )
-    size = max(float(radius), 250.0)
-    boxes = s.select("city_id", key, "__x1", "__x2", "__y1", "__y2")
-    boxes = boxes.withColumn("gx", F.explode(F.sequence(cell(F.col("__x1"), size), cell(F.col("__x2"), size))))
-    boxes = boxes.withColumn("gy", F.explode(F.sequence(cell(F.col("__y1"), size), cell(F.col("__y2"), size))))
-    p = left.withColumn("gx", cell(F.col("x"), size)).withColumn("gy", cell(F.col("y"), size))
-    d = p.join(boxes.hint("merge"), CELL).where(F.col("x").between(F.col("__x1"), F.col("__x2")) & F.col("y").between(F.col("__y1"), F.col("__y2")))
-    d = d.drop("gx", "gy", "__x1", "__x2", "__y1", "__y2").join(shapes.drop("city_id"), key)
-    measure = geo.polygon_distance if polygon else geo.line_distance
-    return d.withColumn(distance, measure(F.col("x"), F.col("y"), F.col("edges"))).where(F.col(distance) <= radius).drop("edges")
-
-
 def nearest(left: DataFrame, right: DataFrame, tie: str, n: int, start: float = 500.0) -> DataFrame:
     """left(city_id, id, x, y), right(city_id, tie, x, y) -> id, tie, d, rank: the n nearest, however far, ties by the tie column.
 
@@ -97,9 +70,3 @@ def nearest(left: DataFrame, right: DataFrame, tie: str, n: int, start: float =
         if not open_.limit(1).count():
             drop(left_over)
             return reduce(DataFrame.union, found)
-
-
-def with_edges(shapes: DataFrame) -> DataFrame:
-    """shapes(wkt, center_lon, metres_x) with ``edges`` in metres, parsed once."""
-    parts = geo.projected(geo.rings(F.col("wkt")), F.col("center_lon"), F.col("metres_x"))
-    return shapes.withColumn("edges", geo.edges(parts))

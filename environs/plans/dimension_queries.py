@@ -9,8 +9,9 @@ from .. import config
 from .. import constants as C
 from ..functions import geo, scoring
 from ..operators import dimensions as D
-from ..operators.spatial import near_shapes, near_within, nearest, with_edges
-from ..sources.atlas import Atlas, number
+from ..operators.outlines import near_outlines
+from ..operators.spatial import near_within, nearest
+from ..sources.atlas import OUTLINE_EDGES, Atlas, number
 from .registry import query
 
 
@@ -233,7 +234,7 @@ def band_join_polygons(a: Atlas) -> DataFrame:
 @query("select id, segment_id, round(d, 4) as d from n where d <= 150", line_sql("n", ROAD, 150))
 def band_join_segments(a: Atlas) -> DataFrame:
     roads = a.segments.where((F.col("subtype") == "road") & F.col("class").isin(C.ROAD_CLASSES))
-    near = near_shapes(a.hotels.select("city_id", "id", "x", "y"), with_edges(roads).select("city_id", "segment_id", "edges"), "segment_id", 150, polygon=False)
+    near = near_outlines(a.hotels.select("city_id", "id", "x", "y"), roads, "segment_id", 150, polygon=False)
     return near.select("id", "segment_id", F.round("d", 4).alias("d"))
 
 
@@ -259,10 +260,33 @@ def nearest_qualify(a: Atlas) -> DataFrame:
     return near.groupBy("id").agg(F.min_by("poi_id", F.struct("d", "poi_id")).alias("poi_id"), F.round(F.min("d"), 6).alias("d"))
 
 
+_EDGE_D = """sqrt(pow(h.x - (e.ax + greatest(0, least(1, ((h.x - e.ax) * (e.bx - e.ax) + (h.y - e.ay) * (e.by - e.ay)) / (pow(e.bx - e.ax, 2) + pow(e.by - e.ay, 2)))) * (e.bx - e.ax)), 2)
+  + pow(h.y - (e.ay + greatest(0, least(1, ((h.x - e.ax) * (e.bx - e.ax) + (h.y - e.ay) * (e.by - e.ay)) / (pow(e.bx - e.ax, 2) + pow(e.by - e.ay, 2)))) * (e.by - e.ay)), 2))"""
+RINGS_SQL = OUTLINE_EDGES + f""", ring_box as (select city_id, outline_id, min(ax) as x1, max(ax) as x2, min(ay) as y1, max(ay) as y2 from ring_edges group by all),
+  ring_near as (select h.id, b.outline_id, h.x, h.y from hotels h join ring_box b on h.city_id = b.city_id and h.x between b.x1 - 200 and b.x2 + 200 and h.y between b.y1 - 200 and b.y2 + 200),
+  ring_d as (select h.id, e.outline_id, min({_EDGE_D}) as d, count(*) filter (where (e.ay > h.y) <> (e.by > h.y) and h.x < e.ax + (h.y - e.ay) / (e.by - e.ay) * (e.bx - e.ax)) % 2 = 1 as inside
+    from ring_near h join ring_edges e using (outline_id) group by all)"""
+LINES_SQL = OUTLINE_EDGES + f""", line_near as (select h.id, e.outline_id, {_EDGE_D} as d from hotels h join line_edges e on h.city_id = e.city_id
+    and h.x between least(e.ax, e.bx) - 150 and greatest(e.ax, e.bx) + 150 and h.y between least(e.ay, e.by) - 150 and greatest(e.ay, e.by) + 150)"""
+
+
+@query("select id, outline_id, inside, round(case when inside then 0 else d end, 4) as d from ring_d where inside or d <= 200", RINGS_SQL)
+def near_long_rings(a: Atlas) -> DataFrame:
+    """Polygons of a thousand vertices within 200 m of a hotel, or around it."""
+    near = near_outlines(a.hotels.select("city_id", "id", "x", "y"), a.outlines.where("shape = 'ring'"), "outline_id", 200.0, polygon=True)
+    return near.select("id", "outline_id", (F.col("d") == 0).alias("inside"), F.round("d", 4).alias("d"))
+
+
+@query("select id, outline_id, round(min(d), 4) as d from line_near where d <= 150 group by all", LINES_SQL)
+def near_long_lines(a: Atlas) -> DataFrame:
+    """Lines of a thousand vertices within 150 m of a hotel."""
+    near = near_outlines(a.hotels.select("city_id", "id", "x", "y"), a.outlines.where("shape = 'line'"), "outline_id", 150.0, polygon=False)
+    return near.select("id", "outline_id", F.round("d", 4).alias("d"))
+
+
 @query("select h.id, g.green_id from hotels h join green g on h.city_id = g.city_id and h.x > g.x1 and h.x < g.x2 and h.y > g.y1 and h.y < g.y2")
 def point_in_polygon(a: Atlas) -> DataFrame:
-    g = with_edges(a.green).select("city_id", "green_id", "edges")
-    return near_shapes(a.hotels.select("city_id", "id", "x", "y"), g, "green_id", 0, polygon=True).where("d = 0").select("id", "green_id")
+    return near_outlines(a.hotels.select("city_id", "id", "x", "y"), a.green, "green_id", 0, polygon=True).where("d = 0").select("id", "green_id")
 
 
 @query(f"select green_id, round((x2 - x1) * (y2 - y1), 3) as area_m2, {LAND_WEIGHT} as weight from green")

@@ -30,6 +30,8 @@ NAMES = [
 ]
 WORDS = ["Aurora", "Bellevue", "Canal", "Dolphin", "Esplanade", "Falcon", "Garden", "Harbour", "Ivory", "Jade", "Kestrel"]
 GREEN_KINDS = [("park", "park"), ("protected", "nature_reserve"), ("recreation", "playground"), ("recreation", "pitch"), ("managed", "grass"), ("forest", "wood"), ("sand", "beach"), ("entertainment", "zoo"), ("horticulture", "garden"), ("grass", "meadow")]
+#: Vertices of an outline.
+VERTICES = 1000
 ROAD_KINDS = [("road", "motorway"), ("road", "primary"), ("road", "residential"), ("rail", "standard_gauge"), ("road", "trunk"), ("road", "service")]
 
 
@@ -123,6 +125,35 @@ class Atlas:
             F.concat(F.lit("LINESTRING ("), line, F.lit(")")).alias("wkt"),
         )
 
+    @cached_property
+    def outlines(self) -> DataFrame:
+        """A jagged ring and a jagged line of VERTICES vertices for each supplier, as WKT in degrees."""
+        k, n = F.col("s_suppkey"), VERTICES
+        d = self._placed(self.table("supplier").withColumn("city_key", (k % 5).cast("int")), k, (3571, 52361), (29, 311))
+        wide = (200 + k % 7 * 100) / F.lit(1e5)
+
+        def pair(lon: Column, lat: Column) -> Column:
+            return F.concat_ws(" ", lon.cast("string"), lat.cast("string"))
+
+        def on_ring(i: Column) -> Column:
+            t, side = (i % (n // 4)) / F.lit(n / 8) - 1, F.floor(i / (n // 4))
+            east = F.when(side == 0, t).when(side == 1, F.lit(1.0)).when(side == 2, -t).otherwise(F.lit(-1.0))
+            north = F.when(side == 0, F.lit(-1.0)).when(side == 1, t).when(side == 2, F.lit(1.0)).otherwise(-t)
+            jag = (F.lit(60) + (i * 37 + k * 11) % 40) / F.lit(100.0)
+            return pair(F.col("lon") + wide * jag * east, F.col("lat") + wide * jag * north)
+
+        def on_line(i: Column) -> Column:
+            return pair(F.col("lon") + (i - n // 2) * 3 / F.lit(1e5), F.col("lat") + ((i * 37 + k * 11) % 40 - 20) * 5 / F.lit(1e5))
+
+        ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: on_ring(i % n))
+        line = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), on_line)
+        texts = F.array(
+            F.struct(F.lit("ring").alias("shape"), F.concat(F.lit("POLYGON (("), F.array_join(ring, ", "), F.lit("))")).alias("wkt")),
+            F.struct(F.lit("line").alias("shape"), F.concat(F.lit("LINESTRING ("), F.array_join(line, ", "), F.lit(")")).alias("wkt")),
+        )
+        d = d.select("city_id", "center_lon", "metres_x", k.alias("key"), F.explode(texts).alias("s"))
+        return d.select("city_id", "center_lon", "metres_x", F.concat_ws("-", "s.shape", F.col("key").cast("string")).alias("outline_id"), "key", "s.shape", "s.wkt")
+
 
 def number(x: float) -> str:
     """A double in SQL, read from text so that no decimal type comes between."""
@@ -177,6 +208,15 @@ segments as (select *, (lon - clon) * kx as x1, lat * {_KY} as y1, (lon2 - clon)
       ({_list([a for a, _ in ROAD_KINDS])})[(o_orderkey // 10) % {len(ROAD_KINDS)} + 1] as subtype, ({_list([b for _, b in ROAD_KINDS])})[(o_orderkey // 10) % {len(ROAD_KINDS)} + 1] as class
     from orders join city on city_key = (o_orderkey // 10) % 5)))"""
 
+#: Edges of the outlines: shape, outline_id, city_id, ax, ay, bx, by.
+OUTLINE_EDGES = f"""ov as (select city_id, clon, kx, s_suppkey as key, i, lon, lat, (200 + s_suppkey % 7 * 100) / 1e5 as wide, (60 + (i * 37 + s_suppkey * 11) % 40) / 100.0::double as jag,
+    (i % {VERTICES // 4}) / {number(VERTICES / 8)} - 1 as t, i // {VERTICES // 4} as side
+  from (select *, {_place("s_suppkey", (3571, 52361), (29, 311))} from supplier join city on city_key = s_suppkey % 5), (select unnest(range({VERTICES})) as i)),
+ring as (select city_id, key, i, (lon + wide * jag * (case side when 0 then t when 1 then 1.0 when 2 then -t else -1.0 end) - clon) * kx as x, (lat + wide * jag * (case side when 0 then -1.0 when 1 then t when 2 then 1.0 else -t end)) * {_KY} as y from ov),
+line as (select city_id, key, i, (lon + (i - {VERTICES // 2}) * 3 / 1e5 - clon) * kx as x, (lat + ((i * 37 + key * 11) % 40 - 20) * 5 / 1e5) * {_KY} as y from ov),
+ring_edges as (select a.city_id, 'ring-' || a.key as outline_id, a.x as ax, a.y as ay, b.x as bx, b.y as by from ring a join ring b on a.key = b.key and b.i = (a.i + 1) % {VERTICES}),
+line_edges as (select a.city_id, 'line-' || a.key as outline_id, a.x as ax, a.y as ay, b.x as bx, b.y as by from line a join line b on a.key = b.key and b.i = a.i + 1)"""
+
 
 def over_atlas(query: str, more: str = "") -> str:
     """A SQL query over the atlas; more holds further CTEs."""
