@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, scoring
+from ..storage import stash
+from . import ranks
 from .outlines import near_outlines
 from .spatial import near_points
 
@@ -22,18 +24,34 @@ def pairs(hotels: DataFrame, pois: DataFrame, radius: float = NEAR_M) -> DataFra
     return near_points(h, pois.select("city_id", "poi_id", F.col("name").alias("poi_name"), "leaf", "hierarchy", "x", "y"), radius)
 
 
+def kind_pairs(hotels: DataFrame, pois: DataFrame, dimension: str) -> DataFrame:
+    """city_id, id, leaf, d: the points of one dimension within its radius. What doesn't count is left out before the meeting."""
+    p = pois.where(scoring.of_kind(dimension, F.col("leaf"), F.col("hierarchy"))).select("city_id", "leaf", "x", "y")
+    return near_points(hotels.select("city_id", "id", "x", "y"), p, float(C.RADIUS_M[dimension]))
+
+
 def only(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
 
-def density_of(near: DataFrame, dimension: str) -> DataFrame:
-    """Per hotel with a hit: decayed count, hits, distinct leaves, nearest."""
-    hits = near.where(scoring.of_kind(dimension, F.col("leaf"), F.col("hierarchy")) & (F.col("d") <= C.RADIUS_M[dimension]))
+def density_of(hits: DataFrame, dimension: str) -> DataFrame:
+    """hits(city_id, id, leaf, d) -> per hotel with a hit: decayed count, hits, distinct leaves (a set of a few dozen names at most), nearest."""
     return hits.groupBy("city_id", "id").agg(
-        F.sum(scoring.decay(F.col("d"), C.DECAY_M[dimension])).alias("raw"), F.count(F.lit(1)).alias("poi_count"), F.count_distinct("leaf").alias("distinct_categories"), F.min("d").alias("nearest_m")
+        F.sum(scoring.decay(F.col("d"), C.DECAY_M[dimension])).alias("raw"), F.count(F.lit(1)).alias("poi_count"), F.size(F.collect_set("leaf")).cast("long").alias("distinct_categories"), F.min("d").alias("nearest_m")
     )
 
 
+def percentiles(d: DataFrame, hotels: DataFrame, columns: list[str]) -> DataFrame:
+    """d(city_id, id, columns) with {column}_percentile, 0 to 100, of each in its city. Cities beyond a task's share are ranked by ranges."""
+    if ranks.fits(hotels.select("city_id"), ["city_id"]):
+        return d.withColumns({f"{c}_percentile": scoring.percentile_in_city(F.col(c)) for c in columns})
+    d = stash(d, "scored")
+    long = d.select("city_id", "id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("v")).select("city_id", "id", "v.column", "v.value")
+    r = ranks.with_rank(long, ["city_id", "column"], "value").withColumn("p", ranks.percent_rank() * 100)
+    wide = r.groupBy("city_id", "id").agg(*[F.max(F.when(F.col("column") == c, F.col("p"))).alias(f"{c}_percentile") for c in columns])
+    return d.join(wide, ["city_id", "id"])
+
+
 def curve(hotels: DataFrame, found: DataFrame, dimension: str) -> DataFrame:
     """All hotels with their hybrid score; hotels without a hit count 0."""
     d = hotels.select("city_id", "id").join(found, ["city_id", "id"], "left")
@@ -41,12 +59,13 @@ def curve(hotels: DataFrame, found: DataFrame, dimension: str) -> DataFrame:
     n, kinds = F.coalesce("poi_count", F.lit(0)).cast("long"), F.coalesce("distinct_categories", F.lit(0)).cast("long")
     wc = scoring.diversity(raw, kinds) if dimension == "food_essentials" else raw
     d = d.select("city_id", "id", F.round(wc, 9).alias("wc"), n.alias("poi_count"), kinds.alias("distinct_categories"), "nearest_m")
-    d = d.withColumn("absolute_score", scoring.saturating(F.col("wc"), C.SATURATION[dimension])).withColumn("city_percentile", scoring.percentile_in_city(F.col("wc")))
+    d = percentiles(d.withColumn("absolute_score", scoring.saturating(F.col("wc"), C.SATURATION[dimension])), hotels, ["wc"])
+    d = d.withColumnRenamed("wc_percentile", "city_percentile")
     return d.withColumn("score", scoring.hybrid(F.col("absolute_score"), F.col("city_percentile")))
 
 
-def density(hotels: DataFrame, near: DataFrame, dimension: str) -> DataFrame:
-    return curve(hotels, density_of(near, dimension), dimension)
+def density(hotels: DataFrame, pois: DataFrame, dimension: str) -> DataFrame:
+    return curve(hotels, density_of(kind_pairs(hotels, pois, dimension), dimension), dimension)
 
 
 def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
@@ -55,19 +74,18 @@ def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
     return near_outlines(hotels, g, "green_id", C.RADIUS_M["family_convenience"], True, ["subtype", "class", "weight"])
 
 
-def family(hotels: DataFrame, near: DataFrame, green: DataFrame) -> DataFrame:
+def family(hotels: DataFrame, pois: DataFrame, green: DataFrame) -> DataFrame:
     dim = "family_convenience"
-    points = near.where(scoring.of_kind(dim, F.col("leaf"), F.col("hierarchy")) & (F.col("d") <= C.RADIUS_M[dim]))
-    hits = points.select("city_id", "id", "d", F.col("leaf").alias("cat"), F.lit(1.0).alias("weight")).unionByName(green_hits(hotels, green).select("city_id", "id", "d", F.col("subtype").alias("cat"), "weight"))
+    hits = kind_pairs(hotels, pois, dim).select("city_id", "id", "d", F.col("leaf").alias("cat"), F.lit(1.0).alias("weight")).unionByName(green_hits(hotels, green).select("city_id", "id", "d", F.col("subtype").alias("cat"), "weight"))
     found = hits.groupBy("city_id", "id").agg(
         F.sum(F.col("weight") * scoring.decay(F.col("d"), C.DECAY_M[dim])).alias("raw"), F.count(F.lit(1)).alias("poi_count"), F.count_distinct("cat").alias("distinct_categories"), F.min("d").alias("nearest_m")
     )
     return curve(hotels, found, dim)
 
 
-def transit(hotels: DataFrame, near: DataFrame) -> DataFrame:
+def transit(hotels: DataFrame, pois: DataFrame) -> DataFrame:
     dim = "transit_access"
-    hits = near.where(scoring.of_kind(dim, F.col("leaf"), F.col("hierarchy")) & (F.col("d") <= C.RADIUS_M[dim]))
+    hits = kind_pairs(hotels, pois, dim)
     by_mode = hits.groupBy("city_id", "id", "leaf").agg(F.min("d").alias("nearest_m"))
     found = by_mode.groupBy("city_id", "id").agg(F.max(F.lit(100.0) * scoring.decay(F.col("nearest_m"), C.DECAY_M[dim])).alias("best"), F.count(F.lit(1)).alias("modes"), F.min("nearest_m").alias("nearest_m"))
     d = hotels.select("city_id", "id").join(found, ["city_id", "id"], "left")
@@ -158,8 +176,9 @@ def dimension_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segme
     modes = F.array_compact(F.array(*[F.col(f"mode_{i}") for i in range(len(C.CATEGORIES["transit_access"]))]))
     best = F.lit(100.0) * scoring.decay(F.array_min(modes), C.DECAY_M["transit_access"])
     d = d.withColumn("transit_access", scoring.transit(best, F.size(modes))).withColumn("transit_access_n", F.size(modes))
+    d = percentiles(d, hotels, [f"{dim}_wc" for dim in [*C.DENSITY, "family_convenience"]])
     for dim in [*C.DENSITY, "family_convenience"]:
-        d = d.withColumn(dim, scoring.hybrid(scoring.saturating(F.col(f"{dim}_wc"), C.SATURATION[dim]), scoring.percentile_in_city(F.col(f"{dim}_wc"))))
+        d = d.withColumn(dim, scoring.hybrid(scoring.saturating(F.col(f"{dim}_wc"), C.SATURATION[dim]), F.col(f"{dim}_wc_percentile")))
     covered = sum((F.when(F.col(f"{dim}_n") > 0, 1).otherwise(0) for dim in C.DIMENSIONS if dim != "quietness_proxy"), F.lit(0))
     d = d.withColumn("covered", covered)
     quiet = quietness(hotels, pois, segments).select(*key, F.col("score").alias("quietness_proxy"))

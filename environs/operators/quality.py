@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import geo, scoring, text
+from . import quantiles, ranks
 
 
 class ValidationError(ValueError):
@@ -45,17 +46,22 @@ def require_unlisted(hotels: DataFrame) -> None:
 
 
 def baseline(scores: DataFrame) -> DataFrame:
-    """Mean and interpolated median of each dimension, by city."""
-    aggs = [x for d in C.DIMENSIONS for x in (F.round(F.avg(d), 2).alias(f"{d}_mean"), F.round(F.median(d), 2).alias(f"{d}_median"))]
-    return scores.groupBy("city_id").agg(F.count(F.lit(1)).alias("n_hotels"), *aggs, F.round(F.avg("balanced_score"), 2).alias("balanced_mean"), F.round(F.median("confidence"), 2).alias("confidence_median"))
-
-
-def upper_median(df: DataFrame, by: list[str], column: str, tie: str) -> DataFrame:
-    """by, upper_median: the middle value of each group, the upper one of two. Nulls are left out; rows are ordered, never collected."""
-    group = Window.partitionBy(*by)
-    d = df.where(F.col(column).isNotNull()).select(*by, column, tie)
-    d = d.withColumn("place", F.row_number().over(group.orderBy(column, tie)) - 1).withColumn("n", F.count(F.lit(1)).over(group))
-    return d.where(F.col("place") == F.floor(F.col("n") / 2)).select(*by, F.col(column).alias("upper_median"))
+    """Mean and interpolated median of each dimension, by city. Cities beyond a task's share get their medians by histograms."""
+    n, middle = F.count(F.lit(1)).alias("n_hotels"), [*C.DIMENSIONS, "confidence"]
+    means = [F.round(F.avg(c), 2).alias(f"{m}_mean") for c, m in [*[(d, d) for d in C.DIMENSIONS], ("balanced_score", "balanced")]]
+    if ranks.fits(scores.select("city_id"), ["city_id"]):
+        d = scores.groupBy("city_id").agg(n, *means, *[F.round(F.median(c), 2).alias(f"{c}_median") for c in middle])
+    else:
+        m = quantiles.medians(scores, ["city_id"], middle)
+        m = m.select(F.col("city_id").alias("__city"), *[F.round(c, 2).alias(f"{c}_median") for c in middle])
+        d = scores.groupBy("city_id").agg(n, *means)
+        d = d.join(m, d["city_id"].eqNullSafe(m["__city"]), "left").drop("__city")
+    return d.select("city_id", "n_hotels", *[f"{c}_{k}" for c in C.DIMENSIONS for k in ("mean", "median")], "balanced_mean", "confidence_median")
+
+
+def upper_median(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by, upper_median: the middle value of each group, the upper one of two. Nulls are left out; no group is ordered or held."""
+    return quantiles.order_statistics(df, by, [column], {"upper_median": F.floor(F.col("n") / 2)}).select(*by, "upper_median")
 
 
 def soft_scan(hotels: DataFrame) -> DataFrame:

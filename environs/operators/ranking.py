@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..storage import stash
+from .ranks import numbered
 
 
 def fractional_rank(value: str, *by: str) -> Column:
@@ -24,8 +25,7 @@ def peers(scored: DataFrame, n: int = C.PEERS) -> DataFrame:
 
     Neighbours at distance k below come before those at distance k above. Equal scores are ordered by id.
     """
-    by_score = Window.partitionBy("city_id").orderBy("score", "id")
-    r = scored.withColumn("rn", F.row_number().over(by_score))
+    r = numbered(scored, ["city_id"], [F.col("score").asc(), F.col("id").asc()], "rn")
     steps = F.array(*[F.lit(k) for k in range(-n, n + 1) if k])
     wanted = r.select("city_id", "id", "rn", F.explode(steps).alias("step")).withColumn("at", F.col("rn") + F.col("step"))
     met = wanted.join(r.select("city_id", F.col("id").alias("peer"), F.col("rn").alias("at")), ["city_id", "at"])

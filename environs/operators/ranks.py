@@ -15,12 +15,13 @@ from ..storage import stash
 _LOW_BITS = 33
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of columns of two frames."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+#: Groups of up to so many rows are ranked by a window each: it is the shorter way where a group fits a task with ease.
+TASK_ROWS = 2_000_000
+
+
+def fits(df: DataFrame, by: list[str]) -> bool:
+    """No group has more than TASK_ROWS rows. df should be cheap to count, such as the table that the groups come from."""
+    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= TASK_ROWS
 
 
 def _ranged(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
@@ -63,26 +64,35 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], place: str = "pl
     return out
 
 
-def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value -> less (rows with a smaller value in the group), ties (rows with this one), total: one row for each distinct value.
-
-    Rows are counted by value before they are dealt, so that a value that very many rows have is one row. Null counts as the smallest.
+def running(rows: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+    """rows(by, value, sums), one row for each value of a group -> before_x and all_x beside each x of sums: what rows with a smaller value
+    have in the group, and what the whole group has. Null is the smallest value. The frame reads a table in the shared folder.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    d = _ranged(counts, by, [F.col(value).asc_nulls_first()], "ranked")
-    sizes = d.groupBy(*by, "__part").agg(F.sum("ties").alias("__n"))
-    found = _offsets(sizes, by, "__n")
-    renamed = found.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__part").alias("__range"), "__before___n", "__all___n")
+    d = _ranged(rows, by, [F.col(value).asc_nulls_first()], "running")
+    sizes = d.groupBy(*by, "__part").agg(*[F.sum(s).alias(s) for s in sums])
+    found = _offsets(sizes, by, *sums)
+    renamed = found.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__part").alias("__range"), *[f"__{k}_{s}" for s in sums for k in ("before", "all")])
     on = d["__part"] == renamed["__range"]
     for b in by:
         on = on & d[b].eqNullSafe(renamed[f"__{b}"])
-    running = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    less = F.col("__before___n") + F.coalesce(F.sum("ties").over(running), F.lit(0))
-    out = d.join(renamed, on).select(*by, value, less.alias("less"), "ties", F.col("__all___n").alias("total"))
+    here = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    less = [(F.col(f"__before_{s}") + F.coalesce(F.sum(s).over(here), F.lit(0))).alias(f"before_{s}") for s in sums]
+    out = d.join(renamed, on).select(*[d[c] for c in rows.columns], *less, *[F.col(f"__all_{s}").alias(f"all_{s}") for s in sums])
     out._environs_table = vars(d).get("_environs_table")
     return out
 
 
+def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value -> less (rows with a smaller value in the group), ties (rows with this one), total: one row for each distinct value.
+
+    Rows are counted by value before they are dealt, so that a value that very many rows have is one row. Null counts as the smallest.
+    """
+    r = running(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties")), by, value, ["ties"])
+    out = r.select(*by, value, F.col("before_ties").alias("less"), "ties", F.col("all_ties").alias("total"))
+    out._environs_table = vars(r).get("_environs_table")
+    return out
+
+
 def with_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with less, ties and total of its value in its group (see ``ranked``): rank() is less + 1, percent_rank() less / (total - 1)."""
     r = ranked(df, by, value)

@@ -30,13 +30,19 @@ def around(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     return d.drop("__step")
 
 
-def near_points(left: DataFrame, right: DataFrame, radius: float, distance: str = "d", copy: str = "left") -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a frame to hold; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def near_points(left: DataFrame, right: DataFrame, radius: float, distance: str = "d", copy: str | None = None) -> DataFrame:
     """Pairs of left(city_id, x, y, ...) and right(city_id, x, y, ...) within radius metres, with their distance.
 
     Column names other than city_id, x and y must differ. Null coordinates meet nothing. ``copy`` names the side that goes into its 3 x 3
-    cells: the smaller one. The join is a sort-merge join by cell even where a side would be small enough to broadcast: the work is in the
+    cells: the smaller one by the optimizer's estimate if it isn't said. The join is a sort-merge join by cell even where a side would be small enough to broadcast: the work is in the
     pairs, and cells spread it over all tasks, whereas a broadcast leaves it to the few tasks that read the other side.
     """
+    copy = copy or ("left" if estimated_bytes(left) <= estimated_bytes(right) else "right")
     r = right.withColumnRenamed("x", "__x").withColumnRenamed("y", "__y")
     if copy == "left":
         a, b = around(left, radius), r.withColumn("gx", cell(F.col("__x"), radius)).withColumn("gy", cell(F.col("__y"), radius))
@@ -56,17 +62,24 @@ def nearest(left: DataFrame, right: DataFrame, tie: str, n: int, start: float =
 
     Rings of cells are searched outwards: a point that has n hits within a radius has its nearest among them, the others try twice
     the radius, until each has n or all that its city has. Pairs are made within the radius only, so they follow the density.
+    Rows without finite coordinates, and points of a city that has nothing on the right, have no neighbours. The search ends: once the radius
+    covers a city's whole extent, its points have met everything there is.
     """
-    totals = right.groupBy("city_id").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("__wanted"))
-    open_, radius, found, tables = left.select("city_id", "id", "x", "y").join(F.broadcast(totals), "city_id"), start, [], []
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    points, targets = left.select("city_id", "id", "x", "y").where(placed), right.select("city_id", tie, "x", "y").where(placed)
+    totals = targets.groupBy("city_id").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("__wanted"))
+    sides = points.select("city_id", "x", "y").union(targets.select("city_id", "x", "y"))
+    furthest = sides.groupBy("city_id").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("w")).agg(F.max("w")).first()[0] or 0.0
+    open_, radius, found, tables = points.join(totals, "city_id"), start, [], []
     order = Window.partitionBy("id").orderBy("d", tie)
     while True:
-        hits = near_points(open_, right.select("city_id", tie, "x", "y"), radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+        hits = near_points(open_, targets, radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
         hits = stash(hits.withColumn("__n", F.max("rank").over(Window.partitionBy("id"))).where("__n = __wanted").select("id", tie, "d", "rank"), "nearest")
         found.append(hits)
         left_over = stash(open_.join(hits.select("id").distinct(), "id", "left_anti"), "nearest-open")
         drop(*tables)
-        tables, open_, radius = [left_over], left_over, 2 * radius
-        if not open_.limit(1).count():
+        tables, open_ = [left_over], left_over
+        if radius > furthest or not open_.limit(1).count():
             drop(left_over)
             return reduce(DataFrame.union, found)
+        radius = 2 * radius

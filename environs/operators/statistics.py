@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scoring
-from .ranking import fractional_rank
+from .ranks import average_rank, running, with_rank
 
 NAN = float("nan")
 
@@ -19,8 +19,9 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = r.select(*by, fractional_rank(x, *by).alias("rx"), fractional_rank(y, *by).alias("ry"))
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = with_rank(r, by, x).select(*by, y, average_rank().alias("rx"))
+    r = with_rank(r, by, y).select(*by, "rx", average_rank().alias("ry"))
     return r.groupBy(*by).agg(pearson(F.col("rx"), F.col("ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -28,22 +29,21 @@ def gamma(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(C - D) / (C + D) over pairs that neither side ties (Goodman and Kruskal), without making the pairs.
 
     Ranks of x are read bit by bit: two rows part at the first bit in which their ranks differ. For each bit, rows with a common
-    prefix are ordered by y, and a running count of those with a 0 gives each row with a 1 its concordant and discordant
-    partners. The work is n log n.
+    prefix are counted by y and ordered by ranges, so that the top bit of a large group is spread over all tasks, and what stands below and
+    above gives the ones their concordant and discordant partners among the zeros. The work is n log n.
     """
-    group = Window.partitionBy(*by)
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = r.select(*by, (F.dense_rank().over(group.orderBy(x)) - 1).alias("rx"), F.dense_rank().over(group.orderBy(y)).alias("ry"))
-    r = r.withColumn("bits", F.ceil(F.log2(F.max("rx").over(group) + F.lit(1.0))).cast("int"))
-    # bits may be 0: a constant x has no pair, and an empty sequence gives no row
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = with_rank(r, by, x).select(*by, F.col("less").alias("rx"), y, "total")
+    r = r.withColumn("bits", F.ceil(F.log2(F.col("total").cast("double"))).cast("int"))
+    # bits may be 0: a single row has no pair, and an empty sequence gives no row
     r = r.withColumn("bit", F.explode(F.when(F.col("bits") > 0, F.sequence(F.lit(0), F.col("bits") - 1)).otherwise(F.array().cast("array<int>"))))
-    r = r.withColumn("prefix", F.expr("shiftright(rx, bit + 1)")).withColumn("one", F.expr("shiftright(rx, bit) % 2"))
-    part = Window.partitionBy(*by, "bit", "prefix")
-    zero = 1 - F.col("one")
-    below = F.coalesce(F.sum(zero).over(part.orderBy("ry").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = F.coalesce(F.sum(zero).over(part.orderBy("ry").rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
-    r = r.withColumn("c", F.col("one") * below).withColumn("d", F.col("one") * above)
-    out = r.groupBy(*by).agg(F.sum("c").alias("concordant"), F.sum("d").alias("discordant"))
+    one = F.expr("shiftright(rx, bit) % 2")
+    r = r.select(*by, "bit", F.expr("shiftright(rx, bit + 1)").alias("prefix"), y, one.alias("one"))
+    counts = r.groupBy(*by, "bit", "prefix", y).agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("zeros"))
+    # a prefix without a one or without a zero has no pair
+    d = running(counts, [*by, "bit", "prefix"], y, ["zeros"])
+    d = d.withColumn("c", F.col("ones") * F.col("before_zeros")).withColumn("d", F.col("ones") * (F.col("all_zeros") - F.col("before_zeros") - F.col("zeros")))
+    out = d.groupBy(*by).agg(F.sum("c").alias("concordant"), F.sum("d").alias("discordant"))
     both = F.col("concordant") + F.col("discordant")
     return out.withColumn("gamma", F.when(both > 0, (F.col("concordant") - F.col("discordant")) / both).otherwise(F.lit(NAN)))
 

@@ -9,6 +9,7 @@ from .. import config
 from .. import constants as C
 from ..functions import geo, scoring
 from ..operators import dimensions as D
+from ..operators import ranks
 from ..operators.outlines import near_outlines
 from ..operators.spatial import near_within, nearest
 from ..sources.atlas import OUTLINE_EDGES, Atlas, number
@@ -65,17 +66,17 @@ def score_rows(d: DataFrame) -> DataFrame:
 
 @query(f"select {SCORE_SQL} from s_food_essentials", density_sql("food_essentials"))
 def food_score(a: Atlas) -> DataFrame:
-    return score_rows(D.density(a.hotels, D.pairs(a.hotels, a.pois, 400.0), "food_essentials"))
+    return score_rows(D.density(a.hotels, a.pois, "food_essentials"))
 
 
 @query(f"select {SCORE_SQL} from s_walkability_density", density_sql("walkability_density"))
 def walk_score(a: Atlas) -> DataFrame:
-    return score_rows(D.density(a.hotels, D.pairs(a.hotels, a.pois, 400.0), "walkability_density"))
+    return score_rows(D.density(a.hotels, a.pois, "walkability_density"))
 
 
 @query(f"select {SCORE_SQL} from s_nightlife_access", density_sql("nightlife_access"))
 def nightlife_score(a: Atlas) -> DataFrame:
-    return score_rows(D.density(a.hotels, D.pairs(a.hotels, a.pois, 400.0), "nightlife_access"))
+    return score_rows(D.density(a.hotels, a.pois, "nightlife_access"))
 
 
 _RECT = "sqrt(pow(greatest(g.x1 - h.x, 0, h.x - g.x2), 2) + pow(greatest(g.y1 - h.y, 0, h.y - g.y2), 2))"
@@ -101,7 +102,7 @@ FAMILY_SQL = (
 
 @query(f"select {SCORE_SQL} from s_family_convenience", FAMILY_SQL)
 def family_score(a: Atlas) -> DataFrame:
-    return score_rows(D.family(a.hotels, D.pairs(a.hotels, a.pois, 600.0), a.green))
+    return score_rows(D.family(a.hotels, a.pois, a.green))
 
 
 TRANSIT_SQL = (
@@ -114,12 +115,12 @@ TRANSIT_SQL = (
 
 @query("select city_id, id, round(score, 6) as score, poi_count, round(nearest_m, 6) as nearest_m from s_transit", TRANSIT_SQL)
 def transit_score(a: Atlas) -> DataFrame:
-    return rounded(D.transit(a.hotels, D.pairs(a.hotels, a.pois)), "score", "nearest_m").drop("distinct_categories")
+    return rounded(D.transit(a.hotels, a.pois), "score", "nearest_m").drop("distinct_categories")
 
 
 @query("select city_id, id, leaf, round(nearest_m, 6) as nearest_m from m_transit", TRANSIT_SQL)
 def two_level_transit(a: Atlas) -> DataFrame:
-    near = D.pairs(a.hotels, a.pois).where(scoring.of_kind("transit_access", F.col("leaf"), F.col("hierarchy")))
+    near = D.kind_pairs(a.hotels, a.pois, "transit_access")
     return near.groupBy("city_id", "id", "leaf").agg(F.round(F.min("d"), 6).alias("nearest_m"))
 
 
@@ -372,13 +373,14 @@ def saturating_curve(a: Atlas) -> DataFrame:
 
 @query(f"select id, round(0.7::double * absolute_score + {number(1 - C.ABSOLUTE_WEIGHT)} * city_percentile, 6) as score from s_food_essentials", density_sql("food_essentials"))
 def score_hybrid(a: Atlas) -> DataFrame:
-    d = D.density(a.hotels, D.pairs(a.hotels, a.pois, 400.0), "food_essentials")
+    d = D.density(a.hotels, a.pois, "food_essentials")
     return d.select("id", F.round(scoring.hybrid(F.col("absolute_score"), F.col("city_percentile")), 6).alias("score"))
 
 
 @query("select id, round(percent_rank() over (partition by city_id order by c_acctbal) * 100, 6) as pct from hotels")
 def percentile_rank(a: Atlas) -> DataFrame:
-    return a.hotels.select("id", F.round(scoring.percentile_in_city(F.col("c_acctbal")), 6).alias("pct"))
+    d = ranks.with_rank(a.hotels.select("city_id", "id", "c_acctbal"), ["city_id"], "c_acctbal")
+    return d.select("id", F.round(ranks.percent_rank() * 100, 6).alias("pct"))
 
 
 @query("select h.city_id, h.id, round(m_road.d, 4) as road, round(m_rail.d, 4) as rail, round(m_night.d, 4) as nightlife, round(m_air.d, 4) as airport from hotels h left join m_road using (city_id, id) left join m_rail using (city_id, id) left join m_night using (city_id, id) left join m_air using (city_id, id)", QUIET_SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scoring, text
-from ..operators import dedupe, matching, publication, quality, ranking, statistics
+from ..operators import dedupe, matching, publication, quality, ranking, ranks, statistics
 from ..sources.atlas import Atlas
 from .dimension_queries import FACTS_SQL, pairs_sql
 from .name_queries import ACCOMMODATION_SQL, FOLD, scores_sql, table_scores
@@ -141,7 +141,7 @@ def city_baseline(a: Atlas) -> DataFrame:
 
 @query("select city_id, (list(balanced_score order by balanced_score))[count(*) // 2 + 1] as upper_median from sc group by city_id", scores_sql("sc"))
 def upper_median(a: Atlas) -> DataFrame:
-    return quality.upper_median(table_scores(a), ["city_id"], "balanced_score", "id")
+    return quality.upper_median(table_scores(a), ["city_id"], "balanced_score")
 
 
 @query("select leaf, count(*) as n from hotels where leaf in ('lodging', 'campground') group by leaf")
@@ -262,7 +262,7 @@ def guarded_percent(a: Atlas) -> DataFrame:
 
 @query("select id, rank() over (partition by city_id order by n_sources) + (count(*) over (partition by city_id, n_sources) - 1) / 2.0::double as r from hotels")
 def fractional_rank(a: Atlas) -> DataFrame:
-    return a.hotels.select("id", ranking.fractional_rank("n_sources", "city_id").alias("r"))
+    return ranks.with_rank(a.hotels.select("city_id", "id", "n_sources"), ["city_id"], "n_sources").select("id", ranks.average_rank().alias("r"))
 
 
 PEERS_SQL = scores_sql("sc") + """, rn as (select city_id, id, row_number() over (partition by city_id order by balanced_score, id) as rn from sc),
