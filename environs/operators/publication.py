@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources.versions import Table
 
 STATUSES = ["draft", "noindex", "indexable", "retired"]
 PAGE_TYPES = ["hotel", "city", "static"]
@@ -89,29 +88,20 @@ class DecisionError(ValueError):
 class Store:
     """Decisions on pages in a folder that all readers share.
 
-    Every decision is a row that is added, never changed; the newest row of a page is what holds, so that readers never see a page
-    without its decision and writers don't exclude each other. ``compact`` writes the newest rows to a new generation and
-    then makes it current by adding one small file; older generations go after that.
+    Every decision is a row that is added, never changed; the newest row of a page is what holds. Rows carry the number of the commit that
+    added them, so that they are ordered as they were recorded, whatever clocks say. ``compact`` keeps the newest rows only; decisions that are
+    recorded meanwhile stay beside them.
     """
 
     SCHEMA = "page_type string, page_id string, status string, reason string, decided_by string, decided_at timestamp, score_version string, seq long"
     KEY = ["page_type", "page_id"]
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.log = spark, Table(spark, path)
 
     def generation(self) -> int:
-        """The number of the current generation: the highest marker."""
-        at, fs = self._fs()
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return max([int(n.removeprefix("current-")) for n in names if n.startswith("current-")], default=0)
-
-    def _folder(self, generation: int) -> str:
-        return f"{self.path}/decisions-{generation}"
+        """How often the store was compacted."""
+        return (self.log.latest()[1] or {}).get("generation", 0)
 
     def record(self, decisions: DataFrame, names: DataFrame | None = None) -> None:
         """Add decisions(page_type, page_id, status, reason, decided_by, score_version); names(page_id, name, accommodation_type, readable)
@@ -126,8 +116,8 @@ class Store:
         bad = d.select("page_type", "page_id", why.alias("why")).where("why is not null").limit(5).collect()
         if bad:
             raise DecisionError("; ".join(f"{r.page_type} {r.page_id}: {r.why}" for r in bad))
-        rows = d.select(*self.KEY, "status", "reason", "decided_by", F.current_timestamp().alias("decided_at"), column("score_version", "string").alias("score_version"), F.lit(time.time_ns()).alias("seq"))
-        rows.write.mode("append").parquet(self._folder(self.generation()))
+        rows = d.select(*self.KEY, "status", "reason", "decided_by", F.current_timestamp().alias("decided_at"), column("score_version", "string").alias("score_version"))
+        self.log.append(lambda number: rows.withColumn("seq", F.lit(number).cast("long")))
 
     def set_status(self, page_type: str, page_id: str, status: str, reason: str, decided_by: str, *, score_version: str | None = None, name: str | None = None, accommodation_type: str | None = None, readable: bool = False) -> None:
         one = self.spark.createDataFrame([(page_type, page_id, status, reason, decided_by, score_version, name, accommodation_type, readable)], "page_type string, page_id string, status string, reason string, decided_by string, score_version string, name string, accommodation_type string, readable boolean")
@@ -135,11 +125,9 @@ class Store:
 
     def current(self) -> DataFrame:
         """The decision that holds for each page."""
-        at, fs = self._fs()
-        folder = self._folder(self.generation())
-        if not fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)):
+        if not self.log.exists():
             return self.spark.createDataFrame([], self.SCHEMA).drop("seq")
-        return latest(self.spark.read.schema(self.SCHEMA).parquet(folder), self.KEY, "seq", "decided_at").drop("seq")
+        return latest(self.log.read(), self.KEY, "seq", "decided_at").drop("seq")
 
     def get_status(self, page_type: str, page_id: str) -> dict | None:
         found = self.current().where((F.col("page_type") == page_type) & (F.col("page_id") == page_id)).collect()
@@ -152,13 +140,7 @@ class Store:
     def list_by_status(self, status: str, page_type: str | None = None) -> DataFrame:
         return listed(self.current(), status, page_type)
 
-    def compact(self) -> None:
-        """Keep only the rows that hold. Decisions must not be added at the same time."""
-        at, fs = self._fs()
-        old = self.generation()
-        self.current().withColumn("seq", F.lit(0).cast("long")).write.parquet(self._folder(old + 1))
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs.create(hadoop(f"{self.path}/current-{old + 1}"), False).close()
-        fs.delete(hadoop(self._folder(old)), True)
-        if old:
-            fs.delete(hadoop(f"{self.path}/current-{old}"), False)
+    def compact(self, keep: int = 2) -> None:
+        """Keep only the rows that hold; the newest ``keep`` versions of the log stay for readers."""
+        self.log.compact(lambda rows: latest(rows, self.KEY, "seq", "decided_at"))
+        self.log.expire(keep)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Table
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,20 +24,10 @@ def write_parquet(df: DataFrame, path: str, by: str | None = "city_id") -> None:
         df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write beside path, then rename twice: a reader that opens path between the renames finds no table and must try again, but
-    never a half-written one. The first version is kept once as path.bak. Where readers can't wait, use a ``publication.Store``."""
-    spark = df.sparkSession
-    staged = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    at, fs = _fs(spark, path)
-    backup = _fs(spark, f"{path}.bak")[0]
-    if fs.exists(at):
-        if fs.exists(backup):
-            fs.delete(at, True)
-        else:
-            fs.rename(at, backup)
-    fs.rename(_fs(spark, staged)[0], at)
+def replace(df: DataFrame, path: str) -> int:
+    """A new version of the table in path: readers that use ``versions.Table`` see it or the one before, whole, at any moment; versions
+    before it stay until they expire. The version's number."""
+    return Table(df.sparkSession, path).replace(df)
 
 
 def write_text(spark: SparkSession, content: str, path: str) -> None:

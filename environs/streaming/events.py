@@ -11,7 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versions import Table
+
 LATE = "2 hours"
+#: Data folders without a commit are taken for abandoned after so many seconds.
+GRACE_S = 3600.0
 
 
 def timed(df: DataFrame) -> DataFrame:
@@ -60,33 +64,21 @@ def first_seen(df: DataFrame) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
 
 
-def upsert_stream(stream: DataFrame, store: str, key: list[str], at: str, checkpoint: str):
-    """Keep the newest row of each key in a Parquet table, batch by batch.
+def upsert_stream(stream: DataFrame, store: str, key: list[str], at: str, checkpoint: str, buckets: int = 64, keep: int = 2):
+    """Keep the newest row of each key in a ``versions.Table``, batch by batch.
 
-    Each batch writes a new version folder and then names it in ``CURRENT``: readers see a whole version or the one before, and a
-    batch that is run again writes the same version.
+    A batch rewrites only the buckets that it has keys for, and its number is part of the commit: a batch that is run again changes nothing.
+    The newest ``keep`` versions stay for readers, older ones go.
     """
-    from ..operators.publication import upsert
+    table = Table(stream.sparkSession, store, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = current_version(spark, store)
-        if now is not None and now >= number:
-            return
-        old = spark.read.parquet(f"{store}/v={now}") if now is not None else batch.limit(0)
-        upsert(old, batch, key, at).write.mode("overwrite").parquet(f"{store}/v={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{store}/CURRENT")
+        table.upsert(batch, key, at, ("stream", number))
+        table.expire(keep, grace_s=GRACE_S)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_version(spark: SparkSession, store: str) -> int | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/CURRENT")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema("version long").json(f"{store}/CURRENT").agg(F.max("version")).first()[0]
-
-
 def run_once(frame: DataFrame, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
     """Run a plan over all that a stream holds now, into a table in memory: for tests and small reports."""
     q = plan(watermarked(frame)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

@@ -16,7 +16,7 @@ from environs.operators import dedupe, dimensions, publication, quality, ranking
 from environs.operators.graph import components
 from environs.operators.spatial import near_points
 from environs.pipeline import Engine
-from environs.sources import readers, sinks
+from environs.sources import readers, sinks, versions
 from environs.sources.atlas import Atlas
 from environs.streaming import events
 
@@ -306,7 +306,8 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "s" / "city_id=b" / "bucket=f").is_dir() and spark.read.json(str(tmp_path / "s")).count() == 3
     for n in (1, 2, 3):
         sinks.replace(df.limit(n), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 3 and spark.read.parquet(str(tmp_path / "r.bak")).count() == 1
+    replaced = versions.Table(spark, str(tmp_path / "r"))
+    assert replaced.read().count() == 3 and replaced.read(1).count() == 1 and replaced.versions() == [1, 2, 3]
     sinks.append_log(df, str(tmp_path / "log"))
     sinks.append_log(df, str(tmp_path / "log"))
     assert readers.read_csv(spark, str(tmp_path / "log"), "city_id string, slug string, v long").count() == 6
@@ -419,8 +420,7 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows[k * 10 : k * 10 + 10], "k long, at long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k long, at long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     events.upsert_stream(stream, str(tmp_path / "store"), ["k"], "at", str(tmp_path / "cp")).awaitTermination()
-    now = events.current_version(spark, str(tmp_path / "store"))
-    got = spark.read.parquet(f"{tmp_path}/store/v={now}").collect()
+    got = versions.Table(spark, str(tmp_path / "store")).read().collect()
     assert {r.k: r.at for r in got} == {k: max(a for b, a, _ in rows if b == k) for k in range(7)}
 
 
