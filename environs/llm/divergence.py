@@ -23,6 +23,8 @@ from .common import drop, ship, small_batches, stash, utf8, worker
 MIN_DOCS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Terms of a block, about, and rounds of the tournament whose travelling vectors are under way at once.
 BLOCK_TERMS, ROUNDS_AT_ONCE = 1 << 15, 8
+#: So many languages' sizes, three numbers each, are sent to all tasks.
+LANGUAGES = 10_000
 #: A task sends its counts on when it holds so many.
 HELD = 300_000
 
@@ -182,13 +184,14 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP) -> DataF
         counts = stash(counted(docs), "counts")
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("count"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     kept = stash(kept, "kept")
-    # one row for each language
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("count").alias("lang_total"))
+    # one row for each language: few enough for all tasks, or else joined by language
+    sizes = stash(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("count").alias("lang_total")), "sizes")
+    few = F.broadcast(sizes) if sizes.count() <= LANGUAGES else sizes
     blocks = F.greatest(F.ceil(F.col("terms") / BLOCK_TERMS), F.lit(1)).cast("int")
-    dealt = kept.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
+    dealt = kept.join(few, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
     dealt = dealt.withColumn("at", (F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1).cast("long"))
     dealt = stash(dealt, "terms")
-    drop_later = [counts, kept, dealt]
+    drop_later = [counts, kept, sizes, dealt]
     lexicon = dealt.groupBy("lang", "block").agg(F.array_sort(F.collect_list(F.struct("at", "term", "count"))).alias("rows"), F.first("lang_total").alias("lang_total"))
     lexicon = stash(lexicon.select("lang", "block", F.col("rows.term").alias("words"), F.col("rows.count").alias("counts"), "lang_total", F.size("rows").cast("long").alias("width")), "lexicon")
 
@@ -208,7 +211,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP) -> DataF
     groups = groups.withColumn("seat", (F.row_number().over(by_lang.orderBy("source")) - 1).cast("long"))
     groups = groups.withColumn("n", F.count(F.lit(1)).over(by_lang)).withColumn("seats", F.col("n") + F.col("n") % 2)
     totals = vectors.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(sizes.select("lang", "terms"), "lang", "left")
+    groups = groups.join(totals, ["lang", "source"], "left").join(few.select("lang", "terms"), "lang", "left")
     groups = stash(groups.select("lang", "source", "seat", "seats", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")), "groups")
     drop_later += [lexicon, vectors, tight, groups]
     places = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("terms") / BLOCK_TERMS), F.lit(1)).cast("int") - 1)))
