@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling (Wise, 1993).
 
-Words are joined with a benchmark's items by shared seeds of MIN_MATCH words (Karp-Rabin fingerprints). For a document
+Words are joined with a benchmark's items by shared seeds of MIN_MATCH words, or of all words of a shorter item (Karp-Rabin fingerprints). For a document
 and an item that share one, the longest common run that no tile covers yet is marked as a tile, again and again down to
 MIN_MATCH words; reordered passages are so found piece by piece. A document is contaminated when tiles cover at least
 ``coverage`` of an item's words.
@@ -65,11 +65,21 @@ class Block:
         place = np.concatenate([*[np.arange(len(s)) for s in seeds], np.empty(0, np.int64)])
         order = np.argsort(key, kind="stable")
         self.key, self.owner, self.place = key[order], owner[order], place[order]
+        # an item of fewer words is one seed of its whole length
+        self.short = {k: [x for x, h in enumerate(self.hashes) if len(h) == k] for k in range(1, MIN_MATCH)}
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.key & self.MASK).astype(np.int64)] = True
 
     def coverage(self, h: np.ndarray) -> Iterator[tuple[object, float]]:
         """Items that share a seed with the document, and the share of each that tiles cover."""
+        for k, owners in self.short.items():
+            if owners:
+                f = fingerprints(h, k)
+                whole = np.concatenate([fingerprints(self.hashes[x], k) for x in owners])
+                for x, seed in zip(np.array(owners)[np.isin(whole, f)].tolist(), whole[np.isin(whole, f)]):
+                    at = np.flatnonzero(f == seed)
+                    if (h[at[:, None] + np.arange(k)] == self.hashes[x]).all(axis=1).any():
+                        yield self.items[x][0], 1.0
         f = fingerprints(h, MIN_MATCH)
         at = np.flatnonzero(self.maybe[(f & self.MASK).astype(np.int64)])
         found, times = np.unique(f[at], return_counts=True)
@@ -233,7 +243,8 @@ def rows_measured(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(text, ...) -> the same rows and columns and a struct ``leak``: n_items found over COVERAGE, and item_id and coverage of the best.
 
-    Items with fewer than MIN_MATCH words match nothing, nor do null or empty texts (coverage 0, null item). Of items with
+    An item of fewer than MIN_MATCH words is found where all of it stands in a text. Items without a word match nothing, nor do null or empty
+    texts (coverage 0, null item). Of items with
     equal coverage the smallest item_id is named. Rows are judged each. An empty benchmark gives 0 for all. Other columns may have any
     names; where one is called ``leak``, ours is ``leak_1``.
     """

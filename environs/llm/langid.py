@@ -11,11 +11,11 @@ together; a block that doesn't begin where the one before it ends is mended, so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +24,10 @@ from .common import ship, worker
 BLOCK = 512
 #: Entries of dense transition tables, for one language and in all; larger alphabets have sorted transitions.
 DENSE, DENSE_ALL = 1 << 22, 1 << 24
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 64, 8_000, 256
+SAMPLE_DOCS, SAMPLE_CHARS = 64, 8_000
 #: Characters parsed at a time in a worker.
 AT_ONCE = 3_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -184,17 +184,15 @@ def level(lengths: list[int], total: int) -> int:
 def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> Model:
     """From docs(doc_id, text, lang): the sample_docs documents of each language with the smallest hash of their ids.
 
-    Each gives an equal share of sample_chars, or all it has, from a place that its hash says. More than MAX_LANGUAGES
-    languages are an error.
+    Each gives an equal share of sample_chars, or all it has, from a place that its hash says. There may be any number of languages; the
+    sample is sample_chars for each.
     """
     from pyspark.sql import Window
 
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = usable.select("doc_id", "lang", "h").withColumn("rank", F.row_number().over(by_hash))
-    rows = picked.where(F.col("rank") <= sample_docs).limit(sample_docs * MAX_LANGUAGES + 1).collect()
-    if len({r.lang for r in rows}) > MAX_LANGUAGES or len(rows) > sample_docs * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = picked.where(F.col("rank") <= sample_docs).collect()
     wanted = {(r.lang, r.doc_id) for r in rows if r.doc_id is not None}
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1
     part = F.substring("text", start.cast("int"), F.lit(sample_chars))  # a text of more characters isn't read from its beginning

@@ -56,7 +56,8 @@ def write_sorted(items: Iterable[tuple[int, bytes, bool]], path: str) -> None:
             ends.write(struct.pack("<q", at))
             verdicts.write(bytes([blocks]))
             strings.write(string)
-            lengths.add(len(string) - string.find(b"/"))
+            slash = string.find(b"/")
+            lengths.add(len(string) - slash if slash >= 0 else 0)
     with open(path, "wb") as f:
         f.write(struct.pack("<qq", n, len(lengths)))
         for section, more in zip(sections, (b"", np.array(sorted(lengths, reverse=True), "<i8").tobytes(), b"", b"")):
@@ -149,7 +150,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame | Non
     """pages(page_id, url) -> page_id, host, path, rule, verdict, one row for each row.
 
     Null urls, urls without ``://`` and urls that no rule fits get a null rule and the default verdict. Equal rows and null
-    ids stay. Other columns are not looked at. An empty table and an empty rule list work. rules: pairs of verdict and rule, or for
+    ids stay. Other columns are not looked at. An empty table and an empty rule list work. A rule without a slash fits every path of its
+    host and of all subdomains. rules: pairs of verdict and rule, or for
     long lists a table(verdict, rule), which passes through the driver's disk, not its memory.
     """
     ship(pages.sparkSession)
