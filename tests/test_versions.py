@@ -118,3 +118,52 @@ def test_decisions_recorded_while_compacting(spark, tmp_path):
     store.set_status("city", "london", "noindex", "later", "owner")
     store.compact(keep=1)
     assert store.get_status("city", "london")["reason"] == "later" and store.current().count() == 1
+
+
+# state by key -------------------------------------------------------------------------------------------------------
+
+EVENTS = "/root/testdata/sf0.001/events.parquet"
+
+
+def collected(spark, tmp_path, log, name, **options):
+    """All that a stream over the folder gives, file by file."""
+    from environs.streaming import probes
+
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = probes.gaps_and_windows(stream, 600, **options)
+    q = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def test_stateful_stream_equals_batch(spark, tmp_path):
+    """Files overlap in time by less than the watermark; a last row of each key far ahead pushes everything through."""
+    from environs.operators import timeline
+
+    e = spark.read.parquet(EVENTS)
+    log = e.select((F.col("user_id") % 4).cast("string").alias("url"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("up"))
+    order = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))  # up to an hour out of order
+    ordered = log.withColumn("o", order).repartitionByRange(6, "o").drop("o")
+    parts = [log.sparkSession.createDataFrame(p, log.schema) for p in ordered.rdd.glom().collect() if p]
+    last = log.groupBy("url").agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 9 days")).alias("ts"), F.lit(None).cast("boolean").alias("up")).select(log.columns)
+    for p in [*parts, last, last.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))]:
+        p.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = collected(spark, tmp_path, log, "t_probes", late="3 hours")
+    gaps = {(r.key, r.event_id): r.gap_s for r in got.where("kind = 'gap' and event_id >= 0").collect()}
+    assert gaps == {(r.url, r.event_id): r.gap_s for r in timeline.gaps(log, 600).collect()} and gaps
+    windows = {(r.key, r.run): (r.state, r.n, r.seconds) for r in got.where("kind = 'window' and state is not null").collect()}
+    assert windows == {(r.url, r.run): (r.up, r.n, r.seconds) for r in timeline.islands(log).collect()} and windows
+
+
+def test_late_rows_and_idle_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    schema = "url string, event_id long, ts timestamp, up boolean"
+    files = [[("a", 1, at(0), True), ("a", 2, at(5), True), (None, 3, at(5), True), ("a", 4, None, True)], [("a", 5, at(300), False)], [("a", 6, at(10), True), ("a", 7, at(301), False)], [("b", 8, at(900), True)], [("b", 9, at(901), True)]]
+    for f in files:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = collected(spark, tmp_path, spark.createDataFrame([], schema), "t_idle", late="1 hour", idle_s=3600.0)
+    rows = sorted((r.kind, r.key, r.event_id or 0, r.n or 0, r.gap_s or 0.0) for r in got.collect())
+    # row 6 is later than the watermark and counts nowhere; both windows of a end by silence
+    assert rows == [("gap", "a", 5, 0, 295 * 60.0), ("window", "a", 0, 2, 0.0), ("window", "a", 0, 2, 0.0)]
