@@ -26,7 +26,8 @@ def percentile_in_city(value: Column) -> Column:
     return F.percent_rank().over(Window.partitionBy("city_id").orderBy(value)) * 100
 
 
-def hybrid(absolute: Column, percentile: Column, weight: float = C.ABSOLUTE_WEIGHT) -> Column:
+def hybrid(absolute: Column, percentile: Column, weight: float | None = None) -> Column:
+    weight = C.ABSOLUTE_WEIGHT if weight is None else weight
     return F.lit(weight) * absolute + F.lit(1 - weight) * percentile
 
 

@@ -16,10 +16,13 @@ from . import ranks
 from .outlines import near_outlines
 from .spatial import near_points
 
-NEAR_M = float(max(C.RADIUS_M.values()))
+def near_m() -> float:
+    """The largest short radius."""
+    return float(max(C.RADIUS_M.values()))
 
 
-def pairs(hotels: DataFrame, pois: DataFrame, radius: float = NEAR_M) -> DataFrame:
+def pairs(hotels: DataFrame, pois: DataFrame, radius: float | None = None) -> DataFrame:
+    radius = radius or near_m()
     h = hotels.select("city_id", "id", "x", "y")
     return near_points(h, pois.select("city_id", "poi_id", F.col("name").alias("poi_name"), "leaf", "hierarchy", "x", "y"), radius)
 
@@ -139,7 +142,7 @@ def counted_pairs(hotels: DataFrame, pois: DataFrame) -> DataFrame:
     place = lambda values: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col("leaf")), F.lit(0))
     flags = sum((F.when(scoring.of_kind(d, F.col("leaf"), F.col("hierarchy")), 1 << i).otherwise(0) for i, d in enumerate(dims)), F.lit(0))
     p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(C.CATEGORIES["food_essentials"]).cast("int").alias("food"), place(C.CATEGORIES["transit_access"]).cast("int").alias("mode"))
-    return near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), NEAR_M)
+    return near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), near_m())
 
 
 def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ all its cities in one plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .config import City, builtin, check_weights
-from .functions import geo, scoring, text
+from .config import City, check_disjoint, check_weights, load
+from .functions import geo, scoring, termrules, text
 from .operators import dedupe, dimensions, export, publication, quality, ranking
 from .sources import readers, sinks
 from .storage import drop, stash
@@ -25,16 +25,26 @@ class Engine:
     root: str
     release: str
     cities: dict[str, City]
+    rules: dict[str, termrules.RuleSet] = field(default_factory=dict)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, release: str, cities: str = "all") -> Engine:
+    def open(cls, spark: SparkSession, root: str, release: str, cities: str = "all", *, city_file: str | None = None, institutions: str | None = None, brands: str | None = None) -> Engine:
+        """city_file, institutions and brands are files in place of what is built in; weights and taxonomies are set by ``config.using``."""
         check_weights()
-        known = builtin()
+        check_disjoint()
+        known = load(city_file)
+        files = {n: termrules.load(p) for n, p in (("institutions", institutions), ("brands", brands)) if p}
         wanted = list(known) if cities == "all" else [c.strip() for c in cities.split(",")]
         unknown = [c for c in wanted if c not in known]
         if unknown:
             raise ValueError(f"unknown city: {', '.join(unknown)}")
-        return cls(spark, root.rstrip("/"), release, {c: known[c] for c in wanted})
+        return cls(spark, root.rstrip("/"), release, {c: known[c] for c in wanted}, files)
+
+    def evidence(self, hotels: DataFrame) -> DataFrame:
+        """hotels with an array ``evidence`` of what the rule files of this engine say against their names."""
+        form, found = text.rule_form(F.coalesce("name", F.lit(""))), [termrules.evidence(self.spark, r, F.col("__form"), F.col("id")) for r in self.rules.values()]
+        none = F.array().cast(termrules.EVIDENCE)
+        return hotels.withColumn("__form", form).withColumn("evidence", F.concat(none, *found)).drop("__form")
 
     def path(self, table: str) -> str:
         return f"{self.root}/etl/{self.release}/{table}"
@@ -47,6 +57,10 @@ class Engine:
         """Source tables -> hotels, pois, segments, green, and the counts of each."""
         source = {k: readers.read_table(self.spark, f"{self.root}/source/{k}", k) for k in readers.REQUIRED}
         raw = readers.extract_hotels(source["place"], self.cities)
+        if self.rules:
+            judged = stash(self.evidence(raw), "judged")
+            raw = judged.where(F.size("evidence") == 0).drop("evidence")
+            sinks.write_parquet(judged.where(F.size("evidence") > 0).select("id", "city_id", "name", "evidence"), self.path("withheld"), None)
         raw = raw.withColumn("form", text.dedupe_form(F.col("name")))
         kept = dedupe.canonical(dedupe.clusters(raw, dedupe.candidate_pairs(raw)))
         hotels = raw.drop("form").join(kept.select("id", "dedupe_confidence", "dedupe_method", "merged_from"), "id")

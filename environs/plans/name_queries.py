@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import rules
-from ..functions import scoring, text
+from ..functions import scoring, termrules, text
 from ..sources.atlas import Atlas
 from .dimension_queries import FACTS_SQL, names
 from .registry import query
@@ -282,3 +282,23 @@ def json_prune(a: Atlas) -> DataFrame:
     k = F.col("key")
     tags = F.array_compact(F.array(F.lit("a"), F.when(k % 2 == 0, "b"), F.when(k % 3 == 0, "c")))
     return a.hotels.select("id", F.array_sort(F.filter(tags, lambda t: t != "c")).alias("kept"), F.arrays_overlap(tags, F.array(F.lit("c"))).alias("overlaps"))
+
+
+_TERMS = """terms as (select distinct 'name' as reason, case when length(p_name) % 2 = 0 then 'word' else 'full' end as match, p_name as term from part
+    union select distinct 'thing', 'substring', regexp_extract(p_name, '[a-z]+$') from part union select distinct 'kind', 'word', lower(p_type) from part),
+  named as (select 2 * p_partkey as key, lower(p_type) || ' ' || p_name || case when p_partkey % 3 = 0 then 's' else '' end as form from part union all select 2 * p_partkey + 1, p_name from part),
+  places as (select key, reason, match, term, case match when 'full' then case when form = term then 1 end when 'word' then nullif(strpos(' ' || form || ' ', ' ' || term || ' '), 0) else nullif(strpos(form, term), 0) end as place from named, terms),
+  firsts as (select * from places where place is not null qualify row_number() over (partition by key, reason, match order by place, term) = 1)"""
+
+
+@query("select n.key, coalesce(string_agg(reason || ':' || match || ':' || term, ',' order by reason, match), '') as evidence from named n left join firsts using (key) group by n.key", _TERMS)
+def table_rules(a: Atlas) -> DataFrame:
+    """Rules whose terms come from a table, all looked up in one pass over each name."""
+    part = a.table("part")
+    terms = part.select(F.lit("name").alias("reason"), F.when(F.length("p_name") % 2 == 0, "word").otherwise("full").alias("match"), F.col("p_name").alias("term"))
+    terms = terms.union(part.select(F.lit("thing"), F.lit("substring"), F.regexp_extract("p_name", "[a-z]+$", 0))).union(part.select(F.lit("kind"), F.lit("word"), F.lower("p_type")))
+    found = termrules.from_frame(terms.select("reason", F.col("match").alias("language"), "match", "term"))
+    name = F.concat(F.lower("p_type"), F.lit(" "), "p_name", F.when(F.col("p_partkey") % 3 == 0, "s").otherwise(""))
+    named = part.select((2 * F.col("p_partkey")).alias("key"), name.alias("name")).union(part.select(2 * F.col("p_partkey") + 1, "p_name"))
+    hits = termrules.evidence(a.spark, found, text.rule_form(F.col("name")))
+    return named.select("key", F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h.reason, h.language, h.term)), ",").alias("evidence"))
