@@ -21,7 +21,7 @@ ORIGIN_X, ORIGIN_Y = 0.318309886, 0.141592653
 LEAST_SIZE, MARGIN = 250.0, 1e-6
 
 
-def _cell(v: Column, origin: float, size: float) -> Column:
+def _cell(v: Column, origin: float, size: float | Column) -> Column:
     return F.floor((v - F.lit(origin)) / F.lit(size))
 
 
@@ -42,7 +42,7 @@ def _at_side(x: Column) -> Column:
     return F.col("ay") + (x - F.col("ax")) / F.when(F.col("bx") == F.col("ax"), F.lit(1.0)).otherwise(F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay"))
 
 
-def edge_cells(edges: DataFrame, radius: float, size: float) -> DataFrame:
+def edge_cells(edges: DataFrame, radius: float, size: float | Column) -> DataFrame:
     """edges with gx, gy: a row for each cell that comes within the radius. Column by column, so that a long edge keeps to cells along it."""
     r = F.lit(radius + MARGIN)
     x1, x2 = F.least("ax", "bx") - r, F.greatest("ax", "bx") + r

@@ -12,7 +12,8 @@ from ..operators import dimensions as D
 from ..operators import ranks
 from ..operators.outlines import near_outlines
 from ..operators.spatial import near_within, nearest
-from ..sources.atlas import OUTLINE_EDGES, Atlas, number
+from ..operators.validity import polygon_problems
+from ..sources.atlas import DRAWN_VERTICES, OUTLINE_EDGES, Atlas, number
 from .registry import query
 
 
@@ -308,9 +309,38 @@ def wkt_envelope(a: Atlas) -> DataFrame:
     return a.segments.select("segment_id", *[F.round(e[c], 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
-@query("select green_id, true as plausible from green")
+def _sides(q: str, r: str) -> list[str]:
+    return [f"sign(({q}.bx - {q}.ax) * ({r}.{e}y - {q}.ay) - ({q}.by - {q}.ay) * ({r}.{e}x - {q}.ax))" for e in "ab"]
+
+
+(_S1, _S2), (_S3, _S4) = _sides("p", "q"), _sides("q", "p")
+_OVER = [f"least(greatest(p.a{c}, p.b{c}), greatest(q.a{c}, q.b{c})) - greatest(least(p.a{c}, p.b{c}), least(q.a{c}, q.b{c}))" for c in "xy"]
+VALID_SQL = DRAWN_VERTICES + f""", de as (select a.shape_id, a.part, a.ring, a.i, a.x as ax, a.y as ay, b.x as bx, b.y as by from dv a join dv b on a.shape_id = b.shape_id and a.part = b.part and a.ring = b.ring and b.i = a.i + 1),
+  crossing as (select distinct p.shape_id from de p join de q on p.shape_id = q.shape_id and (p.part, p.ring, p.i) < (q.part, q.ring, q.i)
+    where {_S1} * {_S2} < 0 and {_S3} * {_S4} < 0 or {_S1} = 0 and {_S2} = 0 and greatest({_OVER[0]}, {_OVER[1]}) > 0 and least({_OVER[0]}, {_OVER[1]}) >= 0),
+  mid as (select shape_id, part, ring, (de.ax + de.bx) / 2 as x, (de.ay + de.by) / 2 as y from de where i = 0),
+  inn as (select m.shape_id, m.part, m.ring, e.part as part2, e.ring as ring2 from mid m join de e on m.shape_id = e.shape_id and (m.part, m.ring) <> (e.part, e.ring) and (e.ay > m.y) <> (e.by > m.y)
+    and m.x < e.ax + (m.y - e.ay) / (e.by - e.ay) * (e.bx - e.ax) group by all having count(*) % 2 = 1),
+  rg as (select shape_id, part, ring, any_value(n) as n, count(distinct (x, y)) < any_value(n) and arg_min((x, y), i) = arg_max((x, y), i) as closed from dv group by all),
+  nest as (select distinct i.shape_id from inn i where i.part = i.part2 and i.ring > 0 and i.ring2 > 0 or i.part <> i.part2 and i.ring = 0 and i.ring2 = 0
+    and not exists (select 1 from inn j where j.shape_id = i.shape_id and j.part = i.part and j.ring = i.ring and j.part2 = i.part2 and j.ring2 > 0))"""
+
+
+@query(
+    """select shape_id, case when min(n) < 4 then 'too few points' when not bool_and(closed) then 'ring not closed' when shape_id in (select shape_id from crossing) then 'rings cross'
+    when count(*) filter (where ring > 0 and not exists (select 1 from inn i where i.shape_id = rg.shape_id and i.part = rg.part and i.ring = rg.ring and i.part2 = rg.part and i.ring2 = 0)) > 0 then 'hole outside its shell'
+    when shape_id in (select shape_id from nest) then 'rings nest' end as problem from rg group by shape_id""",
+    VALID_SQL,
+)
 def polygon_validity(a: Atlas) -> DataFrame:
-    return a.green.select("green_id", geo.plausible(F.col("wkt")).alias("plausible"))
+    """What is wrong with a polygon, if anything; valid and invalid ones occur."""
+    return polygon_problems(a.drawn, "shape_id")
+
+
+@query("select green_id, cast(null as varchar) as problem from green")
+def green_validity(a: Atlas) -> DataFrame:
+    """All rectangles are valid."""
+    return polygon_problems(a.green, "green_id")
 
 
 _HAV = "2 * 6371000.0::double * asin(least(1.0::double, sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2))))"

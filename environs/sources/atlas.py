@@ -30,6 +30,21 @@ NAMES = [
 ]
 WORDS = ["Aurora", "Bellevue", "Canal", "Dolphin", "Esplanade", "Falcon", "Garden", "Harbour", "Ivory", "Jade", "Kestrel"]
 GREEN_KINDS = [("park", "park"), ("protected", "nature_reserve"), ("recreation", "playground"), ("recreation", "pitch"), ("managed", "grass"), ("forest", "wood"), ("sand", "beach"), ("entertainment", "zoo"), ("horticulture", "garden"), ("grass", "meadow")]
+#: Rings of the drawn polygons, in units of their half-widths: (part, ring, points), and whether the shape is one MULTIPOLYGON.
+_BOX, _SMALL = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)], lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]
+DRAWN = [
+    [(0, 0, _BOX)],
+    [(0, 0, _BOX), (0, 1, _SMALL(-0.5, -0.5, 0.25)), (0, 2, _SMALL(0.5, 0.5, 0.25))],
+    [(0, 0, [(-1, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)])],
+    [(0, 0, _BOX), (0, 1, _SMALL(3, 0, 0.5))],
+    [(0, 0, _BOX), (0, 1, _SMALL(1, 0, 0.5))],
+    [(0, 0, _BOX), (0, 1, _SMALL(0, 0, 0.75)), (0, 2, _SMALL(0, 0, 0.25))],
+    [(0, 0, _BOX), (1, 0, _SMALL(0, 0, 0.5))],
+    [(0, 0, _BOX), (0, 1, _SMALL(0, 0, 0.75)), (1, 0, _SMALL(0, 0, 0.5)), (2, 0, _SMALL(4, 4, 1))],
+    [(0, 0, _BOX[:-1])],
+    [(0, 0, [(-1, -1), (1, -1), (-1, -1)])],
+    [(0, 0, [(-1, -1), (1, -1), (1, 1), (0, 1), (0, 3), (0, 1), (-1, 1), (-1, -1)])],
+]
 #: Vertices of an outline.
 VERTICES = 1000
 ROAD_KINDS = [("road", "motorway"), ("road", "primary"), ("road", "residential"), ("rail", "standard_gauge"), ("road", "trunk"), ("road", "service")]
@@ -154,6 +169,26 @@ class Atlas:
         d = d.select("city_id", "center_lon", "metres_x", k.alias("key"), F.explode(texts).alias("s"))
         return d.select("city_id", "center_lon", "metres_x", F.concat_ws("-", "s.shape", F.col("key").cast("string")).alias("outline_id"), "key", "s.shape", "s.wkt")
 
+    @cached_property
+    def drawn(self) -> DataFrame:
+        """Polygons of every kind of DRAWN around the suppliers, valid and invalid ones, as WKT in degrees."""
+        k = F.col("s_suppkey")
+        d = self._placed(self.table("supplier").withColumn("city_key", (k % 5).cast("int")), k, (3571, 52361), (29, 311))
+        w, h = (F.lit(20) + (k * 7) % 180) / F.lit(1e5), (F.lit(15) + (k * 11) % 120) / F.lit(1e5)
+
+        def ring(points: list[tuple]) -> Column:
+            at = [F.concat_ws(" ", (F.col("lon") + w * float(u)).cast("string"), (F.col("lat") + h * float(v)).cast("string")) for u, v in points]
+            return F.concat(F.lit("("), F.concat_ws(", ", *at), F.lit(")"))
+
+        def text(rings: list[tuple]) -> Column:
+            parts = sorted({p for p, _, _ in rings})
+            polygons = [F.concat(F.lit("("), F.concat_ws(", ", *[ring(points) for q, _, points in rings if q == p]), F.lit(")")) for p in parts]
+            return F.concat(F.lit("POLYGON "), polygons[0]) if len(parts) == 1 else F.concat(F.lit("MULTIPOLYGON ("), F.concat_ws(", ", *polygons), F.lit(")"))
+
+        kind = k % len(DRAWN)
+        wkt = F.coalesce(*[F.when(kind == i, text(r)) for i, r in enumerate(DRAWN)])
+        return d.select(F.concat(F.lit("d"), k.cast("string")).alias("shape_id"), wkt.alias("wkt"))
+
 
 def number(x: float) -> str:
     """A double in SQL, read from text so that no decimal type comes between."""
@@ -217,6 +252,11 @@ line as (select city_id, key, i, (lon + (i - {VERTICES // 2}) * 3 / 1e5 - clon)
 ring_edges as (select a.city_id, 'ring-' || a.key as outline_id, a.x as ax, a.y as ay, b.x as bx, b.y as by from ring a join ring b on a.key = b.key and b.i = (a.i + 1) % {VERTICES}),
 line_edges as (select a.city_id, 'line-' || a.key as outline_id, a.x as ax, a.y as ay, b.x as bx, b.y as by from line a join line b on a.key = b.key and b.i = a.i + 1)"""
 
+#: Vertices of the drawn polygons: shape_id, part, ring, i, n, x, y.
+DRAWN_VERTICES = f"""tpl(kind, part, ring, i, n, u, v) as (values {", ".join(f"({k}, {p}, {r}, {i}, {len(points)}, {number(float(u))}, {number(float(v))})" for k, rings in enumerate(DRAWN) for p, r, points in rings for i, (u, v) in enumerate(points))}),
+dv as (select 'd' || s_suppkey as shape_id, part, ring, i, n, lon + w * u as x, lat + h * v as y from (
+  select s_suppkey, {_place("s_suppkey", (3571, 52361), (29, 311))}, (20 + (s_suppkey * 7) % 180) / 1e5 as w, (15 + (s_suppkey * 11) % 120) / 1e5 as h from supplier join city on city_key = s_suppkey % 5) join tpl on kind = s_suppkey % {len(DRAWN)})"""
+
 
 def over_atlas(query: str, more: str = "") -> str:
     """A SQL query over the atlas; more holds further CTEs."""
