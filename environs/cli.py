@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     release = readers.local_release(folders(spark, f"{a.root}/etl") + folders(spark, f"{a.root}/release"), a.release)
     values = [f(p) for f, p in ((config.weights_file, a.weights), (config.taxonomy_file, a.taxonomy)) if p]
     with config.using(*values):
-        engine = Engine.open(spark, a.root, release, a.city, city_file=a.cities, institutions=a.institutions, brands=a.brands)
+        engine = Engine.open(spark, a.root, release, a.city, city_file=a.cities, institutions=a.institutions, brands=a.brands, more=(a.weights, a.taxonomy))
         for c in COMMANDS if a.command == "all" else [a.command]:
             out = engine.diff(a.against) if c == "diff" else getattr(engine, c)()
             print(f"{c}: {out if isinstance(out, (dict, int)) else 'done'}")

@@ -98,7 +98,61 @@ def _kana() -> dict[str, str]:
 
 _CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", ["a", "b", "v", "g", "d", "e", "e", "zh", "z", "i", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "kh", "ts", "ch", "sh", "shch", "", "y", "", "e", "yu", "ya"]))
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", ["a", "v", "g", "d", "e", "z", "i", "th", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "s", "t", "y", "f", "ch", "ps", "o"]))
-_LETTERS = _kana() | _CYRILLIC | _GREEK
+
+
+def _syllables() -> dict[str, str]:
+    """Kana of several signs: a sign of the i-row with a small y-sign, and loan sounds with a small vowel."""
+    one, out = _kana(), {}
+    for c, v in list(one.items()):
+        if v.endswith("i") and len(v) > 1 and not ("\u30a0" <= c <= "\u30ff"):
+            stem = v[:-1]
+            for small, vowel in zip("ゃゅょ", "auo"):
+                out[c + small] = stem + vowel if stem in ("sh", "ch", "j") else f"{stem}y{vowel}"
+    for c, stem in {"ふ": "f", "て": "t", "で": "d", "う": "w"}.items():
+        out |= {c + small: stem + vowel for small, vowel in zip("ぁぃぇぉ", "aieo")}
+    out |= {"しぇ": "she", "じぇ": "je", "ちぇ": "che", "てゅ": "tyu", "でゅ": "dyu", "とぅ": "tu", "どぅ": "du"}
+    out |= {"".join(chr(ord(x) + 0x60) for x in c): v for c, v in out.items()}
+    out |= {"ヴ" + small: "v" + vowel for small, vowel in zip("ァィェォ", "aieo")}
+    whole = one | out
+    # a small tsu doubles the consonant that follows
+    for c, v in whole.items():
+        if v and v[0] not in "aiueo" and c not in "んン":
+            out[("っ" if c[0] < "\u30a0" else "ッ") + c] = ("t" if v.startswith("ch") else v[0]) + v
+    return out
+
+
+#: Greek letters that are read together; a voiced pair at a word's beginning is one sound.
+_GREEK_PAIRS = {"ου": "ou", "αι": "ai", "ει": "ei", "οι": "oi", "αυ": "af", "ευ": "ef", "γγ": "ng", "γκ": "gk", "γχ": "nch", "μπ": "mp", "ντ": "nt", "τσ": "ts", "τζ": "tz", "θ": "th"}
+_GREEK_PAIRS |= {a + c: r + "v" + s for a, r in (("αυ", "a"), ("ευ", "e")) for c, s in zip("αεηιοωβγδζλμνρ", ["a", "e", "i", "i", "o", "o", "v", "g", "d", "z", "l", "m", "n", "r"])}
+_GREEK_FIRST = {"μπ": "b", "ντ": "d", "γκ": "g"}
+_LETTERS = _kana() | _CYRILLIC | _GREEK | _syllables() | _GREEK_PAIRS
+
+
+def _trie() -> dict:
+    """_LETTERS by their signs: each node has its branches, and under "" the reading of what leads there."""
+    root: dict = {}
+    for signs, reading in _LETTERS.items():
+        node = root
+        for c in signs:
+            node = node.setdefault(c, {})
+        node[""] = reading
+    return root
+
+
+_TRIE = _trie()
+
+
+def longest_reading(s: str, at: int) -> tuple[int, str] | None:
+    """How many signs from a place on have a common reading, as many as possible, and the reading."""
+    node, best, k = _TRIE, None, at
+    while k < len(s) and s[k] in node:
+        node = node[s[k]]
+        k += 1
+        if "" in node:
+            best = (k - at, node[""])
+    return best
+
+
 _LEADS, _VOWELS, _TAILS = (
     "g kk n d tt r m b pp s ss - j jj ch k t p h".split(),
     "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(),
@@ -106,26 +160,42 @@ _LEADS, _VOWELS, _TAILS = (
 )
 
 
+def _bare(ch: str) -> str:
+    """A letter without its marks, unless the letter itself has a reading or is a syllable of Hangul."""
+    return ch if ch.lower() in _TRIE or 0xAC00 <= ord(ch) <= 0xD7A3 else unicodedata.normalize("NFD", ch)[0]
+
+
 def romanised(s: str | None) -> str | None:
-    """Letter by letter, for kana, Cyrillic, Greek and Hangul; None if a letter has no reading. An approximation of our own."""
+    """Kana, Cyrillic, Greek and Hangul in Latin letters, the longest known group of signs first; None if a letter has no reading.
+
+    Kana: contracted sounds, doubled consonants, long vowels by a second vowel. Greek: pairs of letters. An approximation of our own.
+    """
     if s is None:
         return None
-    out = []
-    for ch in unicodedata.normalize("NFC", s):
-        base = unicodedata.normalize("NFD", ch)[0] if ch not in _LETTERS and ch.lower() not in _LETTERS and not 0xAC00 <= ord(ch) <= 0xD7A3 else ch
+    signs = "".join(map(_bare, unicodedata.normalize("NFC", s)))
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in signs)
+    out: list[str] = []
+    i = 0
+    while i < len(signs):
+        ch, n = signs[i], 1
         if 0xAC00 <= ord(ch) <= 0xD7A3:
             k = ord(ch) - 0xAC00
             got = "".join((_LEADS[k // 588], _VOWELS[k % 588 // 28], _TAILS[k % 28])).replace("-", "")
-        elif base.lower() in _LETTERS:
-            got = _LETTERS[base.lower()]
-            got = got.capitalize() if base != base.lower() else got
+        elif ch == "ー":
+            before = out[-1][-1:] if out else ""
+            got = before if before in tuple("aiueo") else ""
+        elif low[i : i + 2] in _GREEK_FIRST and (i == 0 or not low[i - 1].isalpha()):
+            n, got = 2, _GREEK_FIRST[low[i : i + 2]]
+            got = got.capitalize() if ch != low[i] else got
+        elif found := longest_reading(low, i):
+            n, got = found
+            got = got.capitalize() if ch != low[i] else got
         elif ch.isascii() or not ch.isalpha():
             got = ch
-        elif base.isascii():
-            got = base
         else:
             return None
         out.append(got)
+        i += n
     return "".join(out)
 
 

@@ -7,6 +7,7 @@ all its cities in one plan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ class Engine:
     release: str
     cities: dict[str, City]
     rules: dict[str, termrules.RuleSet] = field(default_factory=dict)
+    #: Files whose bytes decide results: their digests are kept beside those of the source.
+    files: list[str] = field(default_factory=list)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, release: str, cities: str = "all", *, city_file: str | None = None, institutions: str | None = None, brands: str | None = None) -> Engine:
+    def open(cls, spark: SparkSession, root: str, release: str, cities: str = "all", *, city_file: str | None = None, institutions: str | None = None, brands: str | None = None, more: tuple = ()) -> Engine:
         """city_file, institutions and brands are files in place of what is built in; weights and taxonomies are set by ``config.using``."""
         check_weights()
         check_disjoint()
@@ -38,7 +41,7 @@ class Engine:
         unknown = [c for c in wanted if c not in known]
         if unknown:
             raise ValueError(f"unknown city: {', '.join(unknown)}")
-        return cls(spark, root.rstrip("/"), release, {c: known[c] for c in wanted}, files)
+        return cls(spark, root.rstrip("/"), release, {c: known[c] for c in wanted}, files, [p for p in (city_file, institutions, brands, *more) if p])
 
     def evidence(self, hotels: DataFrame) -> DataFrame:
         """hotels with an array ``evidence`` of what the rule files of this engine say against their names."""
@@ -72,11 +75,15 @@ class Engine:
             "green": readers.extract_green(source["land_use"], source["land"], self.cities),
             "segments": readers.extract_segments(source["segment"], self.cities),
         }
+        counts, merged = {}, {"merged": F.sum(F.size("merged_from"))}
         for name, df in tables.items():
-            sinks.write_parquet(df, self.path(name))
-        sinks.write_parquet(readers.excluded_hotels(source["place"], self.cities), self.path("excluded"), None)  # there may be none
-        counts = {name: self.table(name).count() for name in [*tables, "excluded"]}
-        counts["merged"] = self.table("hotels").agg(F.sum(F.size("merged_from"))).first()[0] or 0
+            found = sinks.write_parquet(df, self.path(name), **(merged if name == "hotels" else {}))
+            counts |= {name: found["rows"]} | {k: v for k, v in found.items() if k != "rows"}
+        counts["excluded"] = sinks.write_parquet(readers.excluded_hotels(source["place"], self.cities), self.path("excluded"), None)["rows"]  # there may be none
+        sizes = [sinks.file_sizes(self.table(name)).select("city_id", F.lit(name).alias("tbl"), "files", "bytes") for name in tables if counts[name]]
+        if sizes:
+            sinks.write_parquet(reduce(DataFrame.union, sizes), self.path("sizes"), None)
+        sinks.write_parquet(readers.digests(self.spark, *[f"{self.root}/source/{k}" for k in readers.REQUIRED], *self.files), self.path("inputs"), None)
         names = [r.name for r in self.table("excluded").orderBy("name", "id").limit(50).collect()]
         sinks.write_manifest(self.spark, counts | {"excluded_names": names, "release": self.release}, f"{self.path('manifest')}.json")
         return counts

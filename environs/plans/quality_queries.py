@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scoring, text
-from ..operators import dedupe, matching, publication, quality, ranking, ranks, statistics
+from ..operators import anchors, dedupe, matching, publication, quality, ranking, ranks, statistics
 from ..sources.atlas import Atlas
 from .dimension_queries import FACTS_SQL, pairs_sql
 from .name_queries import ACCOMMODATION_SQL, FOLD, scores_sql, table_scores
@@ -102,6 +102,22 @@ def dedupe_canonical(a: Atlas) -> DataFrame:
     return d.select("city_id", "id", "dedupe_confidence", "dedupe_method", F.array_join("merged_from", ",").alias("merged"))
 
 
+CHAINS_SQL = """ch as (select key, 'c' || lpad(key::varchar, 8, '0') as id, 'chain ' || key // 5 as form, 40 + (key // 5 % 400) * 0.05::double + (key % 5) * 0.00013::double as lat, (key // 5 // 400) * 0.05::double as lon from hotels),
+  cp as (select a.id as a, b.id as b from ch a join ch b on a.form = b.form and a.id < b.id
+    and 2 * 6371000.0::double * asin(least(1.0::double, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 25),
+  reach(id, to_id) as (select id, id from ch union select r.id, case when p.a = r.to_id then p.b else p.a end from reach r join cp p on r.to_id in (p.a, p.b))"""
+
+
+@query("select id, min(to_id) as cluster from reach group by id", CHAINS_SQL)
+def dedupe_chains(a: Atlas) -> DataFrame:
+    """Records in a row, each near its neighbours only: a chain is one cluster, by links over several records."""
+    k = F.col("key")
+    row = F.floor(k / 5)
+    d = a.hotels.select(F.lit("one").alias("city_id"), F.concat(F.lit("c"), F.lpad(k.cast("string"), 8, "0")).alias("id"), F.concat(F.lit("chain "), row.cast("string")).alias("form"), F.lit("hotel").alias("leaf"),
+                        (F.lit(40) + (row % 400) * F.lit(0.05) + (k % 5) * F.lit(0.00013)).alias("lat"), (F.floor(row / 400) * F.lit(0.05)).alias("lon"))
+    return dedupe.clusters(d, dedupe.candidate_pairs(d)).select("id", "cluster")
+
+
 _SIM = "case when greatest(length(l.form), length(r.form)) > 0 then 1.0::double - levenshtein(l.form, r.form) / greatest(length(l.form), length(r.form))::double else 0.0::double end"
 MATCH_SQL = f"""lft as (select city_id, id, {_FORM} as form, brand_name as brand, x, y from hotels),
   rgt as (select city_id, id as other, {_FORM} as form, brand_name as brand, x + 40 + key % 4 * 70 as x, y + 30 as y from hotels),
@@ -458,3 +474,38 @@ def export_status(a: Atlas) -> DataFrame:
 def blind_projection(a: Atlas) -> DataFrame:
     """What a labeller may see: identity only, no score."""
     return table_scores(a).select("id", "name", "city_id", "lat", "lon", "address_country")
+
+
+# anchors ----------------------------------------------------------------------------------------------------------
+
+_FLOOR = "case class " + " ".join(f"when '{c}' then {f.least_area_m2 or 0}" for f in anchors.FAMILIES.values() for c in f.classes) + " end"
+_NEAR_M = "case class " + " ".join(f"when '{c}' then {f.radius_m}" for f in anchors.FAMILIES.values() for c in f.classes) + " end"
+_FAMILY = "case class " + " ".join(f"when '{c}' then '{n}'" for n, f in anchors.FAMILIES.items() for c in f.classes) + " end"
+ANCHOR_SQL = scores_sql("sc") + f""", cand as (select *, {_FAMILY} as family, (x2 - x1) * (y2 - y1) as area, {_FLOOR} as least, {_NEAR_M} as radius from green where {_FAMILY} is not null),
+  am as (select * from (select h.city_id, h.id, g.green_id, g.family, g.area, g.radius, sqrt(pow(greatest(g.x1 - h.x, 0, h.x - g.x2), 2) + pow(greatest(g.y1 - h.y, 0, h.y - g.y2), 2)) as d
+    from hotels h join cand g using (city_id) where g.area >= g.least) where d <= radius)"""
+
+
+def _anchored(a: Atlas) -> DataFrame:
+    return anchors.matches(a.hotels, a.green, "green_id")
+
+
+@query("select city_id, family, count(*) as polygons, count(*) filter (where area >= least) as above_floor, coalesce(any_value(n), 0)::bigint as hotels from cand left join (select city_id, family, count(distinct id) as n from am group by all) using (city_id, family) group by all", ANCHOR_SQL)
+def anchor_families(a: Atlas) -> DataFrame:
+    """Outlines of each family of anchors, those that are large enough, and the hotels near them."""
+    return anchors.by_family(a.hotels, a.green, _anchored(a), "green_id")
+
+
+@query(
+    """select city_id, count(*) as total, count(*) filter (where walkability_density <= 55) as isolated, count(*) filter (where id in (select id from am)) as anchored,
+    count(*) filter (where walkability_density <= 55 and id in (select id from am)) as isolated_anchored, count(*) filter (where walkability_density <= 55 and id not in (select id from am)) as isolated_alone from sc group by city_id""",
+    ANCHOR_SQL,
+)
+def anchor_counts(a: Atlas) -> DataFrame:
+    return anchors.by_city(table_scores(a), _anchored(a))
+
+
+@query("select sc.id, walkability_density, family, green_id, round(area, 3) as area, round(d, 4) as d from sc join am on sc.id = am.id where walkability_density <= 55 qualify row_number() over (partition by sc.id order by d, green_id) = 1", ANCHOR_SQL)
+def anchor_nearest(a: Atlas) -> DataFrame:
+    """The nearest anchor of each isolated hotel."""
+    return anchors.nearest_anchor(table_scores(a), _anchored(a), "green_id").withColumn("area", F.round("area", 3)).withColumn("d", F.round("d", 4))

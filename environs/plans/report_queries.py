@@ -259,11 +259,22 @@ def rect_estimate(a: Atlas) -> DataFrame:
     return g.select("green_id", F.round(d, 4).alias("estimate_m"), F.round(area, 3).alias("estimate_m2"))
 
 
-@query("select city_id, radius, round(radius * 1.3::double / 111320.0::double, 9) as dlat, round(radius * 1.3::double / 111320.0::double / greatest(cos(radians(clat)), 0.01::double), 9) as dlon from city, (select unnest([400.0, 800.0, 5000.0])::double as radius)")
+_MARGIN = "800 * 1.3::double / 111320.0::double"
+
+
+@query(f"select h.city_id, count(*) as n_pairs, count(distinct p.poi_id) as n_pois, round(sum(abs(p.lon - h.lon)), 6) as wide from hotels h join pois p on h.city_id = p.city_id and abs(p.lat - h.lat) <= {_MARGIN} and abs(p.lon - h.lon) <= {_MARGIN} / greatest(cos(radians(h.clat)), 0.01::double) group by h.city_id")
 def degree_margin(a: Atlas) -> DataFrame:
-    radii = F.explode(F.array(*[F.lit(r) for r in (400.0, 800.0, 5000.0)])).alias("radius")
-    d = a.cities.select("city_id", "center_lat", radii).withColumn("m", geo.margin(F.col("radius"), F.col("center_lat")))
-    return d.select("city_id", "radius", F.round("m.dlat", 9).alias("dlat"), F.round("m.dlon", 9).alias("dlon"))
+    """Pairs of hotels and points within the margin that encloses 800 m for certain, by cells of the margin's size."""
+    m = geo.margin(F.lit(800.0), F.col("center_lat"))
+    h = a.hotels.select("city_id", "lon", "lat", m.alias("m")).select("city_id", "lon", "lat", "m.dlon", "m.dlat")
+    side = a.cities.select("city_id", m.alias("m"))
+    p = a.pois.select("city_id", "poi_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).join(F.broadcast(side), "city_id")
+    gx, gy = F.floor(F.col("lon2") / F.col("m.dlon")), F.floor(F.col("lat2") / F.col("m.dlat"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    h = h.withColumn("s", F.explode(steps)).withColumn("gx", F.floor(F.col("lon") / F.col("dlon")) + F.col("s.i")).withColumn("gy", F.floor(F.col("lat") / F.col("dlat")) + F.col("s.j"))
+    met = h.join(p.select("city_id", "poi_id", "lon2", "lat2", gx.alias("gx"), gy.alias("gy")), ["city_id", "gx", "gy"])
+    met = met.where((F.abs(F.col("lon2") - F.col("lon")) <= F.col("dlon")) & (F.abs(F.col("lat2") - F.col("lat")) <= F.col("dlat")))
+    return met.groupBy("city_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("poi_id").alias("n_pois"), F.round(F.sum(F.abs(F.col("lon2") - F.col("lon"))), 6).alias("wide"))
 
 
 @query("select city_id, tbl, n, n * width as estimated_bytes from (" + " union all ".join(f"select city_id, '{t}' as tbl, count(*) as n, {w} as width from {t} group by 1" for t, w in (("hotels", 400), ("pois", 120), ("green", 300), ("segments", 200))) + ")")

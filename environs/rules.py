@@ -68,4 +68,4 @@ BRANDS = [("selina", "word", ["selina"]), ("sonder", "word", ["sonder"]), ("blue
 PROPERTY_PREFIX = ["villa", "casa", "hotel"]
 
 #: Versions of the rules above and of how names are shown; a change of either changes results.
-ACCOMMODATION_VERSION, NAME_VERSION = "1.0.0", "1.0.0-tables"
+ACCOMMODATION_VERSION, NAME_VERSION = "1.0.0", "1.1.0-tables"

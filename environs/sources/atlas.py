@@ -260,6 +260,6 @@ dv as (select 'd' || s_suppkey as shape_id, part, ring, i, n, lon + w * u as x,
 
 def over_atlas(query: str, more: str = "") -> str:
     """A SQL query over the atlas; more holds further CTEs."""
-    return f"with {CTES}{', ' + more if more else ''} {query}"
+    return f"with recursive {CTES}{', ' + more if more else ''} {query}"
 
 

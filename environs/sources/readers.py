@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +73,31 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_listed(spark: SparkSession, manifest: DataFrame, city: City, limit: int = 100_000) -> DataFrame:
-    """The Parquet files of manifest(path, minx, miny, maxx, maxy) whose boxes meet the city's. Other files aren't opened."""
+    """The Parquet files of manifest(path, minx, miny, maxx, maxy) whose boxes meet the city's. Other files aren't opened.
+
+    Paths are named to the reader ``limit`` at a time; however many there are, all are read.
+    """
     box = [F.lit(v) for v in city.box]
-    rows = manifest.where(geo.boxes_overlap([F.col(c) for c in ("minx", "miny", "maxx", "maxy")], box)).select("path").orderBy("path").limit(limit + 1).collect()
-    if not rows:
+    rows = manifest.where(geo.boxes_overlap([F.col(c) for c in ("minx", "miny", "maxx", "maxy")], box)).select("path").orderBy("path").toLocalIterator()
+    parts = []
+    while paths := [r.path for r in islice(rows, limit)]:
+        parts.append(spark.read.parquet(*paths))
+    if not parts:
         raise SchemaError(f"no file of the manifest meets {city.id}")
-    if len(rows) > limit:
-        raise SchemaError(f"more than {limit} files meet {city.id}: read the folder instead")
-    return spark.read.parquet(*[r.path for r in rows])
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Files beyond this are listed by size and time only: a digest needs a file's bytes as one value.
+DIGEST_BYTES = 256 << 20
+
+
+def digests(spark: SparkSession, *paths: str, most: int = DIGEST_BYTES) -> DataFrame:
+    """path, bytes, modified, sha256 of the files in folders and paths: of the bytes themselves. Larger files than ``most`` have a null digest."""
+    names = [p for p in paths if p]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names)
+    small = files.where(F.col("length") <= most).select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most).select("path", "length", "modificationTime", F.lit(None).cast("string").alias("sha256"))
+    return small.union(large).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "sha256")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

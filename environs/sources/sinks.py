@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .versions import Table
@@ -15,13 +15,25 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_parquet(df: DataFrame, path: str, by: str | None = "city_id") -> None:
-    """One folder for each city, rows of a city kept together so that a city is a few files and not one for each task."""
-    if by is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        # AQE merges small parts and splits large ones, so that files follow the size of a city
-        df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_parquet(df: DataFrame, path: str, by: str | None = "city_id", **counts: Column) -> dict:
+    """One folder for each city, rows of a city kept together so that a city is a few files and not one for each task.
+
+    Returns what the writing tasks have counted on the way: rows, and what ``counts`` names as aggregates; the table isn't read for it.
+    """
+    # AQE merges small parts and splits large ones, so that files follow the size of a city
+    rows = df if by is None else df.hint("rebalance", by)
+    seen = Observation()
+    # observed behind the last shuffle: only tasks that end well are counted, each once
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()])
+    writer = rows.write.mode("overwrite")
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
+    return {k: v or 0 for k, v in seen.get.items()}
+
+
+def file_sizes(table: DataFrame, by: str = "city_id") -> DataFrame:
+    """by, files, bytes: of the files that a table is read from, from the reader's metadata; no column but ``by`` is read."""
+    f = table.select(by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    return f.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def replace(df: DataFrame, path: str) -> int:
