@@ -120,29 +120,36 @@ def nearest_point(hotels: DataFrame, pois: DataFrame, kind: str, leaves: list[st
     return near.groupBy("city_id", "id").agg(F.min("d").alias(kind))
 
 
+def slim(hotels: DataFrame) -> DataFrame:
+    """What the meetings need of hotels, in a table: however a hotel's place is worked out, it is once."""
+    return stash(hotels.select("city_id", "id", "x", "y"), "hotels")
+
+
+def quiet_columns(d: DataFrame) -> DataFrame:
+    """city_id, id, score and the nearest of each penalty, from a frame that has these under the penalties' names."""
+    return d.select("city_id", "id", scoring.quietness({k: F.col(k) for k in C.PENALTIES}).alias("score"), *[F.col(k).alias(f"{k}_nearest_m") for k in C.PENALTIES])
+
+
 def quietness(hotels: DataFrame, pois: DataFrame, segments: DataFrame) -> DataFrame:
-    found = [
-        nearest_lines(hotels, segments),
-        nearest_point(hotels, pois, "nightlife", C.QUIET_NIGHTLIFE),
-        nearest_point(hotels, pois, "airport", C.AIRPORTS),
-    ]
-    d = hotels.select("city_id", "id")
-    for f in found:
+    h = slim(hotels)
+    d = h.select("city_id", "id")
+    for f in (nearest_lines(h, segments), nearest_point(h, pois, "nightlife", C.QUIET_NIGHTLIFE), nearest_point(h, pois, "airport", C.AIRPORTS)):
         d = d.join(f, ["city_id", "id"], "left")
-    return d.select("city_id", "id", scoring.quietness({k: F.col(k) for k in C.PENALTIES}).alias("score"), *[F.col(k).alias(f"{k}_nearest_m") for k in C.PENALTIES])
+    return quiet_columns(d)
 
 
 def counted_pairs(hotels: DataFrame, pois: DataFrame) -> DataFrame:
-    """city_id, id, flags, food, mode, d: hotels and the points within 800 m that count for anything.
+    """city_id, id, flags, food, mode, loud, d: hotels and the points within 800 m that count for anything.
 
     What a point counts for is worked out before the meeting, as small numbers: points that count for nothing stay out of it, and
-    neither names nor families travel. flags has a bit for each of the four counted dimensions; food and mode are places in lists, or 0.
+    neither names nor families travel. flags has a bit for each of the four counted dimensions; food and mode are places in lists, or 0;
+    loud marks nightlife that disturbs.
     """
     dims = [*C.DENSITY, "family_convenience"]
     place = lambda values: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col("leaf")), F.lit(0))
     flags = sum((F.when(scoring.of_kind(d, F.col("leaf"), F.col("hierarchy")), 1 << i).otherwise(0) for i, d in enumerate(dims)), F.lit(0))
-    p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(C.CATEGORIES["food_essentials"]).cast("int").alias("food"), place(C.CATEGORIES["transit_access"]).cast("int").alias("mode"))
-    return near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0"), near_m())
+    p = pois.select("city_id", "x", "y", flags.cast("int").alias("flags"), place(C.CATEGORIES["food_essentials"]).cast("int").alias("food"), place(C.CATEGORIES["transit_access"]).cast("int").alias("mode"), F.coalesce(F.col("leaf").isin(C.QUIET_NIGHTLIFE), F.lit(False)).alias("loud"))
+    return near_points(hotels.select("city_id", "id", "x", "y"), p.where("flags > 0 or mode > 0 or loud"), max(near_m(), float(C.PENALTIES["nightlife"][2])))
 
 
 def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
@@ -157,6 +164,7 @@ def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
         out += [F.sum(only(hit, F.col(f"decay_{C.DECAY_M[dim]}"))).alias(f"{dim}_raw"), F.count(only(hit, F.lit(1))).alias(f"{dim}_count")]
     kinds = only((F.col("food") > 0) & (F.col("d") <= C.RADIUS_M["food_essentials"]), F.expr("shiftleft(1, food)"))
     out.append(F.bit_count(F.bit_or(kinds)).alias("food_essentials_kinds"))
+    out.append(F.min(only(F.col("loud") & (F.col("d") <= C.PENALTIES["nightlife"][2]), F.col("d"))).alias("nightlife"))
     out += [F.min(only((F.col("mode") == i) & (F.col("d") <= C.RADIUS_M["transit_access"]), F.col("d"))).alias(f"mode_{i - 1}") for i in range(1, len(modes) + 1)]
     return near.groupBy("city_id", "id").agg(*out)
 
@@ -164,10 +172,14 @@ def short_range(hotels: DataFrame, pois: DataFrame) -> DataFrame:
 def dimension_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segments: DataFrame) -> DataFrame:
     """city_id, id, the six scores, and covered: how many of the five counted dimensions found anything."""
     key = ["city_id", "id"]
-    land = green_hits(hotels, green).groupBy(*key).agg(
+    h = slim(hotels)
+    land = green_hits(h, green).groupBy(*key).agg(
         F.sum(F.col("weight") * scoring.decay(F.col("d"), C.DECAY_M["family_convenience"])).alias("land_raw"), F.count(F.lit(1)).alias("land_count")
     )
-    d = hotels.select(*key).join(short_range(hotels, pois), key, "left").join(land, key, "left")
+    d = h.select(*key)
+    for found in (short_range(h, pois), land, nearest_lines(h, segments), nearest_point(h, pois, "airport", C.AIRPORTS)):
+        d = d.join(found, key, "left")
+    d = d.withColumn("quietness_proxy", scoring.quietness({k: F.col(k) for k in C.PENALTIES}))
     zero = F.lit(0.0)
     for dim in [*C.DENSITY, "family_convenience"]:
         raw, n = F.coalesce(f"{dim}_raw", zero), F.coalesce(f"{dim}_count", F.lit(0))
@@ -179,13 +191,11 @@ def dimension_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segme
     modes = F.array_compact(F.array(*[F.col(f"mode_{i}") for i in range(len(C.CATEGORIES["transit_access"]))]))
     best = F.lit(100.0) * scoring.decay(F.array_min(modes), C.DECAY_M["transit_access"])
     d = d.withColumn("transit_access", scoring.transit(best, F.size(modes))).withColumn("transit_access_n", F.size(modes))
-    d = percentiles(d, hotels, [f"{dim}_wc" for dim in [*C.DENSITY, "family_convenience"]])
+    d = percentiles(d, h, [f"{dim}_wc" for dim in [*C.DENSITY, "family_convenience"]])
     for dim in [*C.DENSITY, "family_convenience"]:
         d = d.withColumn(dim, scoring.hybrid(scoring.saturating(F.col(f"{dim}_wc"), C.SATURATION[dim]), F.col(f"{dim}_wc_percentile")))
     covered = sum((F.when(F.col(f"{dim}_n") > 0, 1).otherwise(0) for dim in C.DIMENSIONS if dim != "quietness_proxy"), F.lit(0))
-    d = d.withColumn("covered", covered)
-    quiet = quietness(hotels, pois, segments).select(*key, F.col("score").alias("quietness_proxy"))
-    return d.join(quiet, key).select(*key, *C.DIMENSIONS, "covered")
+    return d.withColumn("covered", covered).select(*key, *C.DIMENSIONS, "covered")
 
 
 def hotel_scores(hotels: DataFrame, pois: DataFrame, green: DataFrame, segments: DataFrame, dedupe: DataFrame | None = None, release: str = "local") -> DataFrame:
