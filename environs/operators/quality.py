@@ -137,3 +137,16 @@ def ids_added_removed(old: DataFrame, new: DataFrame) -> DataFrame:
 def purge(excluded: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """Each table without the rows of excluded(id); a table comes with the name of its id column."""
     return {n: t.join(excluded.select(F.col("id").alias(key)), key, "left_anti") for n, (t, key) in tables.items()}
+
+
+def agreed(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """name, value of the names whose rows all have one value; a missing one is a value of its own, and disagrees with any other."""
+    g = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(value).alias("a"), F.max(value).alias("z"), F.count(F.lit(1)).alias("n"), F.count(value).alias("known"))
+    return g.where((F.col("a") == F.col("z")) & (F.col("n") == F.col("known"))).select(name, F.col("a").alias(value))
+
+
+def against_baseline(scores: DataFrame, baselines: DataFrame) -> DataFrame:
+    """id, dimension, value, city_mean, over: a row for each hotel and dimension; baselines has a row for each city."""
+    means = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"{d}_mean").alias("city_mean")) for d in C.DIMENSIONS])
+    d = scores.select("city_id", "id", *C.DIMENSIONS).join(baselines, "city_id").select("id", F.explode(means).alias("m"))
+    return d.select("id", "m.dimension", "m.value", "m.city_mean", F.round(F.col("m.value") - F.col("m.city_mean"), 2).alias("over"))

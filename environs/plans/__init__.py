@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import dimension_queries, event_queries, name_queries, quality_queries, report_queries  # noqa: F401
+from . import dimension_queries, event_queries, io_queries, name_queries, quality_queries, report_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

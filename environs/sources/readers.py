@@ -176,3 +176,13 @@ def extract_segments(segments: DataFrame, cities: dict[str, City]) -> DataFrame:
     used = ((F.col("subtype") == "road") & F.col("class").isin(C.ROAD_CLASSES)) | (F.col("subtype") == "rail")
     d = _in_city(segments.where(any_box(cities) & used), city_frame(segments.sparkSession, cities))
     return d.select("city_id", "center_lon", "metres_x", F.col("id").alias("segment_id"), "subtype", "class", F.col("geometry").alias("wkt"))
+
+
+def look_up(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """asked(id, bucket), index(id, bucket, city_id) -> id, found_in, city_id: a row of the index by shard and id; ids that aren't in their shard
+    are looked for in all shards; found_in is shard, full or none."""
+    i = index.select(F.col("id").alias("__id"), F.col("bucket").alias("__bucket"), F.col("city_id").alias("__city"))
+    near = asked.join(i, (asked["id"] == i["__id"]) & (asked["bucket"] == i["__bucket"]), "left")
+    hit = near.where("__id is not null").select("id", F.lit("shard").alias("found_in"), F.col("__city").alias("city_id"))
+    rest = near.where("__id is null").select("id").join(index.select("id", "city_id"), "id", "left")
+    return hit.union(rest.select("id", F.when(F.col("city_id").isNull(), "none").otherwise("full").alias("found_in"), "city_id"))

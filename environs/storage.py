@@ -59,6 +59,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table in any format; it goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/environs/{name}-{uuid.uuid4().hex}"
+    _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete stashed tables that no later step reads."""
     for df in tables:
