@@ -261,3 +261,31 @@ def test_vectors_round_trip():
     for at, n in (([], []), ([0], [1]), ([0, 5, 70_000], [1, 2**31, 3]), ([3, 9], [2**40, 1])):
         a, b = divergence.unpacked(divergence.packed(np.array(at, np.int64), np.array(n, np.int64)))
         assert a.tolist() == at and b.tolist() == n
+
+
+# ------------------------------------------------------------------------------------------------ queries
+
+
+@pytest.mark.parametrize("name", ["op12_embedding_dedup", "op13_source_divergence"])
+def test_query_and_its_sql(spark, name):
+    """The registered query and its SQL on the smallest tables, and for vectors on a table with links."""
+    import duckdb
+
+    from environs.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+    if name == "op12_embedding_dedup":
+        rows = clouds(4, 120) + ODD
+        con.sql("drop view embeddings")
+        con.execute("create table embeddings (vec_id bigint, embedding float[])")
+        con.executemany("insert into embeddings values (?, ?)", [[k, v] for k, v in rows])
+        found = con.sql(queries.ORACLE_SQL[name])
+        mine = vectorjoin.near_duplicates(vectors_of(spark, rows))
+        assert sorted(tuple(r[c] for c in found.columns) for r in mine.collect()) == sorted(found.fetchall())
+        assert any(r[found.columns.index("n_links")] for r in found.fetchall())
