@@ -152,7 +152,7 @@ from m group by doc_id
 
 OP12_SQL = f"""
 with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
-ok as (select vec_id, v from e where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+ok as materialized (select vec_id, v from e where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
 link as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {vectorjoin.COSINE}),
 reach(a, b) as (select vec_id, vec_id from e union select r.a, l.b from reach r join link l on r.b = l.a)
 select e.vec_id, (select count(*) from link where link.a = e.vec_id)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
