@@ -30,7 +30,7 @@ def pairs(hotels: DataFrame, pois: DataFrame, radius: float | None = None) -> Da
 def kind_pairs(hotels: DataFrame, pois: DataFrame, dimension: str) -> DataFrame:
     """city_id, id, leaf, d: the points of one dimension within its radius. What doesn't count is left out before the meeting."""
     p = pois.where(scoring.of_kind(dimension, F.col("leaf"), F.col("hierarchy"))).select("city_id", "leaf", "x", "y")
-    return near_points(hotels.select("city_id", "id", "x", "y"), p, float(C.RADIUS_M[dimension]))
+    return near_points(hotels.select("city_id", "id", "x", "y"), p, float(C.RADIUS_M[dimension]), copy="right")  # a part of all points
 
 
 def only(condition: Column, value: Column) -> Column:
@@ -68,7 +68,8 @@ def curve(hotels: DataFrame, found: DataFrame, dimension: str) -> DataFrame:
 
 
 def density(hotels: DataFrame, pois: DataFrame, dimension: str) -> DataFrame:
-    return curve(hotels, density_of(kind_pairs(hotels, pois, dimension), dimension), dimension)
+    h = slim(hotels)
+    return curve(h, density_of(kind_pairs(h, pois, dimension), dimension), dimension)
 
 
 def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def green_hits(hotels: DataFrame, green: DataFrame) -> DataFrame:
 
 
 def family(hotels: DataFrame, pois: DataFrame, green: DataFrame) -> DataFrame:
-    dim = "family_convenience"
+    dim, hotels = "family_convenience", slim(hotels)
     hits = kind_pairs(hotels, pois, dim).select("city_id", "id", "d", F.col("leaf").alias("cat"), F.lit(1.0).alias("weight")).unionByName(green_hits(hotels, green).select("city_id", "id", "d", F.col("subtype").alias("cat"), "weight"))
     found = hits.groupBy("city_id", "id").agg(
         F.sum(F.col("weight") * scoring.decay(F.col("d"), C.DECAY_M[dim])).alias("raw"), F.count(F.lit(1)).alias("poi_count"), F.count_distinct("cat").alias("distinct_categories"), F.min("d").alias("nearest_m")
