@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .outlines import near_outlines
+from .spatial import sited, sites, to_all
 
 
 class Family(NamedTuple):
@@ -51,10 +52,17 @@ def candidates(polygons: DataFrame, key: str, families: dict[str, Family] = FAMI
 
 
 def matches(hotels: DataFrame, polygons: DataFrame, key: str, families: dict[str, Family] = FAMILIES) -> DataFrame:
-    """city_id, id, key, family, area, d: hotels and the large enough outlines within their family's radius."""
-    large = candidates(polygons, key, families).where("area >= floor")
+    """city_id, id, family, key, area, d: the nearest large enough outline of each family within its radius, ties by key; a row for each hotel and family.
+
+    Sites meet outlines that differ; the smallest key stands for those that are the same.
+    """
+    h = sited(hotels)
+    unlike = polygons.groupBy("city_id", "center_lon", "metres_x", "class", "wkt").agg(F.min(key).alias(key))
+    large = candidates(unlike, key, families).where("area >= floor")
     furthest = max(f.radius_m for f in families.values() if f.classes)
-    return near_outlines(hotels, large, key, float(furthest), True, ["family", "area", "radius"]).where(F.col("d") <= F.col("radius")).drop("radius")
+    near = near_outlines(sites(h), large, key, float(furthest), True, ["family", "area", "radius"]).where(F.col("d") <= F.col("radius"))
+    best = near.groupBy("city_id", "id", "family").agg(F.min_by(F.struct(key, "area", "d"), F.struct("d", key)).alias("a"))
+    return to_all(h, best.select("city_id", "id", "family", "a.*"), "inner")
 
 
 def by_family(hotels: DataFrame, polygons: DataFrame, found: DataFrame, key: str, families: dict[str, Family] = FAMILIES) -> DataFrame:
