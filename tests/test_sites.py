@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
-from environs.operators import dimensions, outlines, statistics
+from environs.operators import dimensions, outlines, ranking, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
 
 SQUARE = "POLYGON ((0.0 0.0, 0.001 0.0, 0.001 0.001, 0.0 0.001, 0.0 0.0))"
@@ -55,6 +55,13 @@ def test_outlines_that_are_the_same(spark):
     assert got.count() == 150 and got.distinct().count() == 150
 
 
+def test_static_subset_beyond_the_budget(spark):
+    pages = spark.createDataFrame([("c", f"s{i}", "indexable" if i < 3 else "draft", 50.0, float(i)) for i in range(6)], "city_id string, slug string, status string, confidence double, balanced_score double")
+    links = spark.createDataFrame([("s0", "s4"), ("s1", "s5")], "slug string, to string")
+    got = {r.slug: r.layer for r in ranking.static_subset(pages, links, 2, overrun=True).collect()}
+    assert got == {"s0": "required", "s1": "required", "s2": "required", "s4": "linked", "s5": "linked"}
+
+
 def test_gamma_counts_rows_that_are_alike(spark):
     d = spark.createDataFrame([("g", float(i % 3), float(i % 2)) for i in range(60)], "g string, x double, y double")
     r = statistics.gamma(d, "x", "y", ["g"]).first()
