@@ -55,6 +55,16 @@ def test_outlines_that_are_the_same(spark):
     assert got.count() == 150 and got.distinct().count() == 150
 
 
+def test_outlines_with_a_common_corner_tie(spark):
+    """The distance to an edge's end is the distance to that vertex, from whichever edge it is taken."""
+    far = [(0.1 + 0.2, 0.7), (1 / 3, 0.9), (0.123456789, 0.77)]
+    rows = [("c", f"g{i}", f"LINESTRING ({x!r} {y!r}, 0.1 0.1)", 0.0, 100_000.0) for i, (x, y) in enumerate(far)]
+    shapes = spark.createDataFrame(rows, "city_id string, g string, wkt string, center_lon double, metres_x double")
+    end = outlines.edges_of(shapes, "g").select("bx", "by").first()
+    p = spark.createDataFrame([("c", "a", end.bx - 3.3, end.by - 4.7)], "city_id string, id string, x double, y double")
+    assert len({r.d for r in outlines.near_outlines(p, shapes, "g", 50.0, polygon=False).collect()}) == 1
+
+
 def test_static_subset_beyond_the_budget(spark):
     pages = spark.createDataFrame([("c", f"s{i}", "indexable" if i < 3 else "draft", 50.0, float(i)) for i in range(6)], "city_id string, slug string, status string, confidence double, balanced_score double")
     links = spark.createDataFrame([("s0", "s4"), ("s1", "s5")], "slug string, to string")
