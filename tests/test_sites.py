@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from environs.functions import scoring
 from environs.operators import dimensions, outlines, ranking, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
+from environs.plans import quality_queries
 
 SQUARE = "POLYGON ((0.0 0.0, 0.001 0.0, 0.001 0.001, 0.0 0.001, 0.0 0.0))"
 
@@ -72,6 +73,13 @@ def test_static_subset_beyond_the_budget(spark):
     assert got == {"s0": "required", "s1": "required", "s2": "required", "s4": "linked", "s5": "linked"}
 
 
+def test_coincident_points_without_names(spark):
+    class Two:
+        hotels = spark.createDataFrame([("c", 1.0, 2.0, None), ("c", 1.0, 2.0, None), ("c", 3.0, 4.0, "b"), ("c", 3.0, 4.0, "a")], "city_id string, lat double, lon double, name string")
+
+    assert sorted(((r.n, r.names) for r in quality_queries.coincident_clusters(Two).collect()), key=str) == [(2, "a|b"), (2, None)]
+
+
 def test_gamma_counts_rows_that_are_alike(spark):
     d = spark.createDataFrame([("g", float(i % 3), float(i % 2)) for i in range(60)], "g string, x double, y double")
     r = statistics.gamma(d, "x", "y", ["g"]).first()
