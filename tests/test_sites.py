@@ -56,6 +56,14 @@ def test_outlines_that_are_the_same(spark):
     assert got.count() == 150 and got.distinct().count() == 150
 
 
+def test_inside_is_not_on_the_edge(spark):
+    shape = spark.createDataFrame([("c", "g", SQUARE, 0.0, 100_000.0)], "city_id string, g string, wkt string, center_lon double, metres_x double")
+    top = outlines.edges_of(shape, "g").agg(F.max("by")).first()[0]
+    points = [("in", 50.0, 50.0), ("left", 0.0, 50.0), ("right", 100.0, 50.0), ("below", 50.0, 0.0), ("above", 50.0, top), ("corner", 0.0, 0.0), ("out", -1.0, 50.0)]
+    p = spark.createDataFrame([("c", *r) for r in points], "city_id string, id string, x double, y double")
+    assert [r.id for r in outlines.near_outlines(p, shape, "g", 0, polygon=True, strict=True).collect()] == ["in"]
+
+
 def test_outlines_with_a_common_corner_tie(spark):
     """The distance to an edge's end is the distance to that vertex, from whichever edge it is taken."""
     far = [(0.1 + 0.2, 0.7), (1 / 3, 0.9), (0.123456789, 0.77)]
