@@ -99,3 +99,10 @@ def test_gamma_counts_rows_that_are_alike(spark):
             want[0] += s > 0
             want[1] += s < 0
     assert [r.concordant, r.discordant] == want
+
+
+def test_points_on_an_edge_are_at_no_distance(spark):
+    shape = spark.createDataFrame([("c", "g", SQUARE.replace("0.0 ", "0.0003 "), 0.0, 69_123.4)], "city_id string, g string, wkt string, center_lon double, metres_x double")
+    right, top = outlines.edges_of(shape, "g").agg(F.max("bx"), F.max("by")).first()
+    p = spark.createDataFrame([("c", f"r{i}", right, top * i / 97) for i in range(98)] + [("c", f"t{i}", 21.0 + (right - 21.0) * i / 97, top) for i in range(98)], "city_id string, id string, x double, y double")
+    assert [r.d for r in outlines.near_outlines(p, shape, "g", 50.0, polygon=True).collect()] == [0.0] * 196
