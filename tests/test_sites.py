@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
-from environs.operators import dimensions, outlines, ranking, statistics
+from environs.operators import dimensions, outlines, ranking, spatial, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
 from environs.plans import quality_queries
 
@@ -106,3 +106,24 @@ def test_points_on_an_edge_are_at_no_distance(spark):
     right, top = outlines.edges_of(shape, "g").agg(F.max("bx"), F.max("by")).first()
     p = spark.createDataFrame([("c", f"r{i}", right, top * i / 97) for i in range(98)] + [("c", f"t{i}", 21.0 + (right - 21.0) * i / 97, top) for i in range(98)], "city_id string, id string, x double, y double")
     assert [r.d for r in outlines.near_outlines(p, shape, "g", 50.0, polygon=True).collect()] == [0.0] * 196
+
+
+def test_pairs_are_made_after_the_last_exchange(spark, monkeypatch):
+    """A meeting has a row for each two blocks of ids; crowds are several blocks, and every pair is there once."""
+    monkeypatch.setattr(spatial, "BLOCK", 4)
+    h, p = hotels(spark), pois(spark)
+    blocks = spatial.shared(h, spatial.POINT, "id", "ids").collect()
+    assert sorted(i for b in blocks for i in b.ids) == [f"h{i:02}" for i in range(30)] and len(blocks) > 3
+    got = dimensions.pairs(h, p)
+    assert got.count() == 600 and got.distinct().count() == 600
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(__poi_ids") < plan.index("Exchange")  # the root of a plan is printed first
+
+
+def test_pairs_with_outlines_keep_crowds_whole(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 2)
+    shapes = spark.createDataFrame([("c", f"g{i}", SQUARE, 0.0, 100_000.0) for i in range(5)], "city_id string, g string, wkt string, center_lon double, metres_x double")
+    got = outlines.outline_pairs(hotels(spark), shapes, "g", 50.0, polygon=True, digits=4)
+    assert got.count() == 150 and got.distinct().count() == 150
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(__keys") < plan.index("Exchange")
