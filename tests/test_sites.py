@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
-from environs.operators import dimensions, outlines, ranking, spatial, statistics
+from environs.operators import dimensions, matching, outlines, ranking, spatial, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
 from environs.plans import quality_queries
 
@@ -127,3 +127,23 @@ def test_pairs_with_outlines_keep_crowds_whole(spark, monkeypatch):
     assert got.count() == 150 and got.distinct().count() == 150
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("explode(__keys") < plan.index("Exchange")
+
+
+def test_places_that_match_alike_meet_once(spark, monkeypatch):
+    """Rows with one place, name and brand are compared once; each gets the best match, ties by id, and names that no rule holds for meet nothing."""
+    met = []
+
+    def recorded(left, right, radius):
+        met.append((left.count(), right.count()))
+        return near_points(left, right, radius)
+
+    monkeypatch.setattr(matching, "near_points", recorded)
+    left = [("c", f"l{i:02}", "grand hotel", None if i % 2 else "Ibis", 0.0, 0.0) for i in range(20)] + [("c", "n", None, "Ibis", 0.0, 0.0), ("c", "e", "", "Ibis", 0.0, 0.0), ("c", "far", "grand hotel", None, 5000.0, 0.0)]
+    right = [("c", f"r{i:02}", "grand hotal", "Ibis", 300.0, 0.0) for i in range(20)] + [("c", "r99", "grand hotel", None, 200.0, 0.0), ("c", "a", "", "Ibis", 0.0, 0.0), ("c", "b", "bank", None, 0.0, 0.0)]
+    got = {r.id: (r.other, r.rule, r.confidence) for r in matching.match(spark.createDataFrame(left, "city_id string, id string, form string, brand string, x double, y double"), spark.createDataFrame(right, "city_id string, other string, other_form string, other_brand string, x double, y double")).collect()}
+    assert met == [(3, 3)] and len(got) == 23
+    assert all(got[f"l{i:02}"] == ("r99", "near", 85) for i in range(20))
+    assert got["n"] == got["e"] == got["far"] == (None, "fallback", 0)
+    few = spark.createDataFrame(right[:20], "city_id string, other string, other_form string, other_brand string, x double, y double")
+    got = {r.id: (r.other, r.rule) for r in matching.match(spark.createDataFrame(left, "city_id string, id string, form string, brand string, x double, y double"), few).collect()}
+    assert got["l00"] == got["l18"] == ("r00", "brand") and got["l01"] == (None, "fallback")
