@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
-from environs.operators import dimensions, matching, outlines, ranking, spatial, statistics
+from environs.operators import dimensions, export, matching, outlines, ranking, spatial, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
 from environs.plans import quality_queries
 
@@ -147,3 +147,12 @@ def test_places_that_match_alike_meet_once(spark, monkeypatch):
     few = spark.createDataFrame(right[:20], "city_id string, other string, other_form string, other_brand string, x double, y double")
     got = {r.id: (r.other, r.rule) for r in matching.match(spark.createDataFrame(left, "city_id string, id string, form string, brand string, x double, y double"), few).collect()}
     assert got["l00"] == got["l18"] == ("r00", "brand") and got["l01"] == (None, "fallback")
+
+
+def test_top_lists_sort_only_what_can_be_among_them(spark):
+    rows = [("c", f"h{i:04}", float(i % 500)) for i in range(2000)] + [("few", "a", 1.0), ("few", "b", None)]
+    d = spark.createDataFrame(rows, "city_id string, id string, v double")
+    got = export.leaders(d, F.col("v"), 3, ["city_id"])
+    kept = {(r.city_id, r.id) for r in got.collect()}
+    assert {("c", f"h{i:04}") for i in (499, 999, 1499)} <= kept and len(kept) < 100
+    assert {("few", "a"), ("few", "b")} <= kept
