@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
@@ -50,6 +51,19 @@ def test_ties_at_one_place_go_by_id(spark):
     assert got == [(i + 1, f"p{k:02}") for i, k in enumerate([*range(0, 20, 2), 1, 3])]
 
 
+def test_the_nearest_are_met_without_the_crowd_beyond(spark):
+    """Where points are dense, a place meets those near it, not all within the radius; where they are few, all of them."""
+    rows = [("c", f"p{i:04}", float(i % 40) * 20 - 390, float(i // 40) * 20 - 390) for i in range(1600)] + [("c", f"q{i}", 5000.0 + 300 * i, 0.0) for i in range(5)]
+    p = spark.createDataFrame(rows, "city_id string, poi_id string, x double, y double")
+    h = spark.createDataFrame([("c", "dense", 0.0, 0.0), ("c", "edge", 700.0, 10.0), ("c", "few", 5000.0, 0.0), ("c", "none", 9000.0, 9000.0)], "city_id string, id string, x double, y double")
+    met = spatial.near_first(h, p, 12, 800.0)
+    assert met.columns == ["city_id", "id", "poi_id", "d"]
+    by = Window.partitionBy("id").orderBy("d", "poi_id")
+    first = lambda d: sorted(map(tuple, d.withColumn("r", F.row_number().over(by)).where("r <= 12").select("id", "r", "poi_id", "d").collect()))
+    assert first(met) == first(near_points(h, p, 800.0)) and len(first(met)) == 27
+    assert met.where("id = 'dense'").count() < 100 and met.where("id = 'few'").count() == 3
+
+
 def test_outlines_that_are_the_same(spark):
     shapes = spark.createDataFrame([("c", f"g{i}", SQUARE, 0.0, 100_000.0) for i in range(5)], "city_id string, g string, wkt string, center_lon double, metres_x double")
     got = outlines.outline_pairs(hotels(spark), shapes, "g", 50.0, polygon=True, digits=4)
