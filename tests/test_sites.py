@@ -70,6 +70,20 @@ def test_outlines_that_are_the_same(spark):
     assert got.count() == 150 and got.distinct().count() == 150
 
 
+def test_a_crowded_cell_of_outlines_is_several_tasks(spark, monkeypatch):
+    """All points and edges are in one cell: pairs are the same however many tasks they are dealt to."""
+    shapes = spark.createDataFrame([("c", f"g{i}", SQUARE.replace("0.001", f"0.0007{i}"), 0.0, 100_000.0) for i in range(9)], "city_id string, g string, wkt string, center_lon double, metres_x double")
+    points = spark.createDataFrame([("c", f"h{i:03}", 1.0 + i % 20 * 9, 1.0 + i // 20 * 9) for i in range(400)] + [("c", "none", None, 0.0)], "city_id string, id string, x double, y double")
+    for strict in (False, True):
+        plain = outlines.near_outlines(points, shapes, "g", 0.0 if strict else 20.0, polygon=True, strict=strict)
+        want = sorted(map(tuple, plain.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(outlines, "TASK_MEETINGS", 100, raising=False)
+            got = outlines.near_outlines(points, shapes, "g", 0.0 if strict else 20.0, polygon=True, strict=strict)
+            assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == want and len(want) > 500
+            assert got.groupBy(F.spark_partition_id()).count().count() > 20
+
+
 def test_inside_is_not_on_the_edge(spark):
     shape = spark.createDataFrame([("c", "g", SQUARE, 0.0, 100_000.0)], "city_id string, g string, wkt string, center_lon double, metres_x double")
     top = outlines.edges_of(shape, "g").agg(F.max("by")).first()[0]
