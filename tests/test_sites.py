@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from environs.functions import scoring
-from environs.operators import dimensions, export, matching, outlines, ranking, spatial, statistics
+from environs.operators import dedupe, dimensions, export, matching, outlines, ranking, spatial, statistics
 from environs.operators.spatial import near_points, nearest, sited, sites, to_all
 from environs.plans import quality_queries
 
@@ -184,3 +184,15 @@ def test_top_lists_sort_only_what_can_be_among_them(spark):
     kept = {(r.city_id, r.id) for r in got.collect()}
     assert {("c", f"h{i:04}") for i in (499, 999, 1499)} <= kept and len(kept) < 100
     assert {("few", "a"), ("few", "b")} <= kept
+
+
+def test_records_at_one_point_are_linked_once(spark):
+    """Links grow with the records at a point, not with their pairs; clusters are those of all pairs."""
+    rows = [("c", f"h{i:03}", ["inn", "bar"][i % 7 == 0], ["hotel", None][i % 10 == 9], 51.5 + i % 4 * 0.0001, [0.0, -0.0][i % 3 == 0]) for i in range(120)]
+    rows += [("c", "lone", "inn", "hotel", 51.6, 0.0), ("c", "blank", "", "hotel", 51.5, 0.0), ("c", "null", None, "hotel", 51.5, 0.0), ("x", "other", "inn", "hotel", 51.5, 0.0)]
+    rows += [("c", f"{name}{i}", "inn", "hotel", lat, 0.0) for name, lat in (("none", None), ("nan", float("nan"))) for i in range(3)]
+    h = spark.createDataFrame(rows, "city_id string, id string, form string, leaf string, lat double, lon double")
+    pairs, links = dedupe.candidate_pairs(h), dedupe.links(h)
+    assert pairs.count() > 3000 and links.count() < 150
+    found = lambda p: sorted((r.id, r.cluster) for r in dedupe.clusters(h, p).collect())
+    assert found(links) == found(pairs) and len({c for _, c in found(links)}) == 2 + 12 + 4 + 6
