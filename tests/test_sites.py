@@ -196,3 +196,17 @@ def test_records_at_one_point_are_linked_once(spark):
     assert pairs.count() > 3000 and links.count() < 150
     found = lambda p: sorted((r.id, r.cluster) for r in dedupe.clusters(h, p).collect())
     assert found(links) == found(pairs) and len({c for _, c in found(links)}) == 2 + 12 + 4 + 6
+
+
+def test_sizes_of_cities_need_no_task_for_each(spark):
+    """Confidence counts a city's hotels, however many, without a window over them."""
+    h = hotels(spark).withColumn("confidence", F.lit(0.5)).union(spark.createDataFrame([("small", "s", 0.0, 0.0, 0.5)], "city_id string, id string, x double, y double, confidence double"))
+    green = spark.createDataFrame([], "city_id string, green_id string, subtype string, class string, wkt string, center_lon double, metres_x double")
+    segments = spark.createDataFrame([], "city_id string, subtype string, class string, wkt string, center_lon double, metres_x double")
+    scores = dimensions.hotel_scores(h, pois(spark), green, segments)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1) windowspecdefinition" not in plan
+    got = {r.hotel_id: r.confidence for r in scores.collect()}
+    by_size = lambda n, covered: scoring.confidence(F.lit(0.5), F.lit(covered), F.lit(n), F.lit(100.0))
+    want = spark.range(1).select(by_size(31, 0).alias("c"), by_size(1, 0).alias("small")).first()
+    assert len(got) == 32 and got["none"] == pytest.approx(want.c) and got["s"] == pytest.approx(want.small) and want.c > want.small
